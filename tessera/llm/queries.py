@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import exact_dedup, mixing
 from .common import table
 
 
@@ -10,13 +10,19 @@ def op10_mix_sources(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_exact_dedup(spark, sf_dir):
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {
+        "op2_exact_dedup": op2_exact_dedup,
         "op10_mix_sources": op10_mix_sources,
     }
 
 
 def oracle_sql():
     return {
+        "op2_exact_dedup": exact_dedup.SQL,
         "op10_mix_sources": mixing.SQL,
     }
