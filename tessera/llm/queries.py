@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, packing
 from .common import table
 
 
@@ -14,8 +14,13 @@ def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_pack(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {
+        "op6_pack": op6_pack,
         "op2_exact_dedup": op2_exact_dedup,
         "op10_mix_sources": op10_mix_sources,
     }
