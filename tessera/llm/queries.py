@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing
+from . import exact_dedup, mixing, packing, quality
 from .common import table
 
 
@@ -18,8 +18,13 @@ def op6_pack(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries():
     return {
+        "op7_quality": op7_quality,
         "op6_pack": op6_pack,
         "op2_exact_dedup": op2_exact_dedup,
         "op10_mix_sources": op10_mix_sources,
