@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, quality
+from . import exact_dedup, mixing, packing, quality, secret_scan
 from .common import table
 
 
@@ -22,8 +22,13 @@ def op7_quality(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_secret_scan(spark, sf_dir):
+    return secret_scan.scan_with_own_model(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {
+        "op3_secret_scan": op3_secret_scan,
         "op7_quality": op7_quality,
         "op6_pack": op6_pack,
         "op2_exact_dedup": op2_exact_dedup,
