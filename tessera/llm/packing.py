@@ -6,7 +6,7 @@ cost, `linear * tokens + quadratic * sum of squared piece lengths`, that has roo
 is cut over the emptiest sequences. A group's capacity is exactly its tokens: sequences of `size` and, for what is
 over, sequences of descending powers of two, which need no padding.
 
-Words are tokenised once and kept in a bounded cache: the tokenizer lower-cases, drops white space and never merges
+A word is tokenised once and kept in a bounded table: the tokenizer lower-cases, drops white space and never merges
 over it, so a text's ids are its words' ids in order.
 
 Defined cases: null text counts as empty, and an empty text is its end token alone; repeated rows are packed each;
@@ -17,19 +17,22 @@ input split gives the same rows.
 from __future__ import annotations
 
 import functools
-import struct
+import itertools
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import wordhash
+
 SIZE, END, GROUP_SEQUENCES = 4096, 2, 512
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
-CACHED_WORDS = 700_000
+CACHED_WORDS = 1_000_000
 
 
 def public_vocabulary() -> str:
@@ -39,7 +42,10 @@ def public_vocabulary() -> str:
 
 
 class WordTokenizer:
-    """ids of texts as little-endian uint32 bytes, by a cache of words that is filled once and then kept."""
+    """ids of texts by a table of words; words are told apart by 64-bit hashes of their bytes, ASCII case folded.
+
+    A full stop or comma after an ASCII letter or digit is a word of its own, as the tokenizer parts it there too.
+    """
 
     def __init__(self, path: str, cached: int = CACHED_WORDS):
         import os
@@ -47,24 +53,73 @@ class WordTokenizer:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cached, self.known = Tokenizer.from_file(path), cached, {}
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*split) - self.known.keys())
-        found: dict[str, bytes] = {}
-        for at in range(0, len(new), 20_000):
-            part = new[at:at + 20_000]
-            for word, seen in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                ids = seen.ids
-                found[word] = ids[0].to_bytes(4, "little") if len(ids) == 1 else struct.pack(f"<{len(ids)}I", *ids)
-        if len(self.known) + len(found) <= self.cached:
-            self.known.update(found)
-            get = self.known.__getitem__
-        else:
-            known = self.known
-            get = lambda w: known[w] if w in known else found[w]
-        return [b"".join(map(get, words)) for words in split]
+        self.tokenizer, self.cached = Tokenizer.from_file(path), cached
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(1 + max(vocabulary.values()), bool)  # ids that end a word
+        self.last[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+        self.clear()
+
+    def clear(self) -> None:
+        self.rows: dict[int, int] = {}
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.begin, self.count, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+
+    def encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids on end and their numbers. Plain words go through the tokenizer as one text."""
+        plain = np.array([w.isalpha() for w in words], bool)
+        one = " ".join(w for w, p in zip(words, plain) if p)
+        joined = np.array(self.tokenizer.encode(one, add_special_tokens=False).ids, np.uint32)
+        ends = np.flatnonzero(self.last[joined]) + 1
+        if len(ends) != plain.sum():  # a plain word was cut after all
+            plain[:] = False
+            joined, ends = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        count = np.zeros(len(words), np.int64)
+        count[plain] = np.diff(ends, prepend=0)
+        others = [e.ids for e in self.tokenizer.encode_batch_fast([w for w, p in zip(words, plain) if not p], add_special_tokens=False)]
+        count[~plain] = list(map(len, others))
+        flat = np.empty(count.sum(), np.uint32)
+        of_plain = np.repeat(plain, count)
+        flat[of_plain] = joined
+        flat[~of_plain] = list(itertools.chain.from_iterable(others))
+        return flat, count
+
+    def learn(self, hashes: list[int], words: list[str]) -> None:
+        flat, count = self.encoded(words)
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.n + len(words) > len(self.begin):
+            self.begin, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.count))
+        self.flat[self.used:self.used + len(flat)] = flat
+        self.begin[self.n:self.n + len(words)] = self.used + np.cumsum(count) - count
+        self.count[self.n:self.n + len(words)] = count
+        self.rows.update(zip(hashes, range(self.n, self.n + len(words))))
+        self.used, self.n = self.used + len(flat), self.n + len(words)
+
+    def encode_all(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        for at, n_texts, words in wordhash.chunks(column, " \n", fold_case=True, marks_apart=True):
+            if b"<|" in words.data.tobytes():  # special pieces are told by case
+                for e in self.tokenizer.encode_batch_fast([t or "" for t in column.slice(at, n_texts).to_pylist()], add_special_tokens=False):
+                    yield np.array(e.ids, np.uint32)
+                continue
+            code, distinct = pd.factorize(words.hash)
+            rows = list(map(self.rows.get, distinct.tolist()))
+            if None in rows:
+                if self.n > self.cached:
+                    self.clear()
+                    rows = [None] * len(rows)
+                new = [i for i, r in enumerate(rows) if r is None]
+                place = np.empty(len(distinct), np.int64)
+                place[code] = np.arange(len(code))
+                self.learn(distinct[new].tolist(), [words.text(i) for i in place[new].tolist()])
+                rows = list(map(self.rows.__getitem__, distinct.tolist()))
+            row = np.array(rows, np.int64)[code]
+            n = self.count[row]
+            upto = np.concatenate([[0], np.cumsum(n)])
+            ids = self.flat[np.repeat(self.begin[row] - upto[:-1], n) + np.arange(upto[-1])]
+            edges = upto[words.first]
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                yield ids[a:b]
 
 
 @functools.lru_cache(maxsize=2)
@@ -141,14 +196,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[at:at + 10_000]), schema)], schema=schema)
 
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1)
-            for at in range(0, len(ids), 500):
-                part = [t or "" for t in texts.slice(at, 500).to_pylist()]
-                for d, found in zip(ids[at:at + 500], words.encode_all(part)):
-                    held.append((d, found + last))
-                    tokens += len(found) // 4 + 1
-                    if tokens >= group_sequences * size:
-                        yield from flush()
+            for d, found in zip(b.column(0).to_pylist(), words.encode_all(b.column(1))):
+                held.append((d, found.tobytes() + last))
+                tokens += len(found) + 1
+                if tokens >= group_sequences * size:
+                    yield from flush()
         if held:
             yield from flush()
 
