@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, quality, secret_scan
+from . import exact_dedup, mixing, packing, quality, secret_scan, vector_dedup
 from .common import table
 
 
@@ -26,8 +26,13 @@ def op3_secret_scan(spark, sf_dir):
     return secret_scan.scan_with_own_model(table(spark, sf_dir, "documents"))
 
 
+def op4_near_vectors(spark, sf_dir):
+    return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries():
     return {
+        "op4_near_vectors": op4_near_vectors,
         "op3_secret_scan": op3_secret_scan,
         "op7_quality": op7_quality,
         "op6_pack": op6_pack,
