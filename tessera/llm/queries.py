@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, quality, secret_scan, vector_dedup
+from . import exact_dedup, mixing, packing, page_text, quality, secret_scan, vector_dedup
 from .common import table
 
 
@@ -30,8 +30,13 @@ def op4_near_vectors(spark, sf_dir):
     return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op9_page_text(spark, sf_dir):
+    return page_text.extract(table(spark, sf_dir, "pages"))
+
+
 def queries():
     return {
+        "op9_page_text": op9_page_text,
         "op4_near_vectors": op4_near_vectors,
         "op3_secret_scan": op3_secret_scan,
         "op7_quality": op7_quality,
