@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, page_text, quality, secret_scan, vector_dedup
+from pyspark.sql import functions as F
+
+from . import exact_dedup, line_dedup, mixing, packing, page_text, quality, secret_scan, vector_dedup
 from .common import table
 
 
@@ -34,8 +36,14 @@ def op9_page_text(spark, sf_dir):
     return page_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op8_line_dedup(spark, sf_dir):
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", "removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 def queries():
     return {
+        "op8_line_dedup": op8_line_dedup,
         "op9_page_text": op9_page_text,
         "op4_near_vectors": op4_near_vectors,
         "op3_secret_scan": op3_secret_scan,
