@@ -27,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_ROWS, DIM, VOCABULARY, HIDDEN, THRESHOLD = 12_000, 48, 30_000, 24, 0.7
+SAMPLE_ROWS, DIM, VOCABULARY, HIDDEN, THRESHOLD = 6_000, 48, 30_000, 24, 0.7
 FOLDS, HELD_OUT = 4, 2
 TAILS, CASES = 6, 5
 SHAPES = TAILS * CASES * 2
 CACHED_WORDS = 300_000
+WORDS_AT_ONCE = 1 << 16
 
 
 def shape(raw: str, core: str) -> int:
@@ -74,15 +75,16 @@ def context_vectors(docs: list[np.ndarray], n_words: int, index: np.ndarray, win
     """Row w: the unit sum of the index vectors of all words within `window` places of word w."""
     dim = index.shape[1]
     out = np.zeros(n_words * dim, np.float64)
-    at = np.argsort(index == 0, axis=1, kind="stable")[:, :4]
-    sign = np.take_along_axis(index, at, 1)
-    flat = np.concatenate([np.append(d, np.full(window, -1)) for d in docs]) if docs else np.zeros(0, np.int64)
-    for step in range(1, window + 1):
-        for a, b in ((flat[:-step], flat[step:]), (flat[step:], flat[:-step])):
-            ok = (a >= 0) & (b >= 0)
-            a_ok, b_ok = a[ok], b[ok]
-            for k in range(4):
-                out += np.bincount(a_ok * dim + at[b_ok, k], weights=sign[b_ok, k], minlength=len(out))
+    at_places = np.argsort(index == 0, axis=1, kind="stable")[:, :4]
+    sign = np.take_along_axis(index, at_places, 1)
+    for d in docs:
+        a_all = np.asarray(d, np.int64)
+        for at in range(0, len(a_all), WORDS_AT_ONCE):
+            flat = a_all[at:at + WORDS_AT_ONCE + window]
+            for step in range(1, window + 1):
+                near, far = flat[:WORDS_AT_ONCE][:len(flat) - step], flat[step:step + WORDS_AT_ONCE]
+                for x, y in ((near, far), (far, near)):
+                    np.add.at(out, (x[:, None] * dim + at_places[y]).ravel(), sign[y].ravel())
     out = out.reshape(n_words, dim)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return (out / np.where(norm > 0, norm, 1)).astype(np.float32)
@@ -90,22 +92,26 @@ def context_vectors(docs: list[np.ndarray], n_words: int, index: np.ndarray, win
 
 def features(texts: list[tuple[np.ndarray, tuple[float, float, float]]], words: np.ndarray, shapes: np.ndarray) -> np.ndarray:
     """One row per document: pooled word vectors, pooled shape vectors, counts."""
-    codes = [c for c, _ in texts]
-    n = np.array([len(c) for c in codes])
-    full = np.flatnonzero(n)
-    out = np.zeros((len(codes), words.shape[1] + shapes.shape[1] + SHAPES + 5), np.float32)
-    if len(full):
-        flat = np.concatenate([codes[i] for i in full])
-        starts = np.concatenate([[0], np.cumsum(n[full])[:-1]])
-        w, s = flat // SHAPES, flat % SHAPES
-        d = words.shape[1]
-        out[full, :d] = np.add.reduceat(words[w], starts, axis=0) / n[full, None]
-        doc = np.repeat(np.arange(len(full)), n[full])
-        share = np.bincount(doc * SHAPES + s, minlength=len(full) * SHAPES).reshape(len(full), SHAPES) / n[full, None]
-        out[full, d:d + shapes.shape[1]] = share @ shapes
-        out[full, d + shapes.shape[1]:-5] = share
-        out[full, -5] = np.log1p(n[full]) / 10
-        out[full, -4] = np.bincount(doc, weights=w == 0, minlength=len(full)) / n[full]
+    n = np.array([len(c) for c, _ in texts], np.int64)
+    out = np.zeros((len(texts), words.shape[1] + shapes.shape[1] + SHAPES + 5), np.float32)
+    d = words.shape[1]
+    unseen, share = np.zeros(len(texts)), np.zeros(len(texts) * SHAPES)
+    flat = np.concatenate([c for c, _ in texts]) if len(texts) else np.zeros(0, np.int32)
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), n)
+    for at in range(0, len(flat), WORDS_AT_ONCE):  # a document may run over several pieces
+        w, s = np.divmod(flat[at:at + WORDS_AT_ONCE], SHAPES)
+        of = doc[at:at + WORDS_AT_ONCE]
+        starts = np.flatnonzero(np.diff(of, prepend=-1))
+        out[of[starts], :d] += np.add.reduceat(words[w], starts, axis=0)
+        unseen += np.bincount(of, weights=w == 0, minlength=len(texts))
+        share += np.bincount(of.astype(np.int64) * SHAPES + s, minlength=len(share))
+    most = np.maximum(n, 1)
+    share = share.reshape(len(texts), SHAPES) / most[:, None]
+    out[:, :d] /= most[:, None]
+    out[:, d:d + shapes.shape[1]] = share @ shapes
+    out[:, d + shapes.shape[1]:-5] = share
+    out[:, -5] = np.log1p(n) / 10
+    out[:, -4] = unseen / most
     out[:, -3:] = [counts for _, counts in texts]
     return out
 
@@ -115,7 +121,7 @@ def coded(text: str | None, coder: Coder) -> tuple[np.ndarray, tuple[float, floa
     words = (text or "").split()
     n = max(1, len(words))
     counts = (len(set(words)) / n, sum(map(operator.eq, words, words[1:])) / n, math.log1p((text or "").count("\n")) / 10)
-    return np.array([coder[w] for w in words], np.int64), counts
+    return np.array([coder[w] for w in words], np.int32), counts
 
 
 class Network:
