@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing, packing, page_text, quality, secret_scan, vector_dedup
+from . import exact_dedup, jaccard_join, line_dedup, mixing, packing, page_text, quality, secret_scan, vector_dedup
 from .common import table
 
 
@@ -41,8 +41,13 @@ def op8_line_dedup(spark, sf_dir):
     return out.select("doc_id", "n_lines", "n_removed", "removed", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op5_jaccard_join(spark, sf_dir):
+    return jaccard_join.similar(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {
+        "op5_jaccard_join": op5_jaccard_join,
         "op8_line_dedup": op8_line_dedup,
         "op9_page_text": op9_page_text,
         "op4_near_vectors": op4_near_vectors,
