@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, line_dedup, mixing, packing, page_text, quality, secret_scan, vector_dedup
+from . import chat_format, exact_dedup, jaccard_join, line_dedup, mixing, packing, page_text, quality, secret_scan, vector_dedup
 from .common import table
 
 
@@ -45,8 +45,13 @@ def op5_jaccard_join(spark, sf_dir):
     return jaccard_join.similar(table(spark, sf_dir, "documents"))
 
 
+def op1_chat_format(spark, sf_dir):
+    return chat_format.formatted(table(spark, sf_dir, "conversations"))
+
+
 def queries():
     return {
+        "op1_chat_format": op1_chat_format,
         "op5_jaccard_join": op5_jaccard_join,
         "op8_line_dedup": op8_line_dedup,
         "op9_page_text": op9_page_text,
@@ -61,6 +66,7 @@ def queries():
 
 def oracle_sql():
     return {
+        "op1_chat_format": chat_format.SQL,
         "op2_exact_dedup": exact_dedup.SQL,
         "op10_mix_sources": mixing.SQL,
     }
