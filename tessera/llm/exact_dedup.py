@@ -213,6 +213,17 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
 
 
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
+    """docs, columns as they are, with one row of each distinct text.
+
+    The ids that go are found on narrow rows; full rows are dealt by id and hash, so no group of copies meets in a task.
+    """
+    marked = docs.withColumn("__sha", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    gone = exact_duplicates(docs, id_col, text_col, keep).where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__gone")).distinct()
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__gone"))
+    return marked.join(gone, same, "left_anti").dropDuplicates([id_col, "__sha"]).select(*docs.columns)
+
+
 SQL = """
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
        doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
