@@ -26,7 +26,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends, lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
