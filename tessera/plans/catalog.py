@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from . import compliance, matching, operations
+from .registry import ORACLES, QUERIES
+
+MODULES = (operations, compliance, matching)
+
 
 def flagship(spark, sf_dir):
-    return queries()["daily_volume"](spark, sf_dir)
+    return matching.screen_batch(spark, sf_dir)
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(ORACLES)
