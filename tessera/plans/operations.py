@@ -12,11 +12,14 @@ from tessera.session import table
 
 from .registry import query
 
-K = F.get_json_object("props", "$.k").cast("int")
 DAY = "yyyy-MM-dd"
 SQL_K = "CAST(props->>'$.k' AS INTEGER)"
 
 
+def number():
+    return F.get_json_object("props", "$.k").cast("int")
+
+
 def as_of(df, ts="ts"):
     """The data's last moment, joined as one row; there is no clock in a query."""
     return df.crossJoin(F.broadcast(df.agg(F.max(ts).alias("as_of"))))
@@ -55,8 +58,8 @@ def sla_compliance(spark, d):
 WITH g AS (SELECT event_type AS provider, CASE {SQL_K} % 3 WHEN 0 THEN 'cached' WHEN 1 THEN 'ok' ELSE 'error' END AS status, count(*) AS calls, CAST(coalesce(sum({SQL_K}), 0) AS BIGINT) AS tokens FROM events GROUP BY 1, 2)
 SELECT *, round(CAST(sum(CASE WHEN status = 'cached' THEN calls ELSE 0 END) OVER () AS DOUBLE) / CAST(sum(calls) OVER () AS DOUBLE), 4) AS cache_rate FROM g""")
 def usage_by_provider(spark, d):
-    status = F.when(K % 3 == 0, "cached").when(K % 3 == 1, "ok").otherwise("error")
-    return A.usage(table(spark, d, "events"), F.col("event_type"), status, K)
+    status = F.when(number() % 3 == 0, "cached").when(number() % 3 == 1, "ok").otherwise("error")
+    return A.usage(table(spark, d, "events"), F.col("event_type"), status, number())
 
 
 @query("usage_pivot", """
@@ -203,12 +206,12 @@ def lockout_runs(spark, d):
 @query("token_family_reuse", f"""
 SELECT user_id, count(*) AS tokens, max(uses) > 1 AS revoked FROM (SELECT user_id, {SQL_K} AS k, count(*) AS uses FROM events GROUP BY 1, 2) GROUP BY 1""")
 def token_family_reuse(spark, d):
-    return H.reused_families(table(spark, d, "events").withColumn("k", K), "user_id", "k", "ts")
+    return H.reused_families(table(spark, d, "events").withColumn("k", number()), "user_id", "k", "ts")
 
 
 @query("quota_minute", f"SELECT event_type, strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M') AS bucket, count(*) AS requests, CAST(sum({SQL_K}) AS BIGINT) AS tokens FROM events GROUP BY 1, 2")
 def quota_minute(spark, d):
-    used = H.bucketed_usage(table(spark, d, "events"), "event_type", "ts", K, "1 minute")
+    used = H.bucketed_usage(table(spark, d, "events"), "event_type", "ts", number(), "1 minute")
     return used.select("event_type", F.date_format("bucket", "yyyy-MM-dd HH:mm").alias("bucket"), "requests", "tokens")
 
 
@@ -218,8 +221,8 @@ d AS (SELECT event_type, max(requests) AS rpd FROM (SELECT event_type, date_trun
 SELECT event_type, rpm, CAST(tpm AS BIGINT) AS tpm, rpd, rpm < 30 AND rpd < 14400 AND tpm < 6000 AS headroom FROM m JOIN d USING (event_type)""")
 def quota_headroom(spark, d):
     e = table(spark, d, "events")
-    minute = H.bucketed_usage(e, "event_type", "ts", K, "1 minute").groupBy("event_type").agg(F.max("requests").alias("rpm"), F.max("tokens").alias("tpm"))
-    day = H.bucketed_usage(e, "event_type", "ts", K, "1 day").groupBy("event_type").agg(F.max("requests").alias("rpd"))
+    minute = H.bucketed_usage(e, "event_type", "ts", number(), "1 minute").groupBy("event_type").agg(F.max("requests").alias("rpm"), F.max("tokens").alias("tpm"))
+    day = H.bucketed_usage(e, "event_type", "ts", number(), "1 day").groupBy("event_type").agg(F.max("requests").alias("rpd"))
     return minute.join(day, "event_type").withColumn("headroom", (F.col("rpm") < 30) & (F.col("rpd") < 14400) & (F.col("tpm") < 6000)).select("event_type", "rpm", "tpm", "rpd", "headroom")
 
 
@@ -235,7 +238,7 @@ def circuit_sessions(spark, d):
 
 @query("dedupe_idempotent", f"SELECT user_id, k, event_id FROM (SELECT user_id, {SQL_K} AS k, event_id, row_number() OVER (PARTITION BY user_id, {SQL_K} ORDER BY ts, event_id) AS r FROM events) WHERE r = 1")
 def dedupe_idempotent(spark, d):
-    return H.first_per_key(table(spark, d, "events").select("user_id", K.alias("k"), "ts", "event_id"), ["user_id", "k"], ["ts", "event_id"]).select("user_id", "k", "event_id")
+    return H.first_per_key(table(spark, d, "events").select("user_id", number().alias("k"), "ts", "event_id"), ["user_id", "k"], ["ts", "event_id"]).select("user_id", "k", "event_id")
 
 
 @query("rate_limited", "SELECT user_id, strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M') AS bucket, count(*) AS requests FROM events GROUP BY 1, 2 HAVING count(*) > 1")
