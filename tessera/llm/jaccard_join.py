@@ -34,7 +34,8 @@ from . import wordhash
 from .common import shuffle_width, stored
 from .components import components
 
-HEAVY, SHORT, LEADERS, BLOCK = 1 << 16, 16, 3, 64
+HEAVY, SHORT, LEADERS, BLOCK = 1 << 19, 16, 6, 64
+ROUNDS, ROUND_LEADERS = 1, 48
 FLUSH = 1 << 22
 ENTRIES_A_PART = 1 << 19
 BLOOM_BITS = 1 << 23
@@ -102,7 +103,7 @@ def described(docs: DataFrame, width: int) -> DataFrame:
 
     def often(held: list[np.ndarray]) -> pa.RecordBatch:
         keys, seen = np.unique(np.concatenate(held), return_counts=True)
-        keys, seen = keys[seen > 2].astype(np.int64), seen[seen > 2]
+        keys, seen = keys[seen > 1].astype(np.int64), seen[seen > 1]
         none = pa.nulls(len(keys), pa.int64())
         return pa.RecordBatch.from_arrays([none, none, none, pa.array(keys), pa.array(seen, pa.int64())], schema=schema)
 
@@ -125,7 +126,7 @@ def described(docs: DataFrame, width: int) -> DataFrame:
 
 
 def indexed(docs: DataFrame, width: int, num: int, den: int, keys: np.ndarray, seen: np.ndarray, parts: int) -> DataFrame:
-    """(part, entries): the prefixes' entries (key, cid, size, position), as blocks of four columns for each part."""
+    """(part, entries): the prefixes' entries (key, cid, size << 32 | position), as blocks of three columns for each part."""
     schema = pa.schema([("part", pa.int32()), ("entries", pa.binary())])
 
     def dealt(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +150,7 @@ def indexed(docs: DataFrame, width: int, num: int, den: int, keys: np.ndarray, s
                 fresh = np.array([not (c in known or known.add(c)) for c in sets.cid.tolist()], bool)
                 inside = (position < np.repeat(prefix_length(size, num, den), size)) & fresh[sets.owner]
                 owner = sets.owner[inside]
-                held.append(np.stack([sets.values[order][inside], sets.cid[owner].astype(np.uint64), size[owner].astype(np.uint64), position[inside].astype(np.uint64)]))
+                held.append(np.stack([sets.values[order][inside], sets.cid[owner].astype(np.uint64), size[owner].astype(np.uint64) << np.uint64(32) | position[inside].astype(np.uint64)]))
                 n_held += held[-1].shape[1]
                 if n_held > FLUSH // 4:
                     yield from dealt(held)
@@ -170,10 +171,10 @@ PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("
 
 def first_pairs(blobs: list[bytes], num: int, den: int) -> pa.Table:
     """All pairs of short lists; leaders' and neighbours' pairs of long ones, and the long lists' entries."""
-    rows = np.concatenate([np.frombuffer(x, np.uint64).reshape(4, -1) for x in blobs], axis=1)
-    order = np.lexsort((rows[1], rows[2], rows[0]))
-    key, cid, size, pos = rows[:, order]
-    cid, size, pos = cid.astype(np.int64), size.astype(np.int64), pos.astype(np.int64)
+    rows = np.concatenate([np.frombuffer(x, np.uint64).reshape(3, -1) for x in blobs], axis=1)
+    order = np.lexsort((rows[1], rows[2] >> np.uint64(32), rows[0]))
+    key, cid, place = rows[:, order]
+    cid, size, pos = cid.astype(np.int64), (place >> np.uint64(32)).astype(np.int64), (place & np.uint64(0xFFFFFFFF)).astype(np.int64)
     one = np.ones(len(key), bool)
     one[1:] = (key[1:] != key[:-1]) | (cid[1:] != cid[:-1])  # a class may come from several tasks
     key, cid, size, pos = key[one], cid[one], size[one], pos[one]
@@ -216,6 +217,19 @@ def first_pairs(blobs: list[bytes], num: int, den: int) -> pa.Table:
     return pa.concat_tables([head, tail])
 
 
+def leaders_pairs(table: pa.Table, turn: int, num: int, den: int) -> np.ndarray:
+    """Of one long list, the pairs of members outside its largest component with this turn's leaders inside it."""
+    cid, size, pos, comp = (table[c].to_numpy() for c in ("cid", "size", "position", "component"))
+    names, code, n = np.unique(comp, return_inverse=True, return_counts=True)
+    inside, outside = np.flatnonzero(code == n.argmax()), np.flatnonzero(code != n.argmax())
+    order = np.argsort(wordhash.mixed(cid[inside].astype(np.uint64) ^ MULTIPLIERS[10 + turn]), kind="stable")[:ROUND_LEADERS]
+    out = []
+    for i in inside[order].tolist():
+        j = outside[possible(size[i], pos[i], size[outside], pos[outside], num, den)]
+        out.append(np.stack([np.minimum(cid[j], cid[i]), np.maximum(cid[j], cid[i])], 1))
+    return np.concatenate(out)
+
+
 def open_pairs(table: pa.Table, num: int, den: int) -> np.ndarray:
     """Of one long list, the pairs over different components that neither size, position nor a leader rules out."""
     t = table.sort_by([("size", "ascending"), ("position", "ascending")])
@@ -253,42 +267,50 @@ def bloom_words(ids: DataFrame) -> np.ndarray:
 
     def run(batches):
         for b in batches:
-            cid = b.column(0).to_numpy()
-            bit = np.unique(np.concatenate([bits_of(cid, k) for k in (1, 2)]))
+            found = b.column(0).drop_null().to_numpy(zero_copy_only=False)
+            bit = np.unique(np.concatenate([bits_of(found, k) for k in (1, 2)]))
             yield pa.RecordBatch.from_arrays([pa.array(bit)], ["bit"])
 
     words = ids.mapInArrow(run, "bit long").groupBy(F.expr("bit div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("m"))
     out = np.zeros(BLOOM_BITS // 64, np.uint64)
-    found = words.toPandas()
-    out[found["w"].to_numpy(np.int64)] = found["m"].to_numpy(np.int64).astype(np.uint64)
+    found = words.toArrow()
+    out[found["w"].to_numpy()] = found["m"].to_numpy().astype(np.uint64)
     return out
 
 
-def sets_for(docs: DataFrame, width: int, ids: DataFrame) -> DataFrame:
-    """(cid, grams): the sets of at least the classes in ids, once each."""
-    marks = bloom_words(ids)
+def sets_for(docs: DataFrame, each: DataFrame, width: int, ids: DataFrame) -> DataFrame:
+    """(cid, grams): the sets of at least the classes in ids, from one document each.
+
+    A class's document is the one with its smallest id; the filter may let others through, whose rows only repeat.
+    Documents without an id pass when any class has no other.
+    """
+    first = each.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("first")).join(ids.distinct(), "cid", "left_semi")
+    marks = bloom_words(first.select("first"))
+    nameless = not first.where("first is null").isEmpty()
 
     def run(batches):
-        known: set[int] = set()
         for b in batches:
-            for _, _, sets in sets_of(b.column(1), width):
-                ok = np.ones(len(sets.cid), bool)
-                for k in (1, 2):
-                    bit = bits_of(sets.cid, k)
-                    ok &= (marks[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
-                ok &= sets.size > 0
-                rows = [i for i in np.flatnonzero(ok).tolist() if not (sets.cid[i] in known or known.add(int(sets.cid[i])))]
+            doc = b.column(0)
+            known = doc.is_valid().to_numpy(zero_copy_only=False)
+            ok = known.copy()
+            value = doc.fill_null(0).to_numpy()
+            for k in (1, 2):
+                bit = bits_of(value, k)
+                ok &= (marks[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+            ok |= ~known & nameless
+            if not ok.any():
+                continue
+            for _, _, sets in sets_of(b.column(1).filter(pa.array(ok)), width):
+                rows = np.flatnonzero(sets.size > 0).tolist()
                 if rows:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(sets.cid[rows]), pa.array([sets.values[sets.edge[i]:sets.edge[i + 1]].astype(np.int64) for i in rows], pa.list_(pa.int64()))], ["cid", "grams"])
 
-    return docs.mapInArrow(run, "cid long, grams array<long>").groupBy("cid").agg(F.first("grams").alias("grams"))
+    return docs.mapInArrow(run, "cid long, grams array<long>")
 
 
-def verified(docs: DataFrame, width: int, pairs: DataFrame, num: int, den: int, name: str) -> DataFrame:
+def verified(sets: DataFrame, pairs: DataFrame, num: int, den: int, name: str) -> DataFrame:
     """(a, b, na, nb, both, linked) of each pair, from the full sets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("cid"))
-    sets = sets_for(docs, width, ids)
     met = (
         pairs.join(sets.select(F.col("cid").alias("a"), F.col("grams").alias("ga")), "a")
         .join(sets.select(F.col("cid").alias("b"), F.col("grams").alias("gb")), "b")
@@ -297,16 +319,62 @@ def verified(docs: DataFrame, width: int, pairs: DataFrame, num: int, den: int,
     return stored(met.withColumn("linked", F.col("both") * den >= (F.col("na") + F.col("nb") - F.col("both")) * num), name)
 
 
+def still_apart(long: DataFrame, comp: DataFrame) -> DataFrame:
+    """The entries of long lists that hold more than one component, with the component of each."""
+    placed = long.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    split = placed.groupBy("key").agg((F.min("component") != F.max("component")).alias("open")).where("open").select("key")
+    return stored(placed.join(split, "key"), "apart")
+
+
+def nearest_answers(sure: DataFrame) -> DataFrame:
+    """(cid, leaders, overlaps): of each class the verified pairs with most in common."""
+    both_ways = sure.select(F.col("a").alias("cid"), F.col("b").alias("z"), "both").unionByName(sure.select(F.col("b").alias("cid"), F.col("a").alias("z"), "both"))
+    best = F.slice(F.sort_array(F.collect_list(F.struct("both", "z")), False), 1, 8)
+    ranked = both_ways.groupBy("z").agg(F.count(F.lit(1)).alias("met")).where("met > 1").select("z")  # a leader is met by several
+    return both_ways.join(ranked, "z", "left_semi").groupBy("cid").agg(best.alias("best")).select("cid", F.col("best.z").alias("leaders"), F.col("best.both").alias("overlaps"))
+
+
+def heaviest(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order, and how often each was seen, of the most frequent keys: all from a count on that leaves at most `most`."""
+    per_key = stored(counts.groupBy("key").agg(F.sum("seen").alias("seen")), "heavy")
+    levels = per_key.groupBy(F.least("seen", F.lit(1 << 12)).alias("s")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("s")).collect()
+    least, left = None, most
+    for row in levels:  # at most 4096 rows
+        left -= row["n"]
+        if left < 0:
+            break
+        least = row["s"]
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    top = per_key.where(F.col("seen") >= least).toArrow()
+    keys, seen = top["key"].to_numpy().astype(np.uint64), top["seen"].to_numpy()
+    order = np.argsort(keys)
+    return keys[order], seen[order]
+
+
+def met_leaders(turn: int, num: int, den: int):
+    def run(table):
+        out = leaders_pairs(table, turn, num, den)
+        return pa.table([pa.array(out[:, 0], pa.int64()), pa.array(out[:, 1], pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def met_all(num: int, den: int):
+    def run(table):
+        out = open_pairs(table, num, den)
+        return pa.table([pa.array(out[:, 0], pa.int64()), pa.array(out[:, 1], pa.int64())], names=["a", "b"])
+
+    return run
+
+
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, num: int = 85, den: int = 100, heavy: int = HEAVY) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id. Links: intersection / union >= num / den."""
     spark = docs.sparkSession
     texts = texts_of(docs, id_col, text_col)
     known = stored(described(texts, width), "sets")
     each = known.where("n is not null").select("doc_id", "n", "cid")
-    top = known.where("key is not null").groupBy("key").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "key").limit(heavy).toPandas()
-    keys, seen = top["key"].to_numpy(np.int64).astype(np.uint64), top["seen"].to_numpy(np.int64)
-    order = np.argsort(keys)
-    keys, seen = keys[order], seen[order]
+    keys, seen = heaviest(known.where("key is not null"), heavy)
     entries = each.agg(F.sum(F.col("n") * (den - num) / den + 1)).first()[0] or 0
     parts = max(shuffle_width(spark), int(entries / ENTRIES_A_PART))
     blobs = indexed(texts, width, num, den, keys, seen, parts)
@@ -316,24 +384,29 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
 
     found = stored(blobs.groupBy("part").applyInArrow(listed, "a long, b long, key long, cid long, size long, position long"), "pairs")
     pairs = found.where("a is not null").select("a", "b").distinct()
-    sure = verified(texts, width, pairs, num, den, "verified")
-    links = sure.where("linked").select("a", "b")
-    comp = components(links, "jaccard-components")
     long = found.where("key is not null").select("key", "cid", "size", "position")
-    placed = long.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    split = placed.groupBy("key").agg((F.min("component") != F.max("component")).alias("open")).where("open").select("key")
-    both_ways = sure.select(F.col("a").alias("cid"), F.col("b").alias("z"), "both").unionByName(sure.select(F.col("b").alias("cid"), F.col("a").alias("z"), "both"))
-    answers = both_ways.groupBy("cid").agg(F.slice(F.sort_array(F.collect_list(F.struct("both", "z")), False), 1, 8).alias("best")).select("cid", F.col("best.z").alias("leaders"), F.col("best.both").alias("overlaps"))
-    rest = placed.join(split, "key").join(answers, "cid", "left")
-
-    def still_open(table):
-        out = open_pairs(table, num, den)
-        return pa.table([pa.array(out[:, 0], pa.int64()), pa.array(out[:, 1], pa.int64())], names=["a", "b"])
-
-    more = stored(rest.groupBy("key").applyInArrow(still_open, "a long, b long").distinct().join(sure.select("a", "b"), ["a", "b"], "left_anti"), "open-pairs")
-    if not more.isEmpty():
-        late = verified(texts, width, more, num, den, "verified-late").where("linked").select("a", "b")
-        comp = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(late), "jaccard-components")
+    needed_ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).unionByName(long.select("cid"))
+    sets = stored(sets_for(texts, each, width, needed_ids), "grams")
+    sure = verified(sets, pairs, num, den, "verified")
+    comp = components(sure.where("linked").select("a", "b"), "jaccard-components")
+    apart = still_apart(long, comp)
+    of_long = None
+    for turn in range(ROUNDS + 1):
+        if apart.isEmpty():
+            break
+        if of_long is None:
+            of_long = stored(sets.join(apart.select("cid").distinct(), "cid", "left_semi"), "grams-long")
+        if turn < ROUNDS:
+            asked = apart.groupBy("key").applyInArrow(met_leaders(turn, num, den), "a long, b long")
+        else:  # what is open now is answered by bounds or verified, all of it
+            asked = apart.join(nearest_answers(sure), "cid", "left").groupBy("key").applyInArrow(met_all(num, den), "a long, b long")
+        new = verified(of_long, asked.distinct().join(sure.select("a", "b"), ["a", "b"], "left_anti"), num, den, "verified")
+        sure = sure.unionByName(new)
+        if new.where("linked").isEmpty():
+            continue  # nothing was joined: what is apart stays so
+        comp = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new.where("linked").select("a", "b")), "jaccard-components")
+        if turn < ROUNDS:
+            apart = still_apart(long, comp)
     placed = each.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("component", "cid")))
     least = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     return placed.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))

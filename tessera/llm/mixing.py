@@ -118,10 +118,10 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_epochs: int = 3
 def mixed_documents(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_epochs: int = 3) -> DataFrame:
     """docs, columns as they are, each row as often as the mix takes it; rows that share id, source and size share their copies."""
     n = mix(docs, weights, max_epochs).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("n")).where("n > 0")
-    n = n.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__n"), "n")
+    n = n.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__n"), F.col("n").alias("__copies"))
     rows = docs.withColumn("__size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__size") == F.col("__n"))
-    return rows.join(n, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("n")))).select(*docs.columns)
+    return rows.join(n, same).withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 
 #: The same mix as one plain query, over windows without any dealing out.

@@ -32,7 +32,7 @@ from . import wordhash
 
 SIZE, END, GROUP_SEQUENCES = 4096, 2, 512
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 900_000
 
 
 def public_vocabulary() -> str:

@@ -16,7 +16,6 @@ table gives an empty result. lang, source and ids play no part in a score.
 
 from __future__ import annotations
 
-import functools
 import math
 import operator
 import pickle
@@ -31,7 +30,7 @@ SAMPLE_ROWS, DIM, VOCABULARY, HIDDEN, THRESHOLD = 6_000, 48, 30_000, 24, 0.7
 FOLDS, HELD_OUT = 4, 2
 TAILS, CASES = 6, 5
 SHAPES = TAILS * CASES * 2
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 WORDS_AT_ONCE = 1 << 16
 
 
@@ -192,16 +191,15 @@ def fit_model(rows: list[tuple[int, str | None, int]], dim: int = DIM, vocabular
     return {"words": often, "vectors": words.astype(np.float16), "shapes": shapes, "net": net}
 
 
-@functools.lru_cache(maxsize=1)
-def opened(blob: bytes):
+def opened(blob: bytes) -> tuple[dict, Coder]:
+    """The model and a cache of words; a task opens it once and drops both at its end."""
     model = pickle.loads(blob)
     if "vectors" in model:
         model["vectors"] = model["vectors"].astype(np.float32)
     return model, Coder({w: i + 1 for i, w in enumerate(model.get("words", []))})
 
 
-def score_texts(texts: list[str | None], blob: bytes) -> np.ndarray:
-    model, coder = opened(blob)
+def score_texts(texts: list[str | None], model: dict, coder: Coder) -> np.ndarray:
     if "share" in model:
         return np.full(len(texts), model["share"])
     x = features([coded(t, coder) for t in texts], model["vectors"], model["shapes"])
@@ -241,9 +239,10 @@ def score(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str =
     at = names.index(text_col)
 
     def run(batches):
+        parts = opened(model)
         for b in batches:
             texts = b.column(at)
-            scores = [score_texts(texts.slice(i, 200).to_pylist(), model) for i in range(0, len(texts), 200)]
+            scores = [score_texts(texts.slice(i, 200).to_pylist(), *parts) for i in range(0, len(texts), 200)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(scores) if scores else np.zeros(0))], [*names, "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
