@@ -36,6 +36,8 @@ from .components import components
 
 HEAVY, SHORT, LEADERS, BLOCK = 1 << 19, 16, 6, 64
 ROUNDS, ROUND_LEADERS = 1, 48
+#: How many common shingles two prefixes, this much longer, must show before the full sets are read.
+SHOWN = 16
 FLUSH = 1 << 22
 ENTRIES_A_PART = 1 << 19
 BLOOM_BITS = 1 << 23
@@ -93,6 +95,14 @@ def needed(a, b, num: int, den: int):
     return -((-num * (a + b)) // (num + den))
 
 
+def ordered(sets: Sets, keys: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of each text in the global order, often-seen ones last, and their positions."""
+    at = np.minimum(np.searchsorted(keys, sets.values), max(0, len(keys) - 1))
+    rank = np.where(keys[at] == sets.values, seen[at], 0) if len(keys) else np.zeros(len(sets.values), np.int64)
+    order = np.lexsort((sets.values, rank, sets.owner))
+    return sets.values[order], np.arange(len(order)) - np.repeat(sets.edge[:-1], sets.size)
+
+
 def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
@@ -143,14 +153,11 @@ def indexed(docs: DataFrame, width: int, num: int, den: int, keys: np.ndarray, s
         for b in batches:
             for _, _, sets in sets_of(b.column(1), width):
                 size = sets.size
-                at = np.minimum(np.searchsorted(keys, sets.values), max(0, len(keys) - 1))
-                rank = np.where(keys[at] == sets.values, seen[at], 0) if len(keys) else np.zeros(len(sets.values), np.int64)
-                order = np.lexsort((sets.values, rank, sets.owner))
-                position = np.arange(len(order)) - np.repeat(sets.edge[:-1], size)
+                values, position = ordered(sets, keys, seen)
                 fresh = np.array([not (c in known or known.add(c)) for c in sets.cid.tolist()], bool)
                 inside = (position < np.repeat(prefix_length(size, num, den), size)) & fresh[sets.owner]
                 owner = sets.owner[inside]
-                held.append(np.stack([sets.values[order][inside], sets.cid[owner].astype(np.uint64), size[owner].astype(np.uint64) << np.uint64(32) | position[inside].astype(np.uint64)]))
+                held.append(np.stack([values[inside], sets.cid[owner].astype(np.uint64), size[owner].astype(np.uint64) << np.uint64(32) | position[inside].astype(np.uint64)]))
                 n_held += held[-1].shape[1]
                 if n_held > FLUSH // 4:
                     yield from dealt(held)
@@ -278,8 +285,9 @@ def bloom_words(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def sets_for(docs: DataFrame, each: DataFrame, width: int, ids: DataFrame) -> DataFrame:
-    """(cid, grams): the sets of at least the classes in ids, from one document each.
+def sets_for(docs: DataFrame, each: DataFrame, width: int, ids: DataFrame, head=None) -> DataFrame:
+    """(cid, n, grams): size and set of at least the classes in ids, from one document each; with head, of the set
+    only the values for which head(sets) says so.
 
     A class's document is the one with its smallest id; the filter may let others through, whose rows only repeat.
     Documents without an id pass when any class has no other.
@@ -302,11 +310,31 @@ def sets_for(docs: DataFrame, each: DataFrame, width: int, ids: DataFrame) -> Da
                 continue
             for _, _, sets in sets_of(b.column(1).filter(pa.array(ok)), width):
                 rows = np.flatnonzero(sets.size > 0).tolist()
+                values, inside = head(sets) if head else (sets.values, np.ones(len(sets.values), bool))
+                grams = [values[a:b][inside[a:b]].astype(np.int64) for a, b in ((sets.edge[i], sets.edge[i + 1]) for i in rows)]
                 if rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(sets.cid[rows]), pa.array([sets.values[sets.edge[i]:sets.edge[i + 1]].astype(np.int64) for i in rows], pa.list_(pa.int64()))], ["cid", "grams"])
+                    yield pa.RecordBatch.from_arrays([pa.array(sets.cid[rows]), pa.array(sets.size[rows]), pa.array(grams, pa.list_(pa.int64()))], ["cid", "n", "grams"])
+
+    return docs.mapInArrow(run, "cid long, n long, grams array<long>")
+
+
+def prefix_of(keys: np.ndarray, seen: np.ndarray, num: int, den: int):
+    def head(sets: Sets) -> tuple[np.ndarray, np.ndarray]:
+        values, position = ordered(sets, keys, seen)
+        return values, position < np.repeat(prefix_length(sets.size, num, den) + SHOWN - 1, sets.size)
 
-    return docs.mapInArrow(run, "cid long, grams array<long>")
+    return head
+
+
+def shown(prefixes: DataFrame, pairs: DataFrame, num: int, den: int, name: str) -> DataFrame:
+    """The pairs whose prefixes have as many values in common as sets that similar must have there.
+
+    Two sets with an overlap of o agree in at least min(o, k) of their first n - o + k values, for any k.
+    """
+    side = lambda x: prefixes.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("grams").alias(f"g{x}"))
+    least = F.ceil((F.col("na") + F.col("nb")) * num / (num + den))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").where(F.size(F.array_intersect("ga", "gb")) >= F.least(F.lit(SHOWN), least))
+    return stored(met.select("a", "b").distinct(), name)
 
 
 def verified(sets: DataFrame, pairs: DataFrame, num: int, den: int, name: str) -> DataFrame:
@@ -316,7 +344,7 @@ def verified(sets: DataFrame, pairs: DataFrame, num: int, den: int, name: str) -
         .join(sets.select(F.col("cid").alias("b"), F.col("grams").alias("gb")), "b")
         .select("a", "b", F.size("ga").cast("long").alias("na"), F.size("gb").cast("long").alias("nb"), F.size(F.array_intersect("ga", "gb")).cast("long").alias("both"))
     )
-    return stored(met.withColumn("linked", F.col("both") * den >= (F.col("na") + F.col("nb") - F.col("both")) * num), name)
+    return stored(met.distinct().withColumn("linked", F.col("both") * den >= (F.col("na") + F.col("nb") - F.col("both")) * num), name)
 
 
 def still_apart(long: DataFrame, comp: DataFrame) -> DataFrame:
@@ -385,8 +413,10 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     found = stored(blobs.groupBy("part").applyInArrow(listed, "a long, b long, key long, cid long, size long, position long"), "pairs")
     pairs = found.where("a is not null").select("a", "b").distinct()
     long = found.where("key is not null").select("key", "cid", "size", "position")
-    needed_ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).unionByName(long.select("cid"))
-    sets = stored(sets_for(texts, each, width, needed_ids), "grams")
+    both = lambda p: p.select(F.explode(F.array("a", "b")).alias("cid"))
+    prefixes = stored(sets_for(texts, each, width, both(pairs), prefix_of(keys, seen, num, den)), "prefixes")
+    pairs = shown(prefixes, pairs, num, den, "shown")
+    sets = stored(sets_for(texts, each, width, both(pairs)), "grams")
     sure = verified(sets, pairs, num, den, "verified")
     comp = components(sure.where("linked").select("a", "b"), "jaccard-components")
     apart = still_apart(long, comp)
@@ -395,7 +425,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
         if apart.isEmpty():
             break
         if of_long is None:
-            of_long = stored(sets.join(apart.select("cid").distinct(), "cid", "left_semi"), "grams-long")
+            of_long = stored(sets_for(texts, each, width, apart.select("cid")), "grams-long")
         if turn < ROUNDS:
             asked = apart.groupBy("key").applyInArrow(met_leaders(turn, num, den), "a long, b long")
         else:  # what is open now is answered by bounds or verified, all of it
