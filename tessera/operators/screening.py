@@ -71,35 +71,46 @@ def by_trigrams(queries: DataFrame, corpus: DataFrame, limit: int = LIMIT, thres
     return top(kept, [F.desc("similarity"), F.asc("name_id")], limit)
 
 
+QUERY_BLOCK, CORPUS_BLOCK = 1024, 8192
+
+
+def blocked(df: DataFrame, key: str, rows: int, block: str) -> tuple[DataFrame, int]:
+    """df dealt over blocks of about `rows`, and the number of blocks."""
+    n = max(1, -(-df.count() // rows))
+    return df.withColumn(block, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")), n
+
+
 def by_vectors(queries: DataFrame, corpus: DataFrame, limit: int = LIMIT, max_distance: float = VECTOR_DISTANCE) -> DataFrame:
     """query_id, name_id, distance: the nearest `limit`, of which those nearer than max_distance stay.
 
-    A batch of queries is a stated set: it meets every row in blocks, as one Arrow-batched matrix product a block, and
-    each block keeps its nearest `limit` a query before anything is shuffled.
+    Queries and corpus meet block by block, one matrix product for each pair of blocks; a pair keeps the nearest `limit`
+    of each query before anything is ranked over blocks. Nothing is gathered on the driver.
     """
     import numpy as np
     import pandas as pd
 
-    asked = queries.where("embedding is not null").select("query_id", "embedding").toPandas()
-    ids = asked["query_id"].to_numpy()
-    q = np.array(asked["embedding"].tolist(), np.float64).reshape(len(ids), -1)
-    q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-
-    def run(frames):
-        for pdf in frames:
-            if not len(pdf) or not len(ids):
-                continue
-            x = np.array(pdf["embedding"].tolist(), np.float64)
-            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            names = pdf["name_id"].to_numpy()
-            for at in range(0, len(ids), 256):
-                d = 1 - q[at:at + 256] @ x.T
-                k = min(limit, d.shape[1])
-                for i, row in enumerate(d):
-                    near = np.lexsort((names, row))[:k] if k == d.shape[1] else np.flatnonzero(row <= np.partition(row, k - 1)[k - 1])
-                    yield pd.DataFrame({"query_id": ids[at + i], "name_id": names[near], "distance": row[near]})
-
-    found = corpus.where("is_active and embedding is not null").select("name_id", "embedding").mapInPandas(run, "query_id long, name_id long, distance double")
+    q, n_q = blocked(queries.where("embedding is not null").select("query_id", "embedding"), "query_id", QUERY_BLOCK, "qb")
+    c, n_c = blocked(corpus.where("is_active and embedding is not null").select("name_id", "embedding"), "name_id", CORPUS_BLOCK, "cb")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    both = q.select("qb", every(n_c).alias("cb"), F.lit(True).alias("asked"), F.col("query_id").alias("id"), "embedding").unionByName(
+        c.select(every(n_q).alias("qb"), "cb", F.lit(False).alias("asked"), F.col("name_id").alias("id"), "embedding"))
+
+    def unit(vectors: pd.Series) -> np.ndarray:
+        x = np.array(vectors.tolist(), np.float64)
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
+        asked, held = pdf[pdf["asked"]], pdf[~pdf["asked"]]
+        out = []
+        if len(asked) and len(held):
+            names, d = held["id"].to_numpy(np.int64), 1 - unit(asked["embedding"]) @ unit(held["embedding"]).T
+            k = min(limit, d.shape[1])
+            for i, row in zip(asked["id"].to_numpy(np.int64), d):
+                near = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1])
+                out.append(pd.DataFrame({"query_id": i, "name_id": names[near], "distance": row[near]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "name_id": np.zeros(0, np.int64), "distance": np.zeros(0)})
+
+    found = both.groupBy("qb", "cb").applyInPandas(nearest, "query_id long, name_id long, distance double")
     return top(found, [F.asc("distance"), F.asc("name_id")], limit).where(F.col("distance") < max_distance)
 
 

@@ -244,11 +244,11 @@ def perturb_sample(spark, d):
 @query("screen_batch")
 def screen_batch(spark, d):
     """Flagship: perturbed names screened against the part list; candidates, scores, best name of an entity, ten best entities, route."""
-    names = distinct_names(spark, d).withColumn("entity_id", F.crc32(F.element_at("tokens", 1)))
+    names = distinct_names(spark, d).withColumn("entity_id", F.crc32(F.element_at("tokens", 1))).persist()  # every retriever reads it
     spelled = names.select("name_id", S.perturbed(F.col("normalized"), F.col("name_id")).alias("raw"))
     n = text.normalized(F.col("raw"), transliterate=False)
-    queries = spelled.select(F.col("name_id").alias("query_id"), n.alias("n")).select("query_id", "n.normalized", "n.tokens", "n.sorted_key", F.transform("n.tokens", lambda t: F.soundex(t)).alias("phonetic"))
-    stats = S.token_stats(names)
+    queries = spelled.select(F.col("name_id").alias("query_id"), n.alias("n")).select("query_id", "n.normalized", "n.tokens", "n.sorted_key", F.transform("n.tokens", lambda t: F.soundex(t)).alias("phonetic")).persist()
+    stats = S.token_stats(names).persist()
     found = S.candidates(queries, names, stats, vectors=False)
     best = S.ranked(S.scored(found, queries, names, stats))
     routed = best.withColumn("route", D.route(F.col("score"), F.lit("medium"), F.lit("pass"), F.lit(False)))
