@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions import secrecy, text
+from tessera.functions import papers, secrecy, text
+from tessera.operators import cases, tenancy
 from tessera.operators import changes as C
 from tessera.operators import decisions as D
-from tessera.operators import tenancy
 from tessera.session import table
 
 from .registry import query
@@ -201,3 +201,74 @@ def dob_parse(spark, d):
 SELECT o_orderkey, strftime(CASE WHEN CAST(strftime(o_orderdate, '%y') AS INTEGER) >= 50 THEN o_orderdate ELSE o_orderdate END, '%Y-%m-%d') AS born FROM orders""")
 def mrz_dates(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.date_format(text.mrz_date(F.date_format("o_orderdate", "yyMMdd")), "yyyy-MM-dd").alias("born"))
+
+
+SQL_CASES = """
+cases AS (SELECT o_orderkey AS case_id, o_custkey % 5 AS tenant_id, CASE WHEN o_orderpriority < '3' THEN 'high_risk' ELSE 'review' END AS tier, CASE WHEN o_orderpriority < '3' THEN 'PENDING_L2' ELSE 'PENDING_L1' END AS state,
+  CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey % 20 END AS assignee_id FROM orders WHERE o_orderstatus = 'O')
+"""
+
+
+def work(spark, d):
+    """Orders as cases."""
+    high = F.col("o_orderpriority") < "3"
+    return table(spark, d, "orders").where("o_orderstatus = 'O'").select(
+        F.col("o_orderkey").alias("case_id"), (F.col("o_custkey") % 5).alias("tenant_id"), F.when(high, "high_risk").otherwise("review").alias("tier"), F.when(high, "PENDING_L2").otherwise("PENDING_L1").alias("state"),
+        F.when(F.col("o_orderkey") % 3 != 0, F.col("o_custkey") % 20).alias("assignee_id"), F.lit(None).cast("string").alias("decision"), F.lit(None).cast("long").alias("decided_by"))
+
+
+@query("assigned_cases", f"""
+WITH {SQL_CASES},
+people AS (SELECT u AS person, u % 5 AS tenant_id, CASE WHEN u % 2 = 0 THEN 'senior_reviewer' ELSE 'compliance_analyst' END AS role FROM (SELECT unnest(range(20)) AS u)),
+ld AS (SELECT tenant_id, assignee_id, count(*) AS n FROM cases WHERE assignee_id IS NOT NULL GROUP BY 1, 2),
+seats AS (SELECT p.*, row_number() OVER (PARTITION BY p.tenant_id, role ORDER BY coalesce(n, 0), person) - 1 AS seat, count(*) OVER (PARTITION BY p.tenant_id, role) AS seats FROM people p LEFT JOIN ld ON ld.tenant_id = p.tenant_id AND assignee_id = person),
+waiting AS (SELECT case_id, tenant_id, CASE WHEN tier = 'high_risk' THEN 'senior_reviewer' ELSE 'compliance_analyst' END AS role FROM cases WHERE assignee_id IS NULL),
+turns AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, role ORDER BY case_id) - 1 AS turn FROM waiting),
+dealt AS (SELECT case_id, person FROM turns t JOIN seats s ON s.tenant_id = t.tenant_id AND s.role = t.role AND t.turn % s.seats = s.seat)
+SELECT c.case_id, coalesce(assignee_id, person) AS assignee_id FROM cases c LEFT JOIN dealt USING (case_id)""")
+def assigned_cases(spark, d):
+    u = F.col("id")
+    people = spark.range(20).select((u % 5).alias("tenant_id"), u.alias("user_id"), F.when(u % 2 == 0, "senior_reviewer").otherwise("compliance_analyst").alias("role"), F.lit(True).alias("active"))
+    return cases.assign(work(spark, d), people).select("case_id", "assignee_id")
+
+
+@query("decided_cases", f"""
+WITH {SQL_CASES},
+f AS (SELECT case_id, CASE WHEN case_id % 2 = 0 THEN 'reject' ELSE 'approve' END AS decision, case_id % 20 AS actor FROM cases WHERE case_id % 7 <> 0),
+s AS (SELECT case_id, case_id % 4 AS actor FROM cases WHERE case_id % 4 < 2),
+j AS (SELECT c.*, f.decision AS fd, f.actor AS fa, s.actor AS sa, f.case_id IS NOT NULL AND (assignee_id IS NULL OR f.actor = assignee_id) AS taken, f.case_id IS NOT NULL AND assignee_id IS NOT NULL AND f.actor <> assignee_id AS wrong
+  FROM cases c LEFT JOIN f USING (case_id) LEFT JOIN s USING (case_id)),
+k AS (SELECT *, coalesce(tier = 'high_risk' AND taken AND fd = 'reject', false) AS dual, CASE WHEN taken THEN fa END AS person FROM j)
+SELECT case_id, CASE WHEN dual AND sa IS NOT NULL AND person IS NOT NULL AND sa <> person THEN 'REJECTED' WHEN taken AND NOT dual THEN CASE fd WHEN 'reject' THEN 'REJECTED' ELSE 'APPROVED' END ELSE state END AS state,
+  CASE WHEN taken THEN fd END AS decision, CASE WHEN wrong THEN 'not the assignee' WHEN sa IS NOT NULL AND person IS NULL THEN 'no first approval' WHEN sa IS NOT NULL AND dual AND sa = person THEN 'same person twice' END AS error FROM k""")
+def decided_cases(spark, d):
+    c = work(spark, d)
+    k = F.col("case_id")
+    ask = lambda rows, decision, actor, second: rows.select("case_id", decision.alias("decision"), actor.alias("actor_id"), F.lit(second).alias("second"), F.lit(1).alias("at"))
+    first = ask(c.where("case_id % 7 <> 0"), F.when(k % 2 == 0, "reject").otherwise("approve"), k % 20, False)
+    second = ask(c.where("case_id % 4 < 2"), F.lit("reject"), k % 4, True)
+    return cases.decide(c, first.unionByName(second)).select("case_id", "state", "decision", "error")
+
+
+@query("cleared_hits", """
+SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity < 20 AND l_linestatus = 'O' THEN 'false_positive' WHEN l_linestatus = 'O' THEN 'pending' ELSE 'true_match' END AS disposition,
+  CASE WHEN l_quantity < 20 AND l_linestatus = 'O' THEN 'insufficient_evidence' END AS reason FROM lineitem""")
+def cleared_hits(spark, d):
+    hits = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("score"), F.when(F.col("l_linestatus") == "O", "pending").otherwise("true_match").alias("disposition"), F.lit(None).cast("string").alias("reason"))
+    return cases.bulk_clear(hits, 20.0).select("l_orderkey", "l_linenumber", "disposition", "reason")
+
+
+@query("rescreen_cases", """
+SELECT o_custkey AS customer_id, 'review' AS tier FROM orders GROUP BY 1 HAVING max(o_totalprice / 5000) > 72 AND count(*) FILTER (o_orderstatus = 'P') = 0""")
+def rescreen_cases(spark, d):
+    o = table(spark, d, "orders")
+    scores = o.select(F.col("o_custkey").alias("customer_id"), (F.col("o_totalprice") / 5000).alias("score"))
+    held = o.select(F.col("o_custkey").alias("customer_id"), F.when(F.col("o_orderstatus") == "P", "PENDING_L1").otherwise("CLEARED").alias("state"))
+    return cases.opened_by_rescreen(scores, held)
+
+
+@query("file_rules", """
+SELECT p_partkey, CASE WHEN p_retailprice * 8000 > 10485760 OR p_size % 4 = 3 THEN 'fail' WHEN p_size % 4 <> p_partkey % 3 THEN 'warn' ELSE 'pass' END AS status FROM part""")
+def file_rules(spark, d):
+    kinds = F.array(*map(F.lit, (*papers.ALLOWED_TYPES, "text/html")))
+    return table(spark, d, "part").select("p_partkey", papers.file_rule(F.col("p_retailprice") * 8000, F.get(kinds, F.col("p_size") % 4), F.get(kinds, (F.col("p_partkey") % 3).cast("int"))).alias("status"))
