@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_width
+from .common import shuffle_width, small_batches
 
 #: Bytes of labels that one task's tries may hold before a subtree is spilled.
 BUDGET = 96 << 20
@@ -193,7 +193,7 @@ def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
                 trie.add(body.as_py(), owner, n)
         yield from batches_of(((len(k), k, o, n) for k, o, n in trie.drain() if n > 1), final)
 
-    bodies = docs.select(F.col(id_col).cast("long").alias("owner"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("body"))
+    bodies = small_batches(docs).select(F.col(id_col).cast("long").alias("owner"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("body"))
     once = bodies.mapInArrow(first_pass, "body binary, owner long, n long")
     dealt = once.repartition(shuffle_width(docs.sparkSession), F.octet_length("body"), F.sha2("body", 256))
     met = dealt.mapInArrow(last_pass, "len long, body binary, keep_id long, group_size long")

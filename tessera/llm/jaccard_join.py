@@ -31,14 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import shuffle_width, stored
+from .common import shuffle_width, small_batches, stored
 from .components import components
 
 HEAVY, SHORT, LEADERS, BLOCK = 1 << 19, 16, 6, 64
 ROUNDS, ROUND_LEADERS = 1, 48
 #: How many common shingles two prefixes, this much longer, must show before the full sets are read.
 SHOWN = 16
-FLUSH = 1 << 22
+FLUSH = 1 << 21
 ENTRIES_A_PART = 1 << 19
 BLOOM_BITS = 1 << 23
 SPACES = " \t\n\x0b\x0c\r"
@@ -104,7 +104,7 @@ def ordered(sets: Sets, keys: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray,
 
 
 def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
 
 def described(docs: DataFrame, width: int) -> DataFrame:
@@ -159,7 +159,7 @@ def indexed(docs: DataFrame, width: int, num: int, den: int, keys: np.ndarray, s
                 owner = sets.owner[inside]
                 held.append(np.stack([values[inside], sets.cid[owner].astype(np.uint64), size[owner].astype(np.uint64) << np.uint64(32) | position[inside].astype(np.uint64)]))
                 n_held += held[-1].shape[1]
-                if n_held > FLUSH // 4:
+                if n_held > FLUSH // 2:
                     yield from dealt(held)
                     held, n_held, known = [], 0, set()
         if held:

@@ -29,10 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
+from .common import small_batches
 
 SIZE, END, GROUP_SEQUENCES = 4096, 2, 512
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
-CACHED_WORDS = 900_000
+CACHED_WORDS, FRESH_WORDS = 1_000_000, 100_000
 
 
 def public_vocabulary() -> str:
@@ -60,9 +61,24 @@ class WordTokenizer:
         self.clear()
 
     def clear(self) -> None:
-        self.rows: dict[int, int] = {}
+        self.hashes, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted; the words' rows
+        self.fresh: dict[int, int] = {}  # rows of words that are not in there yet
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.begin, self.count, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+        self.begin, self.count, self.n = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32), 0
+
+    def rows_of(self, hashes: np.ndarray) -> np.ndarray:
+        """Rows of words, -1 for those that are not known."""
+        at = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
+        out = np.where(self.hashes[at] == hashes, self.places[at], -1) if len(self.hashes) else np.full(len(hashes), -1)
+        open_ = np.flatnonzero(out < 0)
+        out[open_] = [self.fresh.get(h, -1) for h in hashes[open_].tolist()]
+        return out
+
+    def settle(self) -> None:
+        hashes = np.concatenate([self.hashes, np.fromiter(self.fresh.keys(), np.uint64, len(self.fresh))])
+        places = np.concatenate([self.places, np.fromiter(self.fresh.values(), np.int32, len(self.fresh))])
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.places, self.fresh = hashes[order], places[order], {}
 
     def encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The words' ids on end and their numbers. Plain words go through the tokenizer as one text."""
@@ -92,8 +108,10 @@ class WordTokenizer:
         self.flat[self.used:self.used + len(flat)] = flat
         self.begin[self.n:self.n + len(words)] = self.used + np.cumsum(count) - count
         self.count[self.n:self.n + len(words)] = count
-        self.rows.update(zip(hashes, range(self.n, self.n + len(words))))
+        self.fresh.update(zip(hashes, range(self.n, self.n + len(words))))
         self.used, self.n = self.used + len(flat), self.n + len(words)
+        if len(self.fresh) > FRESH_WORDS:
+            self.settle()
 
     def encode_all(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text."""
@@ -103,18 +121,18 @@ class WordTokenizer:
                     yield np.array(e.ids, np.uint32)
                 continue
             code, distinct = pd.factorize(words.hash)
-            rows = list(map(self.rows.get, distinct.tolist()))
-            if None in rows:
+            rows = self.rows_of(distinct)
+            if (rows < 0).any():
                 if self.n > self.cached:
                     self.clear()
-                    rows = [None] * len(rows)
-                new = [i for i, r in enumerate(rows) if r is None]
+                    rows[:] = -1
+                new = np.flatnonzero(rows < 0)
                 place = np.empty(len(distinct), np.int64)
                 place[code] = np.arange(len(code))
+                rows[new] = self.n + np.arange(len(new))
                 self.learn(distinct[new].tolist(), [words.text(i) for i in place[new].tolist()])
-                rows = list(map(self.rows.__getitem__, distinct.tolist()))
-            row = np.array(rows, np.int64)[code]
-            n = self.count[row]
+            row = rows[code]
+            n = self.count[row].astype(np.int64)
             upto = np.concatenate([[0], np.cumsum(n)])
             ids = self.flat[np.repeat(self.begin[row] - upto[:-1], n) + np.arange(upto[-1])]
             edges = upto[words.first]
@@ -204,4 +222,4 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         if held:
             yield from flush()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, DDL + (", ids binary" if with_ids else ""))
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, DDL + (", ids binary" if with_ids else ""))
