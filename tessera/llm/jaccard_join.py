@@ -365,16 +365,17 @@ def nearest_answers(sure: DataFrame) -> DataFrame:
 def heaviest(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys in order, and how often each was seen, of the most frequent keys: all from a count on that leaves at most `most`."""
     per_key = stored(counts.groupBy("key").agg(F.sum("seen").alias("seen")), "heavy")
-    levels = per_key.groupBy(F.least("seen", F.lit(1 << 12)).alias("s")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("s")).collect()
+    level = F.floor(F.log2("seen") * 16)
+    levels = per_key.groupBy(level.alias("s")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("s")).collect()
     least, left = None, most
-    for row in levels:  # at most 4096 rows
+    for row in levels:  # at most 16 * 63 rows
         left -= row["n"]
         if left < 0:
             break
         least = row["s"]
     if least is None:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    top = per_key.where(F.col("seen") >= least).toArrow()
+    top = per_key.where(level >= least).toArrow()
     keys, seen = top["key"].to_numpy().astype(np.uint64), top["seen"].to_numpy()
     order = np.argsort(keys)
     return keys[order], seen[order]
