@@ -120,7 +120,7 @@ def vector_dot_clamped(spark, d):
     """Each vector against its label's centre."""
     e = table(spark, d, "embeddings")
     centre = e.select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.avg("v").alias("c")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda x: x["c"]).alias("centre"))
-    return e.join(F.broadcast(centre), "label").select("vec_id", (F.round(text.clamped_dot(F.col("embedding"), F.col("centre")), 6) + 0).alias("dot"))
+    return e.join(centre, "label").select("vec_id", (F.round(text.clamped_dot(F.col("embedding"), F.col("centre")), 6) + 0).alias("dot"))
 
 
 @query("phonetic_block")
