@@ -35,7 +35,12 @@ WORDS = (
     "configuration application environment development production international organization understanding responsibility "
     "entwicklung verantwortung möglichkeit gesellschaft wirtschaft einheitlich verschieden gelegentlich "
     "gouvernement développement organisation entièrement naturellement généralement maintenant "
-    "información administración desarrollo naturalmente posiblemente comunicación trabajadores"
+    "información administración desarrollo naturalmente posiblemente comunicación trabajadores "
+    "the this that there other another whether though through thought should would with which while where when what those these them then than "
+    "nouveaux beaucoup heureux tableaux royaume bureau oiseaux chevaux travaux journaux principaux auxquels lieux mieux vieux nombreux religieux précieux animaux cadeau château niveau réseau "
+    "morceau manteau couteau avoir pouvoir vouloir savoir devoir histoire mémoire victoire croire quelle queue aujourd ouvrier premier entier entre autre quatre "
+    "verschiedene selbstverständlich einschließlich geschichte zwischen schreiben schwierigkeiten pflicht empfehlung auszeichnung versicherung wissenschaft nachricht auch schon euch dampf kampf "
+    "ayuda ciudad quien cuando siempre aquella pequeño guerra llegar llamar valle calle cuestión acción nación corazón adecuado pueblo luego"
 ).split()
 
 
