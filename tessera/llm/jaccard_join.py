@@ -38,7 +38,7 @@ HEAVY, SHORT, LEADERS, BLOCK = 1 << 19, 16, 6, 64
 ROUNDS, ROUND_LEADERS = 1, 48
 #: How many common shingles two prefixes, this much longer, must show before the full sets are read.
 SHOWN = 16
-FLUSH = 1 << 21
+FLUSH = 1 << 22
 ENTRIES_A_PART = 1 << 19
 BLOOM_BITS = 1 << 23
 SPACES = " \t\n\x0b\x0c\r"
@@ -159,7 +159,7 @@ def indexed(docs: DataFrame, width: int, num: int, den: int, keys: np.ndarray, s
                 owner = sets.owner[inside]
                 held.append(np.stack([values[inside], sets.cid[owner].astype(np.uint64), size[owner].astype(np.uint64) << np.uint64(32) | position[inside].astype(np.uint64)]))
                 n_held += held[-1].shape[1]
-                if n_held > FLUSH // 2:
+                if n_held > FLUSH // 4:
                     yield from dealt(held)
                     held, n_held, known = [], 0, set()
         if held:
@@ -439,5 +439,6 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
         if turn < ROUNDS:
             apart = still_apart(long, comp)
     placed = each.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("component", "cid")))
-    least = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
+    # written first, so that the join below stands alone and a hot component can be split
+    least = stored(placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")), "least")
     return placed.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
