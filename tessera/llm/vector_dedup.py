@@ -133,7 +133,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     )
     rows = all_rows.where("usable").select("rid", "id", "v", F.size("v").alias("dim"))
     tiles_of = rows.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile_rows)).alias("tiles"))
-    dealt = rows.join(F.broadcast(tiles_of), "dim").withColumn("tile", F.pmod(F.xxhash64("rid"), F.col("tiles")))
+    dealt = rows.join(tiles_of, "dim").withColumn("tile", F.pmod(F.xxhash64("rid"), F.col("tiles")))
     none = np.iinfo(np.int64).min
 
     def blocked(table):
