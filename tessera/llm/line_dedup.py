@@ -62,7 +62,8 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     known = stored(at_start.withColumn("second", F.col("line") + F.col("n") - F.expr("shiftleft(1, k)")).join(shifted, ["d", "t", "second", "k"]).select(*AT, "n", "k", "p", "q"), "lines-known")
     interval = ["k", "p", "q", "n"]
     place = F.struct(*AT)
-    firsts = known.groupBy(*interval).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    # written first, so that the join below stands alone and a hot interval can be split
+    firsts = stored(known.groupBy(*interval).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m"), "lines-firsts")
     later = known.join(firsts, interval).where(place > F.col("first")).select("d", "t", F.col("line").alias("start"), (F.col("line") + F.col("n") - 1).alias("to"))
     doc = W.partitionBy("d", "t").orderBy("start", "to")
     reach = F.max("to").over(doc.rowsBetween(W.unboundedPreceding, -1))
