@@ -12,8 +12,8 @@ leaves at most one edge a vector. Components follow from the forests' edges.
 
 Defined cases: vectors that are null, empty, zero, or have null or non-finite components link with nothing and are
 their own component; vectors of different lengths never link; repeated rows are vectors of their own and link with
-each other; a row with a null id has its links counted but passes on no component; an empty table gives an empty
-result; other columns are ignored.
+each other; a row with a null id has its links counted but passes on no component, so it is in no forest, and those
+that it links with keep their own links; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -106,15 +106,16 @@ def joined_tiles(tables: list[dict], dim: int, threshold: float) -> pa.Table:
     b = a if same else quantised(x[1])
     n = len(x[0])
     total = n if same else n + len(x[1])
+    all_rid, all_ids = (rid[0], ids[0]) if same else (np.concatenate(rid), np.concatenate(ids))
+    named = all_ids != np.iinfo(np.int64).min
     count, parent, edges = np.zeros(total, np.int64), np.arange(total), []
     for i, j in pair_blocks(a, b, threshold, same):
         j = j if same else j + n
         count += np.bincount(i, minlength=total) + np.bincount(j, minlength=total)
-        edges += forest(total, i, j, parent)
-    all_rid, all_ids = (rid[0], ids[0]) if same else (np.concatenate(rid), np.concatenate(ids))
+        both = named[i] & named[j]  # a row without an id would join trees here and then leave, and the direct links with it
+        edges += forest(total, i[both], j[both], parent)
     some = np.flatnonzero(count)
-    none = np.iinfo(np.int64).min
-    edge = [(all_ids[p], all_ids[q]) for p, q in edges if all_ids[p] != none and all_ids[q] != none]
+    edge = [(all_ids[p], all_ids[q]) for p, q in edges]
     k = len(edge)
     return pa.table([
         pa.array([*all_rid[some].tolist(), *[None] * k], pa.int64()), pa.array([*count[some].tolist(), *[None] * k], pa.int64()),
