@@ -1,14 +1,16 @@
 """Chat formatting: tool-call linking, topological order, argument checks and canonical JSON (DataFrame functions only).
 
 Messages hold calls and results as JSON, or, without any, a user's turn calls for a reply and the assistant's next turn
-is its result. Calls and results are hash-joined by identifier through one row per identifier, aggregated before
-the join, so a call that is repeated any number of times meets no group. Order: a message's place is the
-largest turn among itself and all that it depends on, its level the longest chain of dependencies below it; (place,
-level, turn) is a topological order, found by relaxing the dependency edges round by round, `MAX_LEVELS` at most.
-Identifiers on a cycle never settle; they keep a null level and the error "cycle".
-
-Defined cases: a null conversation, turn or role links with nothing; null text is null in the JSON; identifiers that
-several calls claim are linked to each of them and marked "ambiguous"; results without a call and calls without a
+is its result. Calls and results are hash-joined by conversation and identifier through one row per identifier,
+aggregated before the join, so a call that is repeated any number of times meets no group. Order: a message's place is
+the largest turn among itself and all that it depends on, its level the longest chain of dependencies below it; (place,
+level, turn) is a topological order at any depth. Chains of single dependencies are followed by pointer doubling; calls
+with several leave round by round as they get ready, until a round frees none. What never settles, on a cycle or
+behind one, keeps its turn as place, a null level and the error "cycle".
+
+Defined cases: a null conversation, turn or role links with nothing; null text is null in the JSON; identifiers
+hold within their conversation; those that several calls claim are linked to each of them, have all their
+dependencies, and are marked "ambiguous"; results without a call and calls without a
 result are "unlinked"; arguments that are no JSON object are "malformed"; repeated rows are formatted each; an empty
 table gives an empty result; other columns are ignored.
 """
@@ -22,7 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-MAX_LEVELS = 64
+KEY = ["conv_id", "id"]
+#: After so many rounds the settled calls are written as one table; it bounds a plan's length, not the rounds.
+KEPT_ROUNDS = 16
 #: Of each tool: its parameters as (name, JSON type, required).
 Schemas = dict[str, Sequence[tuple[str, str, bool]]]
 REPLY: Schemas = {"reply": (("n_chars", "BIGINT", True), ("text", "STRING", True))}
@@ -74,33 +78,67 @@ def argument_errors(name: Column, arguments: Column, schemas: Schemas) -> Column
     return out.otherwise(F.array(F.lit("unknown tool")))
 
 
-def settled(nodes: DataFrame) -> DataFrame:
-    """(id, place, level) from nodes (id, at, depends_on): place and level relaxed along the dependencies."""
-    edges = nodes.select("id", F.explode("depends_on").alias("needs")).where("needs is not null").distinct()
-    edges = edges.join(nodes.select(F.col("id").alias("needs")), "needs", "left_semi")
-    now = nodes.select("id", F.col("at").alias("place"), F.lit(0).alias("level"))
+def chains(calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """(conv_id, id, top, steps, most, open) of each call: the end of its chain of single dependencies, by pointer doubling.
+
+    A chain ends at a call without dependencies or with several; most is the largest turn on it. Open ones lead into a cycle.
+    """
+    needs = edges.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.min("needs").alias("up"))
+    single = F.coalesce(F.col("n") == 1, F.lit(False))
+    now = stored(calls.join(needs, KEY, "left").select(
+        *KEY, F.when(single, F.col("up")).otherwise(F.col("id")).alias("top"), F.when(single, 1).otherwise(0).alias("steps"), F.col("at").alias("most"),
+        single.alias("open"), F.lit(False).alias("ended")), "chat-chains")
+    while True:
+        above = now.select("conv_id", F.col("id").alias("top"), F.col("top").alias("top2"), F.col("steps").alias("steps2"), F.col("most").alias("most2"), F.col("open").alias("open2"))
+        moved = now.where("open").join(above, ["conv_id", "top"]).select(
+            *KEY, F.col("top2").alias("top"), (F.col("steps") + F.col("steps2")).alias("steps"), F.greatest("most", "most2").alias("most"),
+            F.col("open2").alias("open"), (~F.col("open2")).alias("ended"))
+        now = stored(now.where("not open").withColumn("ended", F.lit(False)).unionByName(moved), "chat-chains")
+        if now.where("ended").isEmpty():  # a chain that still runs has its earlier calls end in every round
+            return now.drop("ended")
+
+
+def settled(calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """(conv_id, id, place, level) of calls (conv_id, id, at) along edges (conv_id, id, needs); null for what never settles."""
     if edges.isEmpty():
-        return now
-    edges, now = stored(edges, "chat-edges"), stored(now, "chat-levels")
-    for _ in range(MAX_LEVELS):
-        below = edges.join(now.withColumnRenamed("id", "needs"), "needs").groupBy("id").agg(F.max("place").alias("p"), (F.max("level") + 1).alias("l"))
-        new = stored(now.join(below, "id", "left").select("id", F.greatest("place", "p").alias("place"), F.coalesce("l", "level").alias("level"),
-                                                          ((F.coalesce("l", "level") != F.col("level")) | (F.greatest("place", "p") != F.col("place"))).alias("moved")), "chat-levels")
-        now = new.drop("moved")
-        if new.where("moved").isEmpty():
-            return now
-    return new.select("id", "place", F.when(~F.col("moved"), F.col("level")).alias("level"))
+        return calls.select(*KEY, F.col("at").alias("place"), F.lit(0).alias("level"))
+    edges = stored(edges.join(calls.select("conv_id", F.col("id").alias("needs")), ["conv_id", "needs"], "left_semi").distinct(), "chat-edges")
+    calls = stored(calls, "chat-calls")
+    runs = chains(calls, edges)
+    # calls with several dependencies: ready ones leave round by round
+    several = edges.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*KEY)
+    below = runs.select("conv_id", F.col("id").alias("needs"), "top", "steps", "most")
+    null = F.lit(None)
+    waits = stored(edges.join(several, KEY, "left_semi").join(below, ["conv_id", "needs"]).join(calls, KEY).select(
+        *KEY, "at", "top", "steps", "most", null.cast("long").alias("place"), null.cast("int").alias("level")), "chat-waits")
+    fresh = runs.where("not open and steps = 0").select(*KEY, F.col("most").cast("long").alias("place"), F.lit(0).alias("level")).join(several, KEY, "left_anti")
+    known, rounds = stored(fresh, "chat-known"), 0
+    fresh = known
+    while True:
+        last = fresh.select("conv_id", F.col("id").alias("top"), F.col("place").alias("p"), F.col("level").alias("l"))
+        met = stored(waits.join(last, ["conv_id", "top"], "left").select(
+            *KEY, "at", "top", "steps", "most", F.coalesce("place", F.when(F.col("p").isNotNull(), F.greatest("most", "p"))).alias("place"),
+            F.coalesce("level", F.col("l") + F.col("steps") + 1).cast("int").alias("level")), "chat-waits")
+        ready = met.groupBy(*KEY).agg(F.count_if(F.col("level").isNull()).alias("left"), F.max(F.greatest("at", "place")).alias("place"), F.max("level").alias("level"))
+        fresh = stored(ready.where("left = 0").select(*KEY, F.col("place").cast("long").alias("place"), "level"), "chat-ready")
+        if fresh.isEmpty():
+            break
+        waits, known, rounds = met.join(fresh.select(*KEY), KEY, "left_anti"), known.unionByName(fresh), rounds + 1
+        if rounds % KEPT_ROUNDS == 0:
+            known = stored(known, "chat-known")
+    ends = stored(known.withColumnRenamed("id", "top"), "chat-known")
+    return runs.join(ends, ["conv_id", "top"], "left").select(*KEY, F.when(F.col("level").isNotNull(), F.greatest("most", "place")).alias("place"), (F.col("level") + F.col("steps")).alias("level"))
 
 
 def linked(rows: DataFrame, schemas: Schemas) -> DataFrame:
     """rows of messages() with linked, ambiguous, place, level, errors."""
     is_call, is_result = F.col("kind") == "call", F.col("kind") == "result"
-    by_id = rows.where("id is not null").groupBy("id").agg(
+    by_id = rows.where("id is not null").groupBy(*KEY).agg(
         F.count_if(is_call).alias("n_calls"), F.count_if(is_result).alias("n_results"), F.min(F.when(is_call, F.col("turn"))).alias("at"),
-        F.max(F.when(is_call, F.col("depends_on"))).alias("depends_on"),
     )
-    order = settled(by_id.where("n_calls > 0").select("id", "at", "depends_on"))
-    links = by_id.select("id", "n_calls", "n_results").join(order, "id", "left")
+    edges = rows.where(is_call & F.col("id").isNotNull()).select(*KEY, F.explode("depends_on").alias("needs")).where("needs is not null")
+    order = settled(by_id.where("n_calls > 0").select(*KEY, "at"), edges)
+    links = by_id.select(*KEY, "n_calls", "n_results").join(order, KEY, "left")
     both = (F.col("n_calls") > 0) & (F.col("n_results") > 0)
     errors = F.when(is_call, argument_errors(F.col("name"), F.col("arguments"), schemas)).otherwise(F.array().cast("array<string>"))
     marks = F.array_compact(F.array(
@@ -108,10 +146,10 @@ def linked(rows: DataFrame, schemas: Schemas) -> DataFrame:
         F.when(F.col("n_calls") > 1, F.lit("ambiguous")), F.when((F.col("n_calls") > 0) & F.col("level").isNull(), F.lit("cycle")),
     ))
     depth = F.when(is_call, F.col("level")).when(is_result, F.coalesce(F.col("level") + 1, F.lit(0))).otherwise(F.lit(0))
-    links = stored(links.withColumnRenamed("id", "__id"), "chat-links")  # written first, so that a hot id can be split in the join
+    links = stored(links.withColumnsRenamed({"id": "__id", "conv_id": "__conv"}), "chat-links")  # written first, so that a hot id can be split in the join
     spread = F.coalesce("id", F.concat(F.lit("\0"), F.xxhash64("conv_id", "turn", "text").cast("string")))  # messages without an id meet nowhere
     # the file's size says little of the table's, so no broadcast is left to it
-    return rows.join(links.hint("merge"), spread == F.col("__id"), "left").select(
+    return rows.join(links.hint("merge"), (F.col("conv_id") == F.col("__conv")) & (spread == F.col("__id")), "left").select(
         "conv_id", "turn", "role", "text", "kind", "id", "name", "arguments",
         F.coalesce(both, F.lit(False)).alias("linked"), F.greatest("turn", "place").cast("long").alias("place"), depth.cast("int").alias("level"),
         F.concat(errors, marks).alias("errors"),
