@@ -8,7 +8,7 @@ of boilerplate, also inside articles. Viterbi gives the labels of a page's block
 text.
 
 Defined cases: null html counts as empty, and an empty page or one without main text gives an empty text; a page cut
-off anywhere is read as far as it goes; unknown character references stay as they are; repeated rows are extracted
+off anywhere is read as far as it goes; elements may be nested to any depth; unknown character references stay as they are; repeated rows are extracted
 each; null ids and urls are passed on; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -17,6 +17,7 @@ from __future__ import annotations
 import functools
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,37 +41,59 @@ TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"
 NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORDS = re.compile("[a-z]+")
 FEATURES = 1 << 13
+#: Pages share the places above this depth; it bounds what is kept between pages, not what is read.
+SHARED_DEPTH = 200
 
 
 class Place:
     """An element in the tree of paths that pages share: its tag, and the features of the path to it."""
 
-    __slots__ = ("tag", "parent", "below", "tags", "names", "features")
+    __slots__ = ("tag", "parent", "below", "depth", "names", "added", "near", "named", "path", "features")
 
-    def __init__(self, tag: str, names: tuple[str, ...], parent: Place | None):
-        self.tag, self.parent, self.below = tag, parent, {}
-        self.tags = (parent.tags if parent else ()) + (tag,)
-        self.names = (parent.names if parent else ()) + (names,)
+    def __init__(self, tag: str, names: tuple[str, ...], parent: Place | None, open_tags: Counter = Counter(), open_names: Counter = Counter()):
+        self.tag, self.parent, self.below, self.names = tag, parent, {}, names
+        self.depth = parent.depth + 1 if parent else 0
+        #: What the path has from this element on, and not above it.
+        self.added = ([] if open_tags[tag] else [f"has={tag}"]) + [f"name={w}" for w in names if not open_names[w]]
+        self.near = tag if tag in SECTION else parent.near if parent else "-"
+        self.named = names or (parent.named if parent else ())
+        self.path: np.ndarray | None = None
         self.features: np.ndarray | None = None
 
-    def child(self, tag: str, attributes: str) -> Place:
+    def child(self, tag: str, attributes: str, open_tags: Counter, open_names: Counter) -> Place:
         key = (tag, attributes)
         found = self.below.get(key)
         if found is None:
             if len(self.below) > 2000:
                 self.below.clear()
             names = {w for m in NAMED.finditer(attributes) for w in WORDS.findall((m[2] or m[3] or m[4] or "").lower())} if attributes else ()
-            found = self.below[key] = Place(tag, tuple(sorted(names)), self)
+            found = Place(tag, tuple(sorted(names)), self, open_tags, open_names)
+            if self.depth < SHARED_DEPTH:
+                self.below[key] = found
         return found
 
+    def own(self) -> list[str]:
+        """The features that are not the path's."""
+        return [f"in={self.tag}", f"near={self.near}", f"near={self.near},in={self.tag}", "bias"] + [f"near_name={w}" for w in self.named]
+
     def described(self) -> list[str]:
-        out = [f"has={t}" for t in set(self.tags)] + [f"in={self.tag}"]
-        out += [f"name={w}" for w in set(sum(self.names, ()))]
-        near = next((t for t in reversed(self.tags) if t in SECTION), "-")
-        named = next((n for n in reversed(self.names) if n), ())
-        out += [f"near={near}", f"near={near},in={self.tag}", "bias"] + [f"near_name={w}" for w in named]
+        out, up = self.own(), self
+        while up is not None:
+            out += up.added
+            up = up.parent
         return out
 
+    def weighed(self, w: np.ndarray) -> np.ndarray:
+        """The summed weights of described(); sums of paths are kept, so each element is weighed once at any depth."""
+        open_, up = [], self
+        while up is not None and up.path is None:
+            open_.append(up)
+            up = up.parent
+        for place in reversed(open_):
+            above = place.parent.path if place.parent else np.zeros(w.shape[1])
+            place.path = above + w[feature_ids(place.added)].sum(0) if place.added else above
+        return self.path + w[feature_ids(self.own())].sum(0)
+
 
 def feature_ids(names: list[str]) -> np.ndarray:
     import zlib
@@ -95,6 +118,17 @@ def text_features(text: str, linked: int, at: int, n: int) -> list[str]:
 def blocks(page: str, root: Place) -> Iterator[tuple[str, int, Place]]:
     """(text, characters inside links, place) of each leaf block, in page order."""
     at, end, place, parts, linked, links = 0, len(page), root, [], 0, 0
+    open_tags, open_names = Counter([root.tag]), Counter()
+
+    def left(until: Place) -> Place:
+        """Closes the elements from place up to until, which is closed too; its parent."""
+        up = place
+        while True:
+            open_tags[up.tag] -= 1
+            open_names.subtract(up.names)
+            if up is until:
+                return up.parent
+            up = up.parent
 
     def ended():
         text = " ".join("".join(parts).split())
@@ -132,22 +166,23 @@ def blocks(page: str, root: Place) -> Iterator[tuple[str, int, Place]]:
                 linked = 0
             links = 0
             if m[1]:
-                up = place
-                while up.parent is not None and up.tag != tag:
-                    up = up.parent
-                if up.parent is not None:
-                    place = up.parent
+                if open_tags[tag]:
+                    up = place
+                    while up.tag != tag:
+                        up = up.parent
+                    place = left(up)
             elif tag != "hr":
                 if place.tag == "p":
-                    place = place.parent
-                if tag in CLOSES_ITS_KIND:
+                    place = left(place)
+                if tag in CLOSES_ITS_KIND and open_tags[tag]:
                     up = place
                     while up.parent is not None and up.tag not in CLOSES_ITS_KIND[tag] and up.tag != tag:
                         up = up.parent
                     if up.tag == tag or (up.tag in ("dt", "dd") and tag in ("dt", "dd")):
-                        place = up.parent
-                if len(place.tags) < 200:
-                    place = place.child(tag, m[3].strip().rstrip("/"))
+                        place = left(up)
+                place = place.child(tag, m[3].strip().rstrip("/"), open_tags, open_names)
+                open_tags[tag] += 1
+                open_names.update(place.names)
     text = ended()
     if text:
         yield text, linked, place
@@ -164,7 +199,7 @@ class Field:
         out = np.empty((n, 2))
         for i, (text, linked, place) in enumerate(found):
             if place.features is None:
-                place.features = self.w[feature_ids(place.described())].sum(0)
+                place.features = place.weighed(self.w)
             key = tuple(text_features(text, linked, i, n))
             own = self.texts.get(key)
             if own is None:
