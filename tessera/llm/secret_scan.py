@@ -3,7 +3,10 @@
 DataFrame functions only. A text is cut at its matches by one regular-expression replacement with a mark that the
 text can't contain; running lengths of the parts are the spans. The models are two first-order Markov chains over
 `ALPHABET`, trained by counting character pairs of labelled samples; a run of token characters is a secret when the
-log-likelihood ratio of the chains reaches `MARGIN` in all and `PER_PAIR` a pair.
+log-likelihood ratio of the chains reaches `MARGIN` in all and `PER_PAIR` a pair. Where a run as a whole doesn't, each
+stretch of it that does is one, from `LEAST_STRETCH` characters on: the running sum of ratios starts anew where it
+comes to zero, and a stretch ends at its top once the sum has fallen by `MARGIN`. So ordinary words that are joined to
+a secret don't hide it. Runs under 16 characters are not scored.
 
 Defined cases: null text counts as empty and has no span; offsets count code points, end exclusive; equal starts are
 ordered by kind as listed in KINDS; repeated rows are scanned each; ids may be null; an empty table gives an empty
@@ -24,7 +27,7 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
-LEAST_VALUE, MARGIN, PER_PAIR, PRIOR = 6, 12.0, 0.45, 0.5
+LEAST_VALUE, MARGIN, PER_PAIR, PRIOR, LEAST_STRETCH = 6, 12.0, 0.45, 0.5, 12
 #: Words of the ordinary sample, joined by rule to identifiers.
 WORDS = (
     "user name account number order item price total value count index list first last next token key type state time date "
@@ -84,25 +87,45 @@ def fit(samples: DataFrame) -> list[float]:
     return out
 
 
-def log_ratio(text: Column, model: list[float]) -> Column:
-    k = len(ALPHABET) + 1
-    table = F.array(*map(F.lit, model))
-    step = lambda acc, c: F.struct(
-        c.cast("int").alias("last"),
-        (acc["sum"] + F.when(acc["last"] < 0, F.lit(0.0)).otherwise(F.get(table, acc["last"] * k + c))).alias("sum"),
-    )
-    return F.aggregate(codes(text), F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum")), step, lambda acc: acc["sum"])
+NO_STRETCH = "cast(array() as array<struct<from:int,to:int>>)"
 
 
-def spans(text: Column, kind: int, pattern: str, holds) -> Column:
-    """array<struct<start, kind, end>> of the leftmost non-overlapping matches for which holds(match) is true."""
+def secret_stretches(text: Column, model: list[float], margin: float, per_pair: float) -> Column:
+    """array<struct<from, to>> of a run: the whole run, if it is a secret, else its stretches that are."""
+    k = len(ALPHABET) + 1
+    table = F.array(*map(F.lit, model))
+    passes = lambda r, pairs: (r >= margin) & (r >= per_pair * pairs)
+
+    def closed(a: Column) -> Column:
+        good = passes(a["top"], a["end"] - a["start"]) & (a["end"] - a["start"] + 1 >= LEAST_STRETCH)
+        return F.when(good, F.array_append(a["out"], F.struct(a["start"].alias("from"), (a["end"] + 1).alias("to")))).otherwise(a["out"])
+
+    def step(a: Column, c: Column) -> Column:
+        r = F.when(a["last"] < 0, F.lit(0.0)).otherwise(F.get(table, a["last"] * k + c))
+        at, run = a["at"] + 1, a["run"] + r
+        higher = run > a["top"]
+        over = (run <= 0) | (a["top"] - run >= margin)
+        return F.struct(
+            c.cast("int").alias("last"), at.alias("at"), (a["sum"] + r).alias("sum"), F.when(over, F.lit(0.0)).otherwise(run).alias("run"),
+            F.when(over, F.lit(0.0)).when(higher, run).otherwise(a["top"]).alias("top"), F.when(over, at).otherwise(a["start"]).alias("start"),
+            F.when(over | higher, at).otherwise(a["end"]).alias("end"), F.when(over, closed(a)).otherwise(a["out"]).alias("out"),
+        )
+
+    zero, no = F.lit(0), F.lit(0.0)
+    start = F.struct(F.lit(-1).alias("last"), F.lit(-1).alias("at"), no.alias("sum"), no.alias("run"), no.alias("top"), zero.alias("start"), zero.alias("end"), F.expr(NO_STRETCH).alias("out"))
+    whole = lambda a: F.array(F.struct(zero.alias("from"), (a["at"] + 1).alias("to")))
+    return F.aggregate(codes(text), start, step, lambda a: F.when(passes(a["sum"], a["at"]), whole(a)).otherwise(closed(a)))
+
+
+def spans(text: Column, kind: int, pattern: str, within) -> Column:
+    """array<struct<start, kind, end>> of what within(match), array<struct<from, to>>, holds of the leftmost non-overlapping matches."""
     mark = "\x01"
     parts = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(mark + "$0" + mark)), mark, -1)
-    seen = F.transform(parts, lambda x, i: F.struct(F.when(i % 2 == 1, holds(x)).otherwise(F.lit(False)).alias("hit"), F.length(x).alias("n")))
+    seen = F.transform(parts, lambda x, i: F.struct(F.when(i % 2 == 1, within(x)).otherwise(F.expr(NO_STRETCH)).alias("hits"), F.length(x).alias("n")))
     none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
     add = lambda acc, s: F.struct(
         (acc["at"] + s["n"]).alias("at"),
-        F.when(s["hit"], F.array_append(acc["out"], F.struct(acc["at"].alias("start"), F.lit(kind).alias("kind"), (acc["at"] + s["n"]).alias("end")))).otherwise(acc["out"]).alias("out"),
+        F.when(F.size(s["hits"]) > 0, F.concat(acc["out"], F.transform(s["hits"], lambda h: F.struct((acc["at"] + h["from"]).alias("start"), F.lit(kind).alias("kind"), (acc["at"] + h["to"]).alias("end"))))).otherwise(acc["out"]).alias("out"),
     )
     found = F.aggregate(seen, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda acc: acc["out"])
     return F.when(text.rlike(pattern), found).otherwise(none)
@@ -116,11 +139,12 @@ def written(found: Column) -> Column:
 def scan(docs: DataFrame, model: list[float], id_col: str = "doc_id", text_col: str = "text", margin: float = MARGIN, per_pair: float = PER_PAIR) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_markov."""
     text = F.translate(F.coalesce(F.col(text_col), F.lit("")), "\x01", "\x02")
-    yes = lambda x: F.lit(True)
-    secret = lambda x: (lambda r: (r >= margin) & (r >= per_pair * (F.length(x) - 1)))(log_ratio(x, model))
+    yes = lambda x: F.array(F.struct(F.lit(0).alias("from"), F.length(x).alias("to")))
+    secret = lambda x: secret_stretches(x, model, margin, per_pair)
+    long = lambda x: F.when(F.length(F.regexp_extract(x, ASSIGN, 2)) >= LEAST_VALUE, yes(x)).otherwise(F.expr(NO_STRETCH))
     found = docs.select(F.col(id_col).alias("doc_id"), text.alias("t")).select(
         "doc_id",
-        spans(F.col("t"), 0, ASSIGN, lambda x: F.length(F.regexp_extract(x, ASSIGN, 2)) >= LEAST_VALUE).alias("a"),
+        spans(F.col("t"), 0, ASSIGN, long).alias("a"),
         spans(F.col("t"), 1, ACCESS, yes).alias("k"),
         spans(F.col("t"), 2, HEX, yes).alias("h"),
         spans(F.col("t"), 3, TOKEN, secret).alias("m"),
