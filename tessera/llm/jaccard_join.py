@@ -16,6 +16,10 @@ Answer level: what leaders have in common with their members is known then. For
 so most open pairs of two members of a leader's surroundings are answered without reading their sets; the rest is
 verified. No candidate is capped or dropped: a list's pairs are emitted, answered by a bound, or known to be joined.
 
+Links: linked sets share a component, so each component's classes are dealt over blocks of about LINK_BLOCK, and each
+pair of blocks meets once, in one task, where all its intersections are sparse matrix products. A task returns each
+class's number of links, weighted by the partners' documents, not the pairs.
+
 Defined cases: null text counts as empty; a document without words has no set, links with nothing and is its own
 component; with fewer words than a shingle the whole sequence is one; repeated rows fall into one class; null ids
 never name a component unless alone; an empty table gives an empty result; other columns are ignored.
@@ -38,6 +42,7 @@ HEAVY, SHORT, LEADERS, BLOCK = 1 << 19, 16, 6, 64
 ROUNDS, ROUND_LEADERS = 1, 48
 #: How many common shingles two prefixes, this much longer, must show before the full sets are read.
 SHOWN = 16
+LINK_BLOCK, LINK_VALUES = 256, 1 << 13
 FLUSH = 1 << 22
 ENTRIES_A_PART = 1 << 19
 BLOOM_BITS = 1 << 23
@@ -397,8 +402,75 @@ def met_all(num: int, den: int):
     return run
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, num: int = 85, den: int = 100, heavy: int = HEAVY) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id. Links: intersection / union >= num / den."""
+def overlaps(values: np.ndarray, edge: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The intersections of the sets x with the sets y; set i is values[edge[i]:edge[i + 1]]."""
+    held = [np.concatenate([values[edge[i]:edge[i + 1]] for i in rows.tolist()]) for rows in (x, y)]
+    owner = [np.repeat(np.arange(len(rows)), edge[rows + 1] - edge[rows]) for rows in (x, y)]
+    shared = np.intersect1d(*held)
+    out = np.zeros((len(x), len(y)))
+    if not len(shared):
+        return out
+    code = [np.searchsorted(shared, v) for v in held]
+    inside = [shared[np.minimum(c, len(shared) - 1)] == v for c, v in zip(code, held)]
+    for at in range(0, len(shared), LINK_VALUES):
+        sides = []
+        for rows, o, c, ok in zip((x, y), owner, code, inside):
+            now = ok & (c >= at) & (c < at + LINK_VALUES)
+            side = np.zeros((len(rows), min(LINK_VALUES, len(shared) - at)), np.float32)
+            side[o[now], c[now] - at] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def met_blocks(num: int, den: int):
+    def run(key, table):
+        _, lo, hi = (k.as_py() for k in key)
+        _, once = np.unique(table["cid"].to_numpy(), return_index=True)  # a set may have been read from several documents
+        t = table.take(pa.array(once)).combine_chunks()
+        cid, comp, m, block = (t[c].to_numpy() for c in ("cid", "component", "m", "block"))
+        grams = t["grams"].combine_chunks()
+        values, edge = grams.flatten().to_numpy(), np.concatenate([[0], np.cumsum(grams.value_lengths().to_numpy())])
+        size, links = np.diff(edge), np.zeros(len(cid), np.int64)
+        order = np.argsort(comp, kind="stable")
+        begin = np.flatnonzero(np.concatenate([[True], comp[order][1:] != comp[order][:-1]]))
+        for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(order)]):
+            rows = order[a:b]
+            x, y = rows[block[rows] == lo], rows[block[rows] == hi]
+            if not len(x) or not len(y):
+                continue
+            both = overlaps(values, edge, x, y).astype(np.int64)
+            linked = (both > 0) & (both * den >= (size[x][:, None] + size[y] - both) * num)
+            if lo == hi:
+                np.fill_diagonal(linked, False)
+            else:
+                links[y] += linked.T @ m[x]
+            links[x] += linked @ m[y]
+        return pa.table([pa.array(cid), pa.array(links)], names=["cid", "links"])
+
+    return run
+
+
+def link_counts(each: DataFrame, comp: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(cid, n_links): with how many other documents each document of a class links."""
+    weights = stored(each.where("n > 0").groupBy("cid").agg(F.count(F.lit(1)).alias("m")), "class-sizes")
+    comp = stored(comp.withColumnRenamed("node", "cid"), "members")
+    sized = stored(comp.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(LINK_BLOCK)).alias("blocks")), "component-sizes")
+    buckets = max(shuffle_width(comp.sparkSession), comp.count() // (4 * LINK_BLOCK))
+    members = stored(comp.join(sized, "component").select("cid", "component", "blocks"), "members").join(weights, "cid")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    dealt = sets.select("cid", "grams").join(members, "cid").withColumn("block", F.pmod(F.xxhash64("cid"), "blocks")).withColumn("other", other)
+    run = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(buckets))).otherwise(F.col("component"))  # small components share a group
+    met = dealt.select(run.alias("run"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "cid", "component", "m", "block", "grams")
+    found = met.groupBy("run", "lo", "hi").applyInArrow(met_blocks(num, den), "cid long, links long").groupBy("cid").agg(F.sum("links").alias("links"))
+    return stored(weights.join(found, "cid", "left").select("cid", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links")), "link-counts")
+
+
+def similar(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, num: int = 85, den: int = 100, heavy: int = HEAVY, count_links: bool = False,
+) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, and with count_links n_links, the number of other
+    documents it links with. Links: intersection / union >= num / den."""
     spark = docs.sparkSession
     texts = texts_of(docs, id_col, text_col)
     known = stored(described(texts, width), "sets")
@@ -441,4 +513,9 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     placed = each.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("component", "cid")))
     # written first, so that the join below stands alone and a hot component can be split
     least = stored(placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")), "least")
-    return placed.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    out = ["doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id")]
+    if not count_links:
+        return placed.join(least, "root", "left").select(*out)
+    counts = link_counts(each, comp, sets if of_long is None else sets.unionByName(of_long), num, den)
+    named = stored(placed.join(least, "root", "left").select("cid", *out), "named")
+    return named.join(counts, "cid", "left").select("doc_id", "n_shingles", "component_id", F.when(F.col("n_shingles") > 0, F.col("n_links")).otherwise(0).cast("long").alias("n_links"))

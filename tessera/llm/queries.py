@@ -42,7 +42,7 @@ def op8_line_dedup(spark, sf_dir):
 
 
 def op5_jaccard_join(spark, sf_dir):
-    return jaccard_join.similar(table(spark, sf_dir, "documents"))
+    return jaccard_join.similar(table(spark, sf_dir, "documents"), count_links=True)
 
 
 def op1_chat_format(spark, sf_dir):
