@@ -39,7 +39,7 @@ def read_entries(spark: SparkSession, path: str, namespace: str | None = None) -
     """One typed record per entry. With a namespace given, files that don't declare it have no entries; a missing uid is an error."""
     raw = spark.read.format("xml").option("rowTag", "sdnEntry").schema(ENTRY).load(path)
     if namespace is not None:
-        files = spark.read.format("binaryFile").load(path).select("path", F.decode(F.substring("content", 1, 4096), "UTF-8").contains(namespace).alias("declared"))
+        files = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").contains(namespace).alias("declared"))
         name = lambda c: F.element_at(F.split(c, "/"), -1)
         good = files.where("declared").select(name(F.col("path")).alias("__file"))
         raw = raw.withColumn("__file", name(F.input_file_name())).join(good, "__file", "left_semi").drop("__file")
