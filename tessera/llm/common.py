@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no checkpoint folder, as in tests.
+#: Used only where the session names no checkpoint folder and the master is local, as in tests.
 OWN_CHECKPOINTS = "/tmp/checkpoints"
 #: A word, as the contracts define it.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,31 +19,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor and the driver see; spark.checkpoint.dir where it is set."""
+    """The folder that every executor and the driver see: spark.checkpoint.dir; a cluster without one is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (named or OWN_CHECKPOINTS).rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends, lost executors lose nothing."""
+def stored(df: DataFrame, name: str, after: Iterable[DataFrame] = ()) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: lineage ends, lost executors lose nothing.
+
+    The tables of `after`, which stored() gave and only df still read, are deleted then; all others when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    place, files = on_disk(spark, path)
+    files.deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    dropped(*after)
+    return out
 
 
-def shuffle_width(spark: SparkSession, least: int = 1) -> int:
-    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+def on_disk(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
 
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files of tables that stored() gave and nothing reads any more."""
+    for df in tables:
+        if getattr(df, "stored_at", None):
+            place, files = on_disk(df.sparkSession, df.stored_at)
+            files.delete(place, True)
 
-#: Rows and bytes of one Arrow batch between the JVM and Python; texts are long, and the JVM holds whole batches off heap.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+def shuffle_width(spark: SparkSession, least: int = 1) -> int:
+    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """df; lowers the session's batch size for the Arrow functions that will read it, unless it is lower already."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces, so that Python objects are made of some texts at a time; Spark bounds a batch's bytes itself."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)

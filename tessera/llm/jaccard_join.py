@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import shuffle_width, small_batches, stored
+from .common import shuffle_width, slices, stored
 from .components import components
 
 HEAVY, SHORT, LEADERS, BLOCK = 1 << 19, 16, 6, 64
@@ -109,7 +109,7 @@ def ordered(sets: Sets, keys: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray,
 
 
 def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
 
 def described(docs: DataFrame, width: int) -> DataFrame:
@@ -124,7 +124,7 @@ def described(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches):
         held, n_held, known = [], 0, set()
-        for b in batches:
+        for b in slices(batches):
             for at, n, sets in sets_of(b.column(1), width):
                 none = pa.nulls(n, pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), pa.array(sets.size, pa.int64()), pa.array(sets.cid), none, none], schema=schema)
@@ -155,7 +155,7 @@ def indexed(docs: DataFrame, width: int, num: int, den: int, keys: np.ndarray, s
 
     def run(batches):
         held, n_held, known = [], 0, set()
-        for b in batches:
+        for b in slices(batches):
             for _, _, sets in sets_of(b.column(1), width):
                 size = sets.size
                 values, position = ordered(sets, keys, seen)
@@ -302,7 +302,7 @@ def sets_for(docs: DataFrame, each: DataFrame, width: int, ids: DataFrame, head=
     nameless = not first.where("first is null").isEmpty()
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             doc = b.column(0)
             known = doc.is_valid().to_numpy(zero_copy_only=False)
             ok = known.copy()

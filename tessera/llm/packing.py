@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import small_batches
+from .common import slices
 
 SIZE, END, GROUP_SEQUENCES = 4096, 2, 512
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
@@ -213,7 +213,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
             for at in range(0, len(rows), 10_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[at:at + 10_000]), schema)], schema=schema)
 
-        for b in batches:
+        for b in slices(batches):
             for d, found in zip(b.column(0).to_pylist(), words.encode_all(b.column(1))):
                 held.append((d, found.tobytes() + last))
                 tokens += len(found) + 1
@@ -222,4 +222,4 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         if held:
             yield from flush()
 
-    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, DDL + (", ids binary" if with_ids else ""))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, DDL + (", ids binary" if with_ids else ""))

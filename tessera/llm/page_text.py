@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import slices
 
 # HTML's own element groups.
 BLOCK = frozenset(
@@ -434,9 +434,9 @@ def extract(pages: DataFrame, field: Field | None = None, id_col: str = "page_id
         own = Field()
         own.w, own.start, own.step = weights[0].astype(np.float64), weights[1], weights[2]
         root = Place("-", (), None)
-        for b in batches:
+        for b in slices(batches):
             texts = [main_text(p.as_py(), own, root) for p in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return small_batches(pages).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html")).mapInArrow(
+    return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html")).mapInArrow(
         run, "page_id long, url string, text string, n_chars long")

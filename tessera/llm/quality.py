@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import slices
 
 SAMPLE_ROWS, DIM, VOCABULARY, HIDDEN, THRESHOLD = 6_000, 48, 30_000, 24, 0.7
 FOLDS, HELD_OUT = 4, 2
@@ -220,7 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         .where(fold() != HELD_OUT).groupBy("doc_id").agg(F.max("y").alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     )
-    rows = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def run(batches):
         held = {}
@@ -237,12 +237,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with a column score added; every other column stays as it is."""
     names = [c for c in docs.columns if c != "score"]
-    kept = small_batches(docs).select(*names)
+    kept = docs.select(*names)
     at = names.index(text_col)
 
     def run(batches):
         parts = opened(model)
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(at)
             scores = [score_texts(texts.slice(i, 200).to_pylist(), *parts) for i in range(0, len(texts), 200)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(scores) if scores else np.zeros(0))], [*names, "score"])

@@ -312,43 +312,68 @@ def test_jaccard_edges(spark):
 # lines
 
 
-def brute_lines(texts, least=51):
-    spans, seen, gone = [], {}, defaultdict(set)
-    for i, t in texts.items():
-        lines = (t or "").split("\n")
-        n = [len(WORD.findall(x)) for x in lines]
-        for s in range(len(lines)):
-            for step, stop in ((1, len(lines)), (-1, -1)):
-                c, e = 0, s
-                while e != stop and c < least:
-                    c += n[e]
-                    e += step
-                if c >= least:
-                    a, b = (s, e - 1) if step == 1 else (e + 1, s)
-                    spans.append((i, a, b, tuple(lines[a:b + 1])))
-    for i, a, b, content in sorted(spans, key=lambda x: (x[0], x[1])):
-        if content in seen and seen[content] < (i, a):
-            gone[i].update(range(a, b + 1))
-        seen.setdefault(content, (i, a))
+def brute_lines(texts, least):
+    """Lines with a word, as later copies of runs of at least `least` such lines; wordless lines go with the line before."""
+    holds = [(i, [(k, x) for k, x in enumerate((t or "").split("\n")) if WORD.search(x)], (t or "").count("\n") + 1) for i, t in sorted(texts.items())]
+    seen, gone = set(), defaultdict(set)
+    for i, held, n in holds:
+        at = [k for k, _ in held] + [n]
+        for s in range(len(held) - least + 1):
+            content = tuple(x for _, x in held[s:s + least])
+            if content in seen:
+                gone[i].update(range(at[s], at[s + least]))
+            seen.add(content)
     return gone
 
 
+def brute_prefix(rows, at, i):
+    """The longest common prefix of the suffix rows[i][at:] with any other suffix."""
+    best = 0
+    for j, other in enumerate(rows):
+        for b in range(len(other)):
+            if (j, b) != (i, at):
+                n = 0
+                while at + n < len(rows[i]) and b + n < len(other) and rows[i][at + n] == other[b + n]:
+                    n += 1
+                best = max(best, n)
+    return best
+
+
 def test_line_dedup(spark, odd):
     rng = np.random.default_rng(3)
     pool = [" ".join(f"k{rng.integers(50)}" for _ in range(rng.integers(0, 12))) for _ in range(12)] + [" ".join(f"z{j}_{i}" for i in range(55)) for j in range(3)]
     run = [f"line {i} of a shared run of lines" for i in range(12)]
     texts = ["\n".join(rng.choice(pool, rng.integers(1, 30))) for _ in range(40)] + ["\n".join(["head", *run, "tail"]), "\n".join(["other", *run, *run]), "\n".join(run[:5])]
     docs = docs_of(spark, texts).unionByName(odd.withColumn("doc_id", F.col("doc_id") + 100))
-    got = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
     every = {r.doc_id: r.text for r in docs.collect()}
-    gone = brute_lines(every)
-    assert sum(map(len, gone.values())) > 100
-    for i, t in every.items():
-        lines = (t or "").split("\n")
-        assert got[i].text == "\n".join(x for k, x in enumerate(lines) if k not in gone[i]) and (got[i].n_lines, got[i].n_removed) == (len(lines), len(gone[i])), i
+    for least in (1, 3):
+        got = {r.doc_id: r for r in line_dedup.dedup_lines(docs, min_lines=least).collect()}
+        gone = brute_lines(every, least)
+        assert sum(map(len, gone.values())) > 100
+        for i, t in every.items():
+            lines = (t or "").split("\n")
+            assert got[i].text == "\n".join(x for k, x in enumerate(lines) if k not in gone[i]) and (got[i].n_lines, got[i].n_removed) == (len(lines), len(gone[i])), i
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
 
 
+def test_common_prefixes(spark):
+    rng = np.random.default_rng(4)
+    rows = [list(rng.choice(list("abcde"), rng.integers(1, 25), p=[0.5, 0.2, 0.1, 0.1, 0.1])) for _ in range(12)]
+    rows += [rows[0] + ["z"], rows[1] * 2]
+    lines = line_dedup.sequences(docs_of(spark, ["\n\n".join(r) for r in rows]), "doc_id", "text")
+    seen = lines.groupBy("h1", "h2").count().where("count > 1")
+    first = lines.join(line_dedup.ranked(seen, ["h1", "h2"]), ["h1", "h2"])
+    got = {(r.d, r["at"]): r.m for r in line_dedup.common_prefixes(*line_dedup.doubled(first)).collect()}
+    want = {(i, at): brute_prefix(rows, at, i) for i, r in enumerate(rows) for at in range(len(r))}
+    assert got == {k: n for k, n in want.items() if n}
+
+
+def test_short_boilerplate_goes(spark):
+    line = "this boilerplate line of thirteen words opens every one of the documents here"
+    got = line_dedup.dedup_lines(docs_of(spark, [f"{line}\n\nown line {i}" for i in range(50)])).collect()
+    assert sorted(r.text.count(line) for r in got) == [0] * 49 + [1] and all(r.text.endswith(f"own line {r.doc_id}") for r in got)
+
+
 # pages
 
 
