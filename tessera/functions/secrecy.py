@@ -38,9 +38,15 @@ def hmac_sha256(key: bytes, c: Column) -> Column:
     return F.sha2(F.concat(pad(0x5C), F.unhex(inner)), 256)
 
 
+def casefolded(c: Column) -> Column:
+    """Full case folding by the full mappings to upper and to lower case; dotless i, which has no folding, is kept aside."""
+    raised = F.translate(F.upper(F.translate(c, "ıẞ", "\ue000ß")), "\ue001", "")  # stands between, or the optimizer drops upper
+    return F.translate(F.lower(raised), "ς\ue000", "σı")
+
+
 def blind_index(key: bytes, c: Column) -> Column:
-    """A keyed hash of the trimmed, lower-case value; null stays null."""
-    return hmac_sha256(key, F.lower(F.trim(c)))
+    """A keyed hash of the trimmed, case-folded value; null stays null."""
+    return hmac_sha256(key, casefolded(F.regexp_replace(c, r"(?U)^\s+|\s+$", "")))
 
 
 @F.pandas_udf(T.StringType())

@@ -5,9 +5,10 @@ Null and empty names give an empty normal form without tokens. The same function
 
 from __future__ import annotations
 
+import json
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Honorifics to drop.
@@ -29,10 +30,44 @@ SPELLINGS = {
 #: Latin letters that stand for two, with no decomposition of their own.
 DIGRAPHS = {"ß": "ss", "Æ": "AE", "æ": "ae", "Œ": "OE", "œ": "oe", "Þ": "Th", "þ": "th", "Ĳ": "IJ", "ĳ": "ij"}
 STROKES = {"Ø": "O", "ø": "o", "Ł": "L", "ł": "l", "Đ": "D", "đ": "d", "Ð": "D", "ð": "d", "Ħ": "H", "ħ": "h", "ı": "i", "Ŧ": "T", "ŧ": "t"}
-# Plain romanisations of other scripts, letter by letter.
+# Plain romanisations of other scripts, letter by letter; "-" stands for nothing.
 GREEK = dict(zip("ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", "A B G D E Z I Th I K L M N X O P R S T Y F Ch Ps O".split()))
 CYRILLIC = dict(zip("АБВГДЕЁЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "A B V G D E E Zh Z I I K L M N O P R S T U F Kh Ts Ch Sh Shch - Y - E Iu Ia".split()))
 ARABIC = dict(zip("ابتثجحخدذرزسشصضطظعغفقكلمنهويةىءأإآ", "a b t th j h kh d dh r z s sh s d t z ' gh f q k l m n h w y h a ' a i a".split()))
+HEBREW = dict(zip("אבגדהוזחטיכךלמםנןסעפףצץקרשת", "a b g d h v z h t y k k l m m n n s a p p ts ts q r sh t".split()))
+GEORGIAN = dict(zip("აბგდევზთიკლმნოპჟრსტუფქღყშჩცძწჭხჯჰ", "a b g d e v z t i k l m n o p zh r s t u p k gh q sh ch ts dz ts ch kh j h".split()))
+ARMENIAN = dict(zip("աբգդեզէըթժիլխծկհձղճմյնշոչպջռսվտրցւփքօֆ", "a b g d e z e y t zh i l kh ts k h dz gh ch m y n sh o ch p j r s v t r ts w p k o f".split()))
+
+
+def by_names(low: int, high: int, script: str) -> dict[str, str]:
+    """Romanisation of an Indic block by Unicode's own names: consonants bring an A, signs replace it, a virama ends it."""
+    out = {}
+    for code in range(low, high):
+        words = unicodedata.name(chr(code), "").split()
+        if words[:1] == [script] and "LETTER" in words:
+            out[chr(code)] = words[-1].lower()
+        elif words[:1] == [script] and words[1:3] == ["VOWEL", "SIGN"]:
+            out[chr(code)] = "\b" + words[-1].lower()
+        elif words[:1] == [script] and words[1:] == ["SIGN", "VIRAMA"]:
+            out[chr(code)] = "\b"
+        elif words[:1] == [script] and words[1:] in (["SIGN", "ANUSVARA"], ["SIGN", "CANDRABINDU"]):
+            out[chr(code)] = "n"
+        elif words[:1] == [script] and words[1:] == ["SIGN", "VISARGA"]:
+            out[chr(code)] = "h"
+    return out
+
+
+def letter_table() -> dict[str, str]:
+    """Every letter that is romanised on its own; Hangul and Han have no letters and stay as they are."""
+    out = {**ARABIC, **HEBREW, **GEORGIAN}
+    for upper in (GREEK, CYRILLIC, {k.upper(): v.capitalize() for k, v in ARMENIAN.items()}):
+        out |= upper | {k.lower(): v.lower() for k, v in upper.items()}
+    out |= {"ς": "s", "և": "ev"}
+    for low, script in ((0x900, "DEVANAGARI"), (0x980, "BENGALI"), (0xA00, "GURMUKHI"), (0xA80, "GUJARATI"), (0xB00, "ORIYA"), (0xB80, "TAMIL"), (0xC00, "TELUGU"), (0xC80, "KANNADA"), (0xD00, "MALAYALAM")):
+        out |= by_names(low, low + 0x80, script)
+    for code in range(0x370, 0x530):  # letters with accents
+        out.setdefault(chr(code), out.get(unicodedata.normalize("NFD", chr(code))[:1], chr(code)))
+    return {k: "" if v == "-" else v for k, v in out.items() if k != v}
 
 
 def latin_table() -> tuple[str, str]:
@@ -55,25 +90,30 @@ def strip_accents(c: Column) -> Column:
 
 
 def to_ascii(c: Column) -> Column:
-    """strip_accents, then Greek, Cyrillic and basic Arabic letters romanised; what is left beyond ASCII goes."""
-    source, target = latin_table()
-    out = F.regexp_replace(F.translate(c, source, target), "[\\u0300-\\u036f]", "")
-    for table in (DIGRAPHS, GREEK, {k.lower(): v.lower() for k, v in GREEK.items()} | {"ς": "s"}, CYRILLIC, {k.lower(): v.lower() for k, v in CYRILLIC.items()}, ARABIC):
-        for letter, plain in table.items():
-            out = F.replace(out, F.lit(letter), F.lit("" if plain == "-" else plain))
-    return F.regexp_replace(out, "[^\\x00-\\x7f]", "")
+    """strip_accents, then the letters of other alphabets romanised; letters without a table stay, other signs beyond ASCII go.
+
+    Plain text passes both tests untouched; only what is left after the Latin letters is looked up letter by letter.
+    """
+    beyond = "[^\\x00-\\x7f]"
+    latin = strip_accents(c)
+    table = F.from_json(F.lit(json.dumps(letter_table())), "map<string,string>")  # one constant, not two thousand
+    letters = F.array_join(F.transform(F.split(latin, ""), lambda ch: F.when(ch.rlike(beyond), F.coalesce(F.try_element_at(table, ch), ch)).otherwise(ch)), "")
+    # a sign that replaces the A before it
+    joined = F.regexp_replace(letters, "a?\b", "")
+    rest = F.regexp_replace(joined, "[^\\x00-\\x7f\\p{L}\\p{N}]", "")
+    return F.when(c.rlike(beyond), F.when(latin.rlike(beyond), rest).otherwise(latin)).otherwise(c)
 
 
 def cleaned(c: Column) -> Column:
-    """Upper case, full stops dropped, other marks blank, blanks squeezed and trimmed; `_` stays."""
+    """Upper case, full stops dropped, other marks blank, blanks squeezed and trimmed; `_` and letters of any script stay."""
     t = F.replace(F.upper(F.lower(F.coalesce(c, F.lit("")))), F.lit("."), F.lit(""))
-    return F.trim(F.regexp_replace(F.regexp_replace(t, "[^\\w\\s]", " "), "\\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(t, "[^\\w\\s\\p{L}\\p{N}]", " "), "\\s+", " "))
 
 
 def name_tokens(c: Column) -> Column:
     """Tokens of a cleaned name: honorifics go, legal forms and spellings are mapped; duplicates stay."""
     forms = {**{f: LEGAL_TOKEN for f in LEGAL_FORMS}, **SPELLINGS}
-    table = F.create_map(*[F.lit(x) for pair in forms.items() for x in pair])
+    table = F.from_json(F.lit(json.dumps(forms)), "map<string,string>")
     kept = F.filter(F.split(c, " "), lambda t: (t != "") & ~t.isin(*HONORIFICS))
     return F.transform(kept, lambda t: F.coalesce(F.try_element_at(table, t), t))
 
@@ -84,6 +124,12 @@ def normalized(c: Column, transliterate: bool = True) -> Column:
     return F.struct(F.array_join(tokens, " ").alias("normalized"), tokens.alias("tokens"), F.array_join(F.array_sort(tokens), " ").alias("sorted_key"))
 
 
+def with_name(df: DataFrame, c: Column, transliterate: bool = True) -> DataFrame:
+    """df with tokens, normalized and sorted_key of the raw name c; the name is read once, however many of them are used."""
+    tokens = name_tokens(cleaned(to_ascii(c) if transliterate else c))
+    return df.select("*", F.explode(F.array(tokens)).alias("tokens")).withColumns({"normalized": F.array_join("tokens", " "), "sorted_key": F.array_join(F.array_sort("tokens"), " ")})
+
+
 def trigrams(c: Column) -> Column:
     """The set of trigrams of lower-case words, each padded by two blanks before and one after."""
     words = F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")

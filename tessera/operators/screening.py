@@ -35,43 +35,78 @@ def top(df: DataFrame, order: list[Column], limit: int) -> DataFrame:
 
 
 def by_tokens(queries: DataFrame, corpus: DataFrame, stats: DataFrame, limit: int = LIMIT, floor: float = IDF_FLOOR) -> DataFrame:
-    """query_id, name_id, weight: names that share a selective token, weighed by all shared tokens' idf."""
-    asked = queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("token")).join(stats.select("token", "idf"), "token", "left")
+    """query_id, name_id, weight: names that share a selective token, weighed by all shared tokens' idf.
+
+    Exact, with bounds: a query's tokens stand in order, rarest first. As soon as one is held by `limit` names, each
+    of which weighs its idf or more, names whose first shared token comes later count only while all that is left may
+    weigh as much. A name meets a query at the first blocking token they share, once, and brings its tokens along.
+    """
+    held = corpus.where("is_active").select("name_id", F.array_distinct("tokens").alias("held")).select("name_id", "held", F.explode("held").alias("token"))
+    asked = queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("token"))
+    names = held.groupBy("token").agg(F.count(F.lit(1)).alias("names"))
+    asked = asked.join(stats.select("token", "idf"), "token", "left").join(names, "token", "left")
+    weight = F.coalesce("idf", F.lit(UNKNOWN_WEIGHT_IDF))
     selective = F.coalesce("idf", F.lit(UNKNOWN_BLOCK_IDF)) >= floor
-    asked = asked.withColumn("any", F.max(selective).over(W.partitionBy("query_id"))).withColumn("block", selective | ~F.col("any"))
-    held = corpus.where("is_active").select("name_id", F.explode(F.array_distinct("tokens")).alias("token"))
-    blocked = asked.where("block").join(held, "token").select("query_id", "name_id").distinct()
-    # the weight counts all shared tokens; common ones are looked up only for the names that a selective one found
-    shared = blocked.join(held, "name_id").join(asked.select("query_id", "token", "idf"), ["query_id", "token"])
-    weight = F.sum(F.coalesce("idf", F.lit(UNKNOWN_WEIGHT_IDF)))
-    return top(shared.groupBy("query_id", "name_id").agg(weight.alias("weight")), [F.desc("weight"), F.asc("name_id")], limit)
+    whole, later = W.partitionBy("query_id"), W.partitionBy("query_id").orderBy(F.desc("weight"), "token").rowsBetween(0, W.unboundedFollowing)
+    asked = asked.withColumn("weight", weight).withColumn("block", selective | ~F.max(selective).over(whole))
+    sure = F.max(F.when(F.col("block") & (F.col("names") >= limit), F.col("weight"))).over(whole)
+    asked = asked.withColumn("left", F.sum("weight").over(later)).withColumn("block", F.col("block") & (F.col("left") * (1 + 1e-9) >= F.coalesce(sure, F.lit(0.0))))
+    entry = F.struct((-F.col("weight")).alias("order"), "token", "block")
+    whole_query = asked.groupBy("query_id").agg(F.array_sort(F.collect_list(entry)).alias("asked"))
+    met = whole_query.select("query_id", "asked", F.explode(F.filter("asked", lambda t: t["block"])["token"]).alias("token"))
+    met = spread(met, held, "token", "name_id")
+    shared = F.filter("asked", lambda t: F.array_contains("held", t["token"]))
+    first = F.filter("shared", lambda t: t["block"])[0]["token"]
+    once = met.select("query_id", "name_id", "token", shared.alias("shared")).where(first == F.col("token"))
+    weighed = once.select("query_id", "name_id", F.round(F.aggregate("shared", F.lit(0.0), lambda s, t: s - t["order"]), 9).alias("weight"))
+    return top(weighed, [F.desc("weight"), F.asc("name_id")], limit)
+
+
+SALTS = 8
+
+
+def spread(asked: DataFrame, held: DataFrame, key: str, id_col: str) -> DataFrame:
+    """asked joined with held by key, whose hot values are dealt over SALTS parts by held's id; asked rows go to each part.
+
+    The join's output is far larger than its inputs, so its width is set by the session and not by the inputs' bytes.
+    """
+    width = SALTS * int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")) // 2
+    everywhere = asked.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))).repartition(width, key, "salt")
+    dealt = held.withColumn("salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")).repartition(width, key, "salt")
+    return everywhere.join(dealt, [key, "salt"]).drop("salt")
 
 
 def by_trigrams(queries: DataFrame, corpus: DataFrame, limit: int = LIMIT, threshold: float = TRIGRAM_THRESHOLD) -> DataFrame:
     """query_id, name_id, similarity of at least threshold: an inverted-index join on the rarest trigrams of each side.
 
     A pair at the threshold shares a trigram among the first size - ceil(threshold * size) + 1 of either in any one
-    order; the corpus's frequencies give the order, so the join keys are rare.
+    order; the corpus's frequencies give the order, so the join keys are rare. A pair is met at the first trigram that
+    it shares and only if enough can follow behind both places; it brings its trigrams along, so nothing is joined again.
     """
-    grams = lambda df, key: df.select(key, F.col("normalized"), text.trigrams(F.col("normalized")).alias("g")).where(F.size("g") > 0)
+    grams = lambda df, key: df.select(key, F.explode(text.trigrams(F.col("normalized"))).alias("gram"))
     q, c = grams(queries, "query_id"), grams(corpus.where("is_active"), "name_id")
-    often = c.select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("seen"))
-
-    def prefix(df: DataFrame, key: str) -> DataFrame:
-        each = df.select(key, F.size("g").alias("n"), F.explode("g").alias("gram")).join(often, "gram", "left")
-        place = F.row_number().over(W.partitionBy(key).orderBy(F.coalesce("seen", F.lit(0)), "gram"))
-        return each.withColumn("p", place).where(F.col("p") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select(key, "gram", F.col("n").alias(f"{key}_n"))
-
-    length_ok = (F.col("name_id_n") >= F.col("query_id_n") * threshold) & (F.col("query_id_n") >= F.col("name_id_n") * threshold)
-    pairs = prefix(q, "query_id").join(prefix(c, "name_id"), "gram").where(length_ok).select("query_id", "name_id").distinct()
-    scored = pairs.join(q.select("query_id", F.col("g").alias("gq")), "query_id").join(c.select("name_id", F.col("g").alias("gc")), "name_id")
+    # at most 37 ** 3 trigrams of letters, digits and blanks exist, so ranks, 0 for what no name has, are a small table at any size
+    often = c.groupBy("gram").agg(F.count(F.lit(1)).alias("seen"))
+    ranks = F.broadcast(often.select("gram", F.row_number().over(W.orderBy("seen", "gram")).alias("rank")))
+
+    def entries(each: DataFrame, key: str, own: str) -> DataFrame:
+        ranked = each.join(ranks, "gram", "left").groupBy(key).agg(F.sort_array(F.collect_list("rank")).alias(own), F.count(F.lit(1)).cast("int").alias(f"{own}_n"))
+        missing = F.col(f"{own}_n") - F.size(own)  # grams that no name has come first in the order
+        head = (F.col(f"{own}_n") - F.ceil(F.col(f"{own}_n") * threshold) + 1 - missing).cast("int")
+        return ranked.select(key, own, f"{own}_n", missing.alias("m"), F.posexplode(F.slice(own, F.lit(1), F.greatest(head, F.lit(0)))).alias("i", "gram")).withColumn(f"{own}_at", F.col("i") + F.col("m")).drop("m").withColumnRenamed("i", f"{own}_i")
+
+    nq, nc = F.col("gq_n"), F.col("gc_n")
+    enough = F.least(nq - F.col("gq_at"), nc - F.col("gc_at")) >= (nq + nc) * (threshold / (1 + threshold)) - 1e-9
+    length_ok = (nc >= nq * threshold) & (nq >= nc * threshold)
+    met = spread(entries(q, "query_id", "gq"), entries(c, "name_id", "gc"), "gram", "name_id").where(length_ok & enough)
+    before = lambda own: F.slice(own, F.lit(1), F.col(f"{own}_i"))
+    once = met.where(~F.arrays_overlap(before("gq"), before("gc")))
     both = F.size(F.array_intersect("gq", "gc"))
-    similarity = both / (F.size("gq") + F.size("gc") - both)
-    kept = scored.select("query_id", "name_id", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
-    return top(kept, [F.desc("similarity"), F.asc("name_id")], limit)
+    scored = once.select("query_id", "name_id", (nq + nc).alias("n"), both.alias("both")).select("query_id", "name_id", (F.col("both") / (F.col("n") - F.col("both"))).alias("similarity"))
+    return top(scored.where(F.col("similarity") >= threshold), [F.desc("similarity"), F.asc("name_id")], limit)
 
 
-QUERY_BLOCK, CORPUS_BLOCK = 1024, 8192
+QUERY_BLOCK, CORPUS_BLOCK = 4096, 8192
 
 
 def blocked(df: DataFrame, key: str, rows: int, block: str) -> tuple[DataFrame, int]:
@@ -83,42 +118,49 @@ def blocked(df: DataFrame, key: str, rows: int, block: str) -> tuple[DataFrame,
 def by_vectors(queries: DataFrame, corpus: DataFrame, limit: int = LIMIT, max_distance: float = VECTOR_DISTANCE) -> DataFrame:
     """query_id, name_id, distance: the nearest `limit`, of which those nearer than max_distance stay.
 
-    Queries and corpus meet block by block, one matrix product for each pair of blocks; a pair keeps the nearest `limit`
-    of each query before anything is ranked over blocks. Nothing is gathered on the driver.
+    Queries and corpus meet block by block, one matrix product for each pair of blocks over Arrow's own buffers; a pair
+    keeps the nearest `limit` of each query before anything is ranked over blocks. Nothing is gathered on the driver.
+    Vectors that are null or empty meet nothing; all others are of one length.
     """
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
-    q, n_q = blocked(queries.where("embedding is not null").select("query_id", "embedding"), "query_id", QUERY_BLOCK, "qb")
-    c, n_c = blocked(corpus.where("is_active and embedding is not null").select("name_id", "embedding"), "name_id", CORPUS_BLOCK, "cb")
+    some = F.size("embedding") > 0
+    q, n_q = blocked(queries.where(some).select("query_id", "embedding"), "query_id", QUERY_BLOCK, "qb")
+    c, n_c = blocked(corpus.where(F.col("is_active") & some).select("name_id", "embedding"), "name_id", CORPUS_BLOCK, "cb")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     both = q.select("qb", every(n_c).alias("cb"), F.lit(True).alias("asked"), F.col("query_id").alias("id"), "embedding").unionByName(
         c.select(every(n_q).alias("qb"), "cb", F.lit(False).alias("asked"), F.col("name_id").alias("id"), "embedding"))
+    names = ["query_id", "name_id", "distance"]
+    none = pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names)
 
-    def unit(vectors: pd.Series) -> np.ndarray:
-        x = np.array(vectors.tolist(), np.float64)
+    def unit(table: pa.Table) -> np.ndarray:
+        x = table["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(table.num_rows, -1)
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
-    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
-        asked, held = pdf[pdf["asked"]], pdf[~pdf["asked"]]
-        out = []
-        if len(asked) and len(held):
-            names, d = held["id"].to_numpy(np.int64), 1 - unit(asked["embedding"]) @ unit(held["embedding"]).T
-            k = min(limit, d.shape[1])
-            for i, row in zip(asked["id"].to_numpy(np.int64), d):
-                near = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1])
-                out.append(pd.DataFrame({"query_id": i, "name_id": names[near], "distance": row[near]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "name_id": np.zeros(0, np.int64), "distance": np.zeros(0)})
-
-    found = both.groupBy("qb", "cb").applyInPandas(nearest, "query_id long, name_id long, distance double")
+    def nearest(table: pa.Table) -> pa.Table:
+        asked, held = table.filter(table["asked"]), table.filter(pa.compute.invert(table["asked"]))
+        if not asked.num_rows or not held.num_rows:
+            return none
+        ids, d = held["id"].to_numpy(), 1 - unit(asked) @ unit(held).T
+        k = min(limit, d.shape[1])
+        edge = np.minimum(np.partition(d, k - 1, axis=1)[:, k - 1], max_distance)  # what lies beyond can't stay
+        i, j = np.nonzero(d <= edge[:, None])
+        return pa.table([pa.array(asked["id"].to_numpy()[i]), pa.array(ids[j]), pa.array(d[i, j])], names)
+
+    found = both.groupBy("qb", "cb").applyInArrow(nearest, "query_id long, name_id long, distance double")
     return top(found, [F.asc("distance"), F.asc("name_id")], limit).where(F.col("distance") < max_distance)
 
 
 def by_sound(queries: DataFrame, corpus: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """query_id, name_id: names that share a phonetic key, the smallest ids first."""
+    """query_id, name_id: names that share a phonetic key, the smallest ids first.
+
+    Of each key only its `limit` smallest ids can be among a query's smallest, so a frequent key joins with no more.
+    """
     asked = queries.select("query_id", F.explode(F.array_distinct("phonetic")).alias("sound"))
     held = corpus.where("is_active").select("name_id", F.explode(F.array_distinct("phonetic")).alias("sound"))
-    return top(asked.join(held, "sound").select("query_id", "name_id").distinct(), [F.asc("name_id")], limit)
+    least = held.withColumn("r", F.row_number().over(W.partitionBy("sound").orderBy("name_id"))).where(F.col("r") <= limit).drop("r")
+    return top(asked.join(least, "sound").select("query_id", "name_id").distinct(), [F.asc("name_id")], limit)
 
 
 def union_of(*parts: tuple[str, DataFrame]) -> DataFrame:
@@ -181,22 +223,44 @@ def composite(score: Column, changes: Column, forced: Column, weak: Column, w: d
     return F.when(forced, F.lit(100.0)).otherwise(F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), capped)), 2))
 
 
+#: What a query may say of a person, and an entity's attributes; absent ones are null or empty and change nothing.
+QUERY_FACTS = {"birth": "date", "nationality": "string", "id_number": "string", "query_type": "string"}
+ENTITY_FACTS = {"dobs": "array<date>", "dob_years": "array<int>", "nationalities": "array<string>", "id_numbers": "array<string>", "sdn_type": "string", "weak": "boolean"}
+
+
+def with_facts(df: DataFrame, facts: dict[str, str]) -> DataFrame:
+    """df with a null column for each fact that it has not."""
+    return df.withColumns({name: F.lit(None).cast(kind) for name, kind in facts.items() if name not in df.columns})
+
+
 def scored(found: DataFrame, queries: DataFrame, corpus: DataFrame, stats: DataFrame) -> DataFrame:
-    """Candidates with their ratios and score; the Arrow functions see blocked pairs only."""
+    """Candidates with their ratios, cosine, adjustments and composite score; the Arrow functions see blocked pairs only.
+
+    queries may have QUERY_FACTS, corpus ENTITY_FACTS. corroborated: birth, nationality or an identifier agrees.
+    """
     rare = stats.where(F.col("idf") > WEIGHTS["rare_idf_threshold"]).select("token")
-    q = queries.select("query_id", F.col("normalized").alias("q_name"), F.col("tokens").alias("q_tokens"), F.col("sorted_key").alias("q_key"))
+    q = with_facts(with_facts(queries, QUERY_FACTS), {"embedding": "array<float>"}).select("query_id", F.col("normalized").alias("q_name"), F.col("tokens").alias("q_tokens"), F.col("sorted_key").alias("q_key"), F.col("embedding").alias("q_vector"), *QUERY_FACTS)
     rare_of = q.select("query_id", F.explode(F.array_distinct("q_tokens")).alias("token")).join(rare, "token", "left_semi").groupBy("query_id").agg(F.collect_set("token").alias("rare"))
     q = q.join(rare_of, "query_id", "left").withColumn("rare", F.coalesce("rare", F.array().cast("array<string>")))
-    c = corpus.select("name_id", "entity_id", F.col("normalized").alias("c_name"), F.col("tokens").alias("c_tokens"))
+    c = with_facts(with_facts(corpus, ENTITY_FACTS), {"embedding": "array<float>"}).select("name_id", "entity_id", F.col("normalized").alias("c_name"), F.col("tokens").alias("c_tokens"), F.col("embedding").alias("c_vector"), *ENTITY_FACTS)
     pairs = found.join(q, "query_id").join(c, "name_id")
+    both = (F.size("q_vector") > 0) & (F.size("c_vector") > 0)
     pairs = pairs.withColumns({
         "set_ratio": fuzzy.token_set_ratio("q_name", "c_name"), "sort_ratio": fuzzy.token_sort_ratio("q_name", "c_name"),
         "jw_ratio": fuzzy.jaro_winkler_ratio(F.col("q_key"), F.array_join(F.array_sort("c_tokens"), " ")),
+        "cosine": F.when(both, 100 * text.clamped_dot(F.col("q_vector"), F.col("c_vector"))),
     })
-    base = name_score(F.col("set_ratio"), F.col("sort_ratio"), F.col("jw_ratio"), F.lit(None).cast("double"))
+    none = lambda name, kind: F.coalesce(F.col(name), F.array().cast(kind))
+    entity = {name: F.col(name) if name in ("sdn_type", "weak") else none(name, kind) for name, kind in ENTITY_FACTS.items()}
+    changes, forced = adjustments(F.col("birth"), F.col("nationality"), F.col("id_number"), F.col("query_type"), entity)
+    base = name_score(F.col("set_ratio"), F.col("sort_ratio"), F.col("jw_ratio"), F.col("cosine"))
     penalty = rare_penalty(F.col("q_tokens"), F.col("rare"), F.col("c_tokens"))
-    total = F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), base + penalty)), 2)
-    return pairs.select("query_id", "name_id", "entity_id", "methods", "set_ratio", "sort_ratio", "jw_ratio", penalty.alias("rare_penalty"), total.alias("score"))
+    pairs = pairs.withColumns({"base": base, "penalty": penalty, "changes": changes, "forced": forced})
+    agrees = F.exists(F.map_keys("changes"), lambda k: k.isin("dob_exact_match", "dob_year_match", "nationality_match"))
+    return pairs.select(
+        "query_id", "name_id", "entity_id", "methods", "set_ratio", "sort_ratio", "jw_ratio", "cosine", F.col("penalty").alias("rare_penalty"), F.col("changes").alias("adjustments"), "forced",
+        (F.col("forced") | agrees).alias("corroborated"), composite(F.col("base") + F.col("penalty"), F.col("changes"), F.col("forced"), F.col("weak")).alias("score"),
+    )
 
 
 def ranked(scores: DataFrame, top_n: int = 10) -> DataFrame:
@@ -206,20 +270,39 @@ def ranked(scores: DataFrame, top_n: int = 10) -> DataFrame:
     return best.withColumn("rank", place).where(F.col("rank") <= top_n)
 
 
+def bound(x: Column, f) -> Column:
+    """f(x) with x computed once, however often f uses it, also inside other lambdas."""
+    return F.transform(F.array(x), f)[0]
+
+
 def hashed_embedding(c: Column, dim: int = 64) -> Column:
     """A stand-in for a language model: unit vectors of hashed character trigrams; an empty text gives an empty vector."""
-    grams = text.trigrams(c)
-    slot = F.transform(grams, lambda g: F.pmod(F.xxhash64(g), F.lit(dim)).cast("int"))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(slot, lambda s: s == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(F.size(grams) > 0, F.transform(raw, lambda x: (x / norm).cast("float"))).otherwise(F.array().cast("array<float>"))
+    slots = F.transform(text.trigrams(c), lambda g: F.pmod(F.xxhash64(g), F.lit(dim)).cast("int"))
+    counts = lambda s: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(s, lambda x: x == i)).cast("double"))
+    norm = lambda raw: F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
+    unit = lambda raw: bound(norm(raw), lambda n: F.transform(raw, lambda x: (x / n).cast("float")))
+    return bound(slots, lambda s: F.when(F.size(s) > 0, bound(counts(s), unit)).otherwise(F.array().cast("array<float>")))
+
+
+# Spellings that a true match may be written in, one for another.
+VARIANTS = (
+    ("MOHAMMAD", "MOHAMMED"), ("MOHAMMED", "MUHAMMAD"), ("MUHAMMAD", "MOHAMAD"), ("ABDUL", "ABD AL"), ("HUSSEIN", "HUSSAIN"), ("HUSSAIN", "HUSAIN"), ("YUSUF", "YOUSEF"),
+    ("YOUSEF", "YUSUF"), ("IBRAHIM", "EBRAHIM"), ("OSAMA", "USAMA"), ("ALI", "ALY"), ("AHMED", "AHMAD"), ("AHMAD", "AHMED"),
+)
 
 
 def perturbed(c: Column, key: Column, seed: int = 42) -> Column:
-    """A spelling of the name that a rule by key and seed picks: two letters swapped, reordered, a middle word dropped, an honorific, or as it is."""
+    """A spelling of the name that a rule by key and seed picks: a spelling variant, reordered, a middle word dropped,
+    two letters of a word swapped, or an honorific before it; what can't be applied leaves the name as it is."""
     words = F.split(c, " ")
-    n, pick = F.size(words), F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(5))
-    at = F.pmod(F.xxhash64(key, F.lit(seed + 1)), F.length(c) - 2).cast("int") + 2
-    swapped = F.concat(F.substr(c, F.lit(1), at - 1), F.substr(c, at + 1, F.lit(1)), F.substr(c, at, F.lit(1)), F.substr(c, at + 2))
-    dropped = F.array_join(F.filter(words, lambda _, i: ~((i == 1) & (n >= 3))), " ")
-    return F.when((pick == 0) & (F.length(c) >= 4), swapped).when(pick == 1, F.array_join(F.reverse(words), " ")).when(pick == 2, dropped).when(pick == 3, F.concat(F.lit("Dr "), c)).otherwise(c)
+    draw = lambda k, n: F.pmod(F.xxhash64(key, F.lit(seed + k)), n).cast("int")
+    n, pick = F.size(words), draw(0, F.lit(5))
+    variants = F.create_map(*[F.lit(x) for pair in VARIANTS for x in pair])
+    respelled = F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(variants, F.upper(w)), w)), " ")
+    middle = draw(1, F.greatest(n - 2, F.lit(1))) + 1
+    dropped = F.array_join(F.filter(words, lambda _, i: ~((i == middle) & (n >= 3))), " ")
+    at = draw(2, n)
+    place = draw(3, F.greatest(F.length(F.get(words, at)) - 2, F.lit(1))) + 2
+    swap = lambda w: F.when(F.length(w) < 4, w).otherwise(F.concat(F.substr(w, F.lit(1), place - 1), F.substr(w, place + 1, F.lit(1)), F.substr(w, place, F.lit(1)), F.substr(w, place + 2)))
+    swapped = F.array_join(F.transform(words, lambda w, i: F.when(i == at, swap(w)).otherwise(w)), " ")
+    return F.when(pick == 0, respelled).when(pick == 1, F.array_join(F.reverse(words), " ")).when(pick == 2, dropped).when(pick == 3, swapped).otherwise(F.concat(F.lit("Dr "), c))

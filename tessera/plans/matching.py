@@ -8,33 +8,48 @@ from tessera.functions import fuzzy, text
 from tessera.operators import decisions as D
 from tessera.operators import screening as S
 from tessera.session import table
+from tessera.storage import written
 
 from .registry import query
 
+#: Names are runs of NAME_WORDS words of the documents, every NAME_STEP words, at most NAMES_A_TEXT of a text; a document is an entity.
+NAME_WORDS, NAME_STEP, NAMES_A_TEXT = 3, 9, 6
+#: The documents whose names are asked for, too.
+ASKED_EVERY = 50
+BLANKS = r"[\x20\x09-\x0D]+"
 
 
-def part_names(spark, d):
-    """Part names as a watchlist: a name a part, a brand an entity."""
-    n = text.normalized(F.col("p_name"), transliterate=False)
-    p = table(spark, d, "part").select("p_partkey", "p_brand", n.alias("n"))
-    return p.select(
-        F.col("p_partkey").alias("name_id"), F.crc32("p_brand").alias("entity_id"), "n.normalized", "n.tokens", "n.sorted_key", F.transform("n.tokens", lambda t: F.soundex(t)).alias("phonetic"), F.lit(True).alias("is_active"))
+def watch_names(spark, d):
+    """The watchlist: name_id, entity_id, normalized, tokens, sorted_key, is_active; some 60,000 names for 10,000 documents, ties kept."""
+    docs = table(spark, d, "documents").select("doc_id", F.filter(F.split("text", BLANKS), lambda w: w != "").alias("w"))
+    runs = F.transform(F.sequence(F.lit(0), F.lit(NAMES_A_TEXT - 1)), lambda i: F.struct(i.alias("i"), F.slice("w", i * NAME_STEP + 1, NAME_WORDS).alias("words")))
+    each = docs.select("doc_id", F.explode(F.filter(runs, lambda r: F.size(r["words"]) == NAME_WORDS)).alias("r"))
+    raw = each.select((F.col("doc_id") * NAMES_A_TEXT + F.col("r.i")).alias("name_id"), F.col("doc_id").alias("entity_id"), F.array_join("r.words", " ").alias("raw"))
+    return text.with_name(raw, F.col("raw")).where("normalized <> ''").withColumn("is_active", F.lit(True))
 
 
-def distinct_names(spark, d):
-    """One row per distinct part name, with its smallest key."""
-    p = part_names(spark, d)
-    return p.groupBy("normalized").agg(F.min("name_id").alias("name_id"), F.first("tokens").alias("tokens"), F.first("sorted_key").alias("sorted_key"), F.first("phonetic").alias("phonetic")).withColumn("is_active", F.lit(True))
+def asked_names(names):
+    """Every fiftieth entity's names, as queries against all."""
+    return names.where(F.col("entity_id") % ASKED_EVERY == 0).withColumnRenamed("name_id", "query_id").drop("entity_id", "is_active", "raw")
 
 
-def asked(names, with_ids="name_id"):
-    """The names as queries."""
-    return names.select(F.col(with_ids).alias("query_id"), "normalized", "tokens", "sorted_key", "phonetic")
+def listed(words):
+    return ", ".join(f"'{w}'" for w in words)
 
 
-SQL_NAMES = """
-named AS (SELECT p_partkey AS name_id, p_brand, trim(regexp_replace(regexp_replace(replace(upper(p_name), '.', ''), '[^\\w\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS normalized FROM part),
-uniq AS (SELECT normalized, min(name_id) AS name_id, string_split(normalized, ' ') AS tokens FROM named GROUP BY 1)
+LETTERS = "strip_accents(raw)"
+for two, one in text.DIGRAPHS.items():
+    LETTERS = f"replace({LETTERS}, '{two}', '{one}')"
+RESPELLED = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in text.SPELLINGS.items())
+SQL_NAMES = rf"""
+texts AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '{BLANKS}'), lambda x: x <> '') AS w FROM documents),
+cut AS (SELECT doc_id, doc_id * {NAMES_A_TEXT} + i AS name_id, array_to_string(w[i * {NAME_STEP} + 1:i * {NAME_STEP} + {NAME_WORDS}], ' ') AS raw
+  FROM texts, (SELECT unnest(range({NAMES_A_TEXT})) AS i) WHERE len(w) >= i * {NAME_STEP} + {NAME_WORDS}),
+plain AS (SELECT *, trim(regexp_replace(regexp_replace(replace(upper(regexp_replace({LETTERS}, '[^\x00-\x7F]', '', 'g')), '.', ''), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g')) AS p FROM cut),
+split AS (SELECT name_id, doc_id AS entity_id, list_transform(list_filter(string_split(p, ' '), lambda x: x NOT IN ('', {listed(text.HONORIFICS)})),
+  lambda x: CASE WHEN x IN ({listed(text.LEGAL_FORMS)}) THEN '{text.LEGAL_TOKEN}' ELSE CASE x {RESPELLED} ELSE x END END) AS tokens FROM plain),
+names AS (SELECT *, array_to_string(tokens, ' ') AS normalized FROM split WHERE len(tokens) > 0),
+asked AS (SELECT name_id AS query_id, tokens, normalized FROM names WHERE entity_id % {ASKED_EVERY} = 0)
 """
 
 
@@ -73,30 +88,37 @@ def token_idf(spark, d):
 
 @query("token_block_topk", f"""
 WITH {SQL_NAMES},
-tok AS (SELECT name_id, unnest(list_distinct(tokens)) AS token FROM uniq),
-stats AS (SELECT token, ln((SELECT count(*) FROM uniq) / CAST(count(*) AS DOUBLE)) AS idf FROM (SELECT unnest(tokens) AS token FROM uniq) GROUP BY 1),
-q AS (SELECT name_id AS query_id, token, idf, max(CASE WHEN idf >= 2.0 THEN 1 ELSE 0 END) OVER (PARTITION BY name_id) AS any_sel FROM tok JOIN stats USING (token)),
+tok AS (SELECT name_id, unnest(list_distinct(tokens)) AS token FROM names),
+stats AS (SELECT token, ln((SELECT count(*) FROM names) / CAST(count(*) AS DOUBLE)) AS idf FROM (SELECT unnest(tokens) AS token FROM names) GROUP BY 1),
+one AS (SELECT query_id, unnest(list_distinct(tokens)) AS token FROM asked),
+q AS (SELECT query_id, token, idf, max(CASE WHEN idf >= 2.0 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) AS any_sel FROM one JOIN stats USING (token)),
 b AS (SELECT DISTINCT query_id, t.name_id FROM q JOIN tok t USING (token) WHERE idf >= 2.0 OR any_sel = 0),
 w AS (SELECT b.query_id, b.name_id, sum(q.idf) AS weight FROM b JOIN q ON q.query_id = b.query_id JOIN tok t ON t.name_id = b.name_id AND t.token = q.token GROUP BY 1, 2)
 SELECT query_id, name_id, round(weight, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(weight, 9) DESC, name_id) AS r FROM w) WHERE r <= 10""")
 def token_block_topk(spark, d):
-    """The ten best by shared tokens of every distinct name."""
-    names = distinct_names(spark, d)
-    found = S.by_tokens(asked(names), names, S.token_stats(names), limit=1 << 20).withColumn("w", F.round("weight", 9))
-    return S.top(found.drop("place"), [F.desc("w"), F.asc("name_id")], 10).select("query_id", "name_id", F.round("weight", 6).alias("weight"))
+    """The ten best names by shared tokens of every name that is asked for."""
+    names = written(watch_names(spark, d), "names")
+    return S.by_tokens(asked_names(names), names, S.token_stats(names), limit=10).select("query_id", "name_id", F.round("weight", 6).alias("weight"))
 
 
 SQL_GRAMS = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda x: x <> ''), lambda x: list_transform(range(1, len(x) + 2), lambda i: substr('  ' || x || ' ', i, 3)))))"
+#: Pairs of an asked name and any name, by all trigrams they share.
+SQL_SIMILAR = f"""
+grams AS (SELECT name_id, normalized, {SQL_GRAMS.format('normalized')} AS g FROM names),
+one_gram AS (SELECT name_id, unnest(g) AS gram FROM grams),
+asked_gram AS (SELECT query_id, unnest({SQL_GRAMS.format('normalized')}) AS gram FROM asked),
+shared AS (SELECT query_id, name_id, count(*) AS n FROM asked_gram JOIN one_gram USING (gram) GROUP BY 1, 2),
+alike AS (SELECT query_id, s.name_id, a.normalized AS a, b.normalized AS b, n / CAST(len(a.g) + len(b.g) - n AS DOUBLE) AS similarity
+  FROM shared s JOIN grams a ON a.name_id = query_id JOIN grams b ON b.name_id = s.name_id WHERE n / CAST(len(a.g) + len(b.g) - n AS DOUBLE) >= 0.35)
+"""
 
 
 @query("trigram_join", f"""
-WITH {SQL_NAMES},
-g AS (SELECT name_id, {SQL_GRAMS.format('normalized')} AS g FROM uniq),
-s AS (SELECT a.name_id AS query_id, b.name_id, len(list_intersect(a.g, b.g)) / CAST(len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)) AS DOUBLE) AS similarity FROM g a, g b)
-SELECT query_id, name_id, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.35""")
+WITH {SQL_NAMES}, {SQL_SIMILAR}
+SELECT query_id, name_id, round(similarity, 6) AS similarity FROM alike""")
 def trigram_join(spark, d):
-    names = distinct_names(spark, d)
-    return S.by_trigrams(asked(names), names, limit=1 << 30).select("query_id", "name_id", F.round("similarity", 6).alias("similarity"))
+    names = written(watch_names(spark, d), "names")
+    return S.by_trigrams(asked_names(names), names, limit=1 << 30).select("query_id", "name_id", F.round("similarity", 6).alias("similarity"))
 
 
 @query("vector_topk", """
@@ -125,48 +147,48 @@ def vector_dot_clamped(spark, d):
 
 @query("phonetic_block")
 def phonetic_block(spark, d):
-    """Names that share a Soundex key; DuckDB has no such function."""
-    names = distinct_names(spark, d)
-    return S.by_sound(asked(names), names).select("query_id", "name_id")
+    """Names that share a NYSIIS or Metaphone key with an asked one, the fifty of least id; DuckDB has no such function."""
+    names = written(watch_names(spark, d).withColumn("phonetic", fuzzy.phonetic_keys("tokens")), "names")
+    return S.by_sound(asked_names(names), names).select("query_id", "name_id")
 
 
 @query("phonetic_codes")
 def phonetic_codes(spark, d):
-    words = distinct_names(spark, d).select(F.explode("tokens").alias("word")).distinct()
+    words = watch_names(spark, d).select(F.explode("tokens").alias("word")).distinct()
     return words.select("word", F.soundex("word").alias("soundex"), fuzzy.nysiis_code("word").alias("nysiis"), fuzzy.metaphone_code("word").alias("metaphone"))
 
 
 @query("candidate_union", f"""
-WITH {SQL_NAMES},
-g AS (SELECT name_id, {SQL_GRAMS.format('normalized')} AS g FROM uniq),
-tri AS (SELECT a.name_id AS query_id, b.name_id, row_number() OVER (PARTITION BY a.name_id ORDER BY len(list_intersect(a.g, b.g)) / CAST(len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)) AS DOUBLE) DESC, b.name_id) AS place,
-  len(list_intersect(a.g, b.g)) / CAST(len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)) AS DOUBLE) AS s FROM g a, g b),
-tok AS (SELECT name_id, unnest(list_distinct(tokens)) AS token FROM uniq),
-shared AS (SELECT DISTINCT a.name_id AS query_id, b.name_id FROM tok a JOIN tok b USING (token)),
-u AS (SELECT query_id, name_id, 'trigram' AS m FROM tri WHERE s >= 0.35 AND place <= 1000000 UNION ALL SELECT query_id, name_id, 'shared' FROM shared)
-SELECT query_id, name_id, array_to_string(list_sort(list_distinct(list(m))), ',') AS methods FROM u GROUP BY 1, 2""")
+WITH {SQL_NAMES}, {SQL_SIMILAR},
+tri AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, name_id) AS place FROM alike),
+tok AS (SELECT name_id, unnest(list_distinct(tokens)) AS token FROM names),
+stats AS (SELECT token, ln((SELECT count(*) FROM names) / CAST(count(*) AS DOUBLE)) AS idf FROM (SELECT unnest(tokens) AS token FROM names) GROUP BY 1),
+one AS (SELECT query_id, unnest(list_distinct(tokens)) AS token FROM asked),
+q AS (SELECT query_id, token, idf, max(CASE WHEN idf >= 2.0 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) AS any_sel FROM one JOIN stats USING (token)),
+b AS (SELECT DISTINCT query_id, t.name_id FROM q JOIN tok t USING (token) WHERE idf >= 2.0 OR any_sel = 0),
+w AS (SELECT b.query_id, b.name_id, round(sum(q.idf), 9) AS weight FROM b JOIN q ON q.query_id = b.query_id JOIN tok t ON t.name_id = b.name_id AND t.token = q.token GROUP BY 1, 2),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, name_id) AS place FROM w),
+u AS (SELECT query_id, name_id, 'trigram' AS m FROM tri WHERE place <= 50 UNION ALL SELECT query_id, name_id, 'token' FROM best WHERE place <= 50)
+SELECT query_id, name_id, array_to_string(list_sort(list(m)), ',') AS methods FROM u GROUP BY 1, 2""")
 def candidate_union(spark, d):
-    names = distinct_names(spark, d)
-    q = asked(names)
-    each = lambda df, key: df.select(key, F.explode(F.array_distinct("tokens")).alias("token"))
-    shared = each(q, "query_id").join(each(names, "name_id"), "token").select("query_id", "name_id").distinct().withColumn("place", F.lit(1))
-    out = S.union_of(("trigram", S.by_trigrams(q, names, limit=1 << 30)), ("shared", shared))
+    """The engine's token and trigram retrievers, fifty names each, united with the methods that found a name."""
+    names = written(watch_names(spark, d), "names")
+    q = asked_names(names)
+    out = S.union_of(("token", S.by_tokens(q, names, S.token_stats(names))), ("trigram", S.by_trigrams(q, names)))
     return out.select("query_id", "name_id", F.array_join("methods", ",").alias("methods"))
 
 
 def name_pairs(spark, d):
-    """Pairs of distinct names that trigrams bring together, with both spellings."""
-    names = distinct_names(spark, d)
-    found = S.by_trigrams(asked(names), names, limit=1 << 30).select("query_id", "name_id")
-    left = names.select(F.col("name_id").alias("query_id"), F.col("normalized").alias("a"))
-    return found.join(left, "query_id").join(names.select("name_id", F.col("normalized").alias("b")), "name_id")
+    """Pairs of an asked name and a name that trigrams bring together, with both spellings."""
+    names = written(watch_names(spark, d), "names")
+    queries = asked_names(names)
+    found = S.by_trigrams(queries, names, limit=1 << 30).select("query_id", "name_id")
+    return found.join(queries.select("query_id", F.col("normalized").alias("a")), "query_id").join(names.select("name_id", F.col("normalized").alias("b")), "name_id")
 
 
 @query("jaro_winkler_pairs", f"""
-WITH {SQL_NAMES},
-g AS (SELECT name_id, normalized, {SQL_GRAMS.format('normalized')} AS g FROM uniq)
-SELECT a.name_id AS query_id, b.name_id, round(jaro_winkler_similarity(a.normalized, b.normalized) * 100, 4) AS jw FROM g a, g b
-WHERE len(list_intersect(a.g, b.g)) / CAST(len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)) AS DOUBLE) >= 0.35""")
+WITH {SQL_NAMES}, {SQL_SIMILAR}
+SELECT query_id, name_id, round(jaro_winkler_similarity(a, b) * 100, 4) AS jw FROM alike""")
 def jaro_winkler_pairs(spark, d):
     return name_pairs(spark, d).select("query_id", "name_id", F.round(fuzzy.jaro_winkler_ratio("a", "b"), 4).alias("jw"))
 
@@ -241,15 +263,47 @@ def perturb_sample(spark, d):
     return p.select("p_partkey", kind.alias("label"), S.perturbed(F.col("p_name"), F.col("p_partkey")).alias("query_name"), F.when(kind == "hard_negative", wrong).otherwise(year).alias("dob_year"))
 
 
+def screening_tables(spark, d):
+    """(queries, corpus) of the flagship: respelled names of every fiftieth document against all names.
+
+    A document is an entity: its language says what kind it is, its id gives birth, nation and identifier. A query
+    carries what the customer of the same key says; the customer's balance, nation and orders give risk and documents.
+    """
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("nation"))
+    names = watch_names(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("entity_id"), "lang"), "entity_id")
+    e = F.col("entity_id")
+    year = (1950 + e % 45).cast("int")
+    facts = names.join(nations, e % 25 == F.col("key"), "left").withColumns({
+        "phonetic": fuzzy.phonetic_keys("tokens"), "embedding": S.hashed_embedding(F.col("normalized")), "dob_years": F.array(year),
+        "dobs": F.when(e % 3 == 0, F.array(F.make_date(year, (e % 12 + 1).cast("int"), (e % 28 + 1).cast("int")))), "nationalities": F.array_compact(F.array("nation")),
+        "id_numbers": F.when(e % 4 == 0, F.array(F.concat(F.lit("ID"), e.cast("string")))), "sdn_type": F.when(F.col("lang") == "en", "Individual").otherwise("Entity"),
+        "weak": F.col("name_id") % NAMES_A_TEXT == NAMES_A_TEXT - 1,
+    })
+    corpus = written(facts.drop("raw", "lang", "key", "nation"), "corpus")
+    late = table(spark, d, "orders").groupBy("o_custkey").agg(F.max(F.when(F.col("o_orderstatus") == "P", 2).when(F.col("o_orderstatus") == "O", 1).otherwise(0)).alias("worst"), F.count(F.lit(1)).alias("n_orders"))
+    customer = table(spark, d, "customer").join(nations, F.col("c_nationkey") == F.col("key"), "left").join(late, F.col("c_custkey") == F.col("o_custkey"), "left")
+    countries = spark.createDataFrame([(c.upper(), r) for c, r in D.COUNTRY_RISK], "country string, risk_level string")
+    document = F.when((F.col("worst") == 2) & (F.col("n_orders") > 20), "fail").when(F.col("worst") == 2, "warn").otherwise("pass")
+    rated = D.customer_risk(customer.select(
+        "c_custkey", F.col("nation").alias("nationality"), F.col("nation").alias("residence_country"), F.col("c_mktsegment").alias("occupation"), (F.col("c_acctbal") * 12).alias("expected_monthly_volume"),
+        F.when(F.col("c_mktsegment") == "BUILDING", "entity").otherwise("individual").alias("customer_type"), document.alias("document_check_status")), countries)
+    spelled = names.where(e % ASKED_EVERY == 0).select(F.col("name_id").alias("query_id"), "entity_id", S.perturbed(F.col("raw"), F.col("name_id")).alias("raw"))
+    asked = text.with_name(spelled, F.col("raw"))
+    k = F.col("query_id") % NAMES_A_TEXT
+    born = (1950 + e % 45 + F.when(k == 1, 1).when(k == 2, 12).otherwise(0)).cast("int")
+    queries = asked.join(rated.select(F.col("c_custkey").alias("entity_id"), "nationality", "customer_type", "risk", "document_check_status"), "entity_id", "left").select(
+        "query_id", "tokens", "normalized", "sorted_key", fuzzy.phonetic_keys("tokens").alias("phonetic"), S.hashed_embedding(F.col("normalized")).alias("embedding"),
+        F.make_date(born, (e % 12 + 1).cast("int"), (e % 28 + 1).cast("int")).alias("birth"), "nationality", F.when(k == 4, F.concat(F.lit(" id"), e.cast("string"))).alias("id_number"),
+        F.col("customer_type").alias("query_type"), F.coalesce("risk", F.lit("medium")).alias("risk"), F.coalesce("document_check_status", F.lit("pass")).alias("document"))
+    return written(queries, "queries"), corpus
+
+
 @query("screen_batch")
 def screen_batch(spark, d):
-    """Flagship: perturbed names screened against the part list; candidates, scores, best name of an entity, ten best entities, route."""
-    names = distinct_names(spark, d).withColumn("entity_id", F.crc32(F.element_at("tokens", 1))).persist()  # every retriever reads it
-    spelled = names.select("name_id", S.perturbed(F.col("normalized"), F.col("name_id")).alias("raw"))
-    n = text.normalized(F.col("raw"), transliterate=False)
-    queries = spelled.select(F.col("name_id").alias("query_id"), n.alias("n")).select("query_id", "n.normalized", "n.tokens", "n.sorted_key", F.transform("n.tokens", lambda t: F.soundex(t)).alias("phonetic")).persist()
-    stats = S.token_stats(names).persist()
-    found = S.candidates(queries, names, stats, vectors=False)
-    best = S.ranked(S.scored(found, queries, names, stats))
-    routed = best.withColumn("route", D.route(F.col("score"), F.lit("medium"), F.lit("pass"), F.lit(False)))
+    """Flagship: respelled names screened against the whole watchlist; four retrievers, ratios, cosine, adjustments, the
+    best name of an entity, ten best entities, and the route that score, customer risk and documents give."""
+    queries, corpus = screening_tables(spark, d)
+    stats = written(S.token_stats(corpus), "token-stats")
+    best = S.ranked(S.scored(written(S.candidates(queries, corpus, stats), "candidates"), queries, corpus, stats))
+    routed = best.join(queries.select("query_id", "risk", "document"), "query_id").withColumn("route", D.route(F.col("score"), F.col("risk"), F.col("document"), F.col("corroborated")))
     return routed.select("query_id", "rank", "entity_id", "name_id", F.array_join("methods", ",").alias("methods"), "score", "route.tier")
