@@ -39,8 +39,15 @@ def canonical(**fields: Column) -> Column:
     return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
 
 
+def with_raw(fields: dict[str, Column], raw: dict[str, Column]) -> Column:
+    """canonical(fields) with more members whose values are JSON already."""
+    whole = {k: canonical(**{k: c}) for k, c in fields.items()}
+    members = {k: c.substr(F.lit(2), F.length(c) - 2) for k, c in whole.items()} | {k: F.concat(F.lit(f'"{k}":'), c) for k, c in raw.items()}
+    return F.concat(F.lit("{"), F.concat_ws(",", *[members[k] for k in sorted(members)]), F.lit("}"))
+
+
 def messages(conversations: DataFrame) -> DataFrame:
-    """One row per message and tool call: conv_id, turn, role, text, kind, id, name, arguments, depends_on."""
+    """One row per message and tool call: conv_id, turn, role, text, content, kind, id, name, arguments, depends_on."""
     text, whole = F.col("text"), F.col("conv_id").isNotNull() & F.col("turn").isNotNull() & F.col("role").isNotNull()
     base = conversations.select("conv_id", "turn", "role", "text").select(
         "*",
@@ -57,8 +64,11 @@ def messages(conversations: DataFrame) -> DataFrame:
     implied = implied.when(F.col("role") == "assistant", F.struct(F.lit("result").alias("kind"), turn_id(F.col("turn") - 1).alias("id"), none.alias("name"), none.alias("arguments"), no_deps.alias("depends_on")))
     implied = implied.otherwise(F.struct(F.lit("plain").alias("kind"), none.alias("id"), none.alias("name"), none.alias("arguments"), no_deps.alias("depends_on")))
     explicit = F.transform("calls", lambda c: F.struct(F.lit("call").alias("kind"), c["id"].alias("id"), c["name"].alias("name"), c["arguments"].alias("arguments"), F.coalesce(c["depends_on"], no_deps).alias("depends_on")))
-    each = F.when(F.size("calls") > 0, explicit).otherwise(F.array(implied))
-    return base.select("conv_id", "turn", "role", "text", F.explode(each).alias("m")).select("conv_id", "turn", "role", "text", "m.*")
+    many = F.size("calls") > 0
+    each = F.when(many, explicit).otherwise(F.array(implied))
+    # what a message with calls says stands in their arguments, a result's in its content
+    content = F.when(many, none).otherwise(F.when(F.col("answer")["tool_call_id"].isNotNull(), F.col("answer")["content"]).otherwise(text))
+    return base.select("conv_id", "turn", "role", "text", content.alias("content"), F.explode(each).alias("m")).select("conv_id", "turn", "role", "text", "content", "m.*")
 
 
 def argument_errors(name: Column, arguments: Column, schemas: Schemas) -> Column:
@@ -148,9 +158,9 @@ def linked(rows: DataFrame, schemas: Schemas) -> DataFrame:
     depth = F.when(is_call, F.col("level")).when(is_result, F.coalesce(F.col("level") + 1, F.lit(0))).otherwise(F.lit(0))
     links = stored(links.withColumnsRenamed({"id": "__id", "conv_id": "__conv"}), "chat-links")  # written first, so that a hot id can be split in the join
     spread = F.coalesce("id", F.concat(F.lit("\0"), F.xxhash64("conv_id", "turn", "text").cast("string")))  # messages without an id meet nowhere
-    # the file's size says little of the table's, so no broadcast is left to it
-    return rows.join(links.hint("merge"), (F.col("conv_id") == F.col("__conv")) & (spread == F.col("__id")), "left").select(
-        "conv_id", "turn", "role", "text", "kind", "id", "name", "arguments",
+    # one row an id on the hashed side; the file's size says little of the table's, so no broadcast is left to it
+    return rows.join(links.hint("shuffle_hash"), (F.col("conv_id") == F.col("__conv")) & (spread == F.col("__id")), "left").select(
+        "conv_id", "turn", "role", "content", "kind", "id", "name", "arguments", "depends_on",
         F.coalesce(both, F.lit(False)).alias("linked"), F.greatest("turn", "place").cast("long").alias("place"), depth.cast("int").alias("level"),
         F.concat(errors, marks).alias("errors"),
     )
@@ -161,10 +171,15 @@ def formatted(conversations: DataFrame, schemas: Schemas = REPLY) -> DataFrame:
     rows = linked(messages(conversations), schemas)
     errors = F.array_join("errors", ",")
     valid = F.size("errors") == 0
-    json = canonical(
-        call_id=F.col("id"), content=F.col("text"), conv_id=F.col("conv_id"), errors=errors, kind=F.col("kind"), level=F.col("level"),
+    # a variant keeps its objects' keys in order; arguments that are no JSON stay as text
+    text_of = canonical(a=F.col("arguments"))
+    arguments = F.coalesce(F.to_json(F.try_parse_json("arguments")), text_of.substr(F.lit(6), F.length(text_of) - 6))
+    fields = dict(
+        call_id=F.col("id"), content=F.col("content"), conv_id=F.col("conv_id"), errors=errors, kind=F.col("kind"), level=F.col("level"),
         linked=F.col("linked"), name=F.col("name"), place=F.col("place"), role=F.col("role"), turn=F.col("turn"), valid=valid,
     )
+    call = with_raw(fields, {"arguments": arguments, "depends_on": F.to_json(F.array_sort(F.array_distinct("depends_on")))})
+    json = F.when(F.col("kind") == "call", call).otherwise(canonical(**fields))
     return rows.select("conv_id", "turn", "role", "kind", F.col("id").alias("call_id"), "linked", "place", "level", valid.alias("valid"), errors.alias("errors"), json.alias("json"))
 
 
@@ -185,6 +200,8 @@ j AS (
     CASE WHEN kind = 'call' THEN 'reply' END AS name
   FROM k LEFT JOIN ids USING (id))
 SELECT conv_id, turn, role, kind, id AS call_id, linked, place, level, errors = '' AS valid, errors,
-  CAST(json_object('call_id', id, 'content', text, 'conv_id', conv_id, 'errors', errors, 'kind', kind, 'level', level, 'linked', linked, 'name', name, 'place', place, 'role', role, 'turn', turn, 'valid', errors = '') AS VARCHAR) AS json
+  CASE WHEN kind = 'call' THEN CAST(json_object('arguments', CASE WHEN text IS NULL THEN json('{}') ELSE json_object('n_chars', length(text), 'text', text) END, 'call_id', id, 'content', text, 'conv_id', conv_id,
+      'depends_on', json('[]'), 'errors', errors, 'kind', kind, 'level', level, 'linked', linked, 'name', name, 'place', place, 'role', role, 'turn', turn, 'valid', errors = '') AS VARCHAR)
+    ELSE CAST(json_object('call_id', id, 'content', text, 'conv_id', conv_id, 'errors', errors, 'kind', kind, 'level', level, 'linked', linked, 'name', name, 'place', place, 'role', role, 'turn', turn, 'valid', errors = '') AS VARCHAR) END AS json
 FROM j
 """

@@ -27,41 +27,47 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
+#: Parts of a text whose spans are put together at once; even, so that matches stay at odd places.
+CHUNK = 256
 LEAST_VALUE, MARGIN, PER_PAIR, PRIOR, LEAST_STRETCH = 6, 12.0, 0.45, 0.5, 12
-#: Words of the ordinary sample, joined by rule to identifiers.
+#: Words of the ordinary sample, joined by rule to identifiers: common ones of programs and of four languages, taken from no corpus.
 WORDS = (
-    "user name account number order item price total value count index list first last next token key type state time date "
-    "start end open close read write file path line text page view data table column row field group member record event "
-    "service request response handler manager factory builder service client server socket buffer stream cache store queue "
-    "message channel header footer body content title description image button label panel window layout color width height "
-    "position offset length size limit range filter sort search find match replace insert update delete create remove "
-    "configuration application environment development production international organization understanding responsibility "
-    "entwicklung verantwortung möglichkeit gesellschaft wirtschaft einheitlich verschieden gelegentlich "
-    "gouvernement développement organisation entièrement naturellement généralement maintenant "
-    "información administración desarrollo naturalmente posiblemente comunicación trabajadores "
-    "the this that there other another whether though through thought should would with which while where when what those these them then than "
-    "nouveaux beaucoup heureux tableaux royaume bureau oiseaux chevaux travaux journaux principaux auxquels lieux mieux vieux nombreux religieux précieux animaux cadeau château niveau réseau "
-    "morceau manteau couteau avoir pouvoir vouloir savoir devoir histoire mémoire victoire croire quelle queue aujourd ouvrier premier entier entre autre quatre "
-    "verschiedene selbstverständlich einschließlich geschichte zwischen schreiben schwierigkeiten pflicht empfehlung auszeichnung versicherung wissenschaft nachricht auch schon euch dampf kampf "
-    "ayuda ciudad quien cuando siempre aquella pequeño guerra llegar llamar valle calle cuestión acción nación corazón adecuado pueblo luego"
+    "user name account number order item price total value count index list first last next token key type state time date start end open close read write file path "
+    "line text page view data table column row field group member record event service request response handler manager factory builder client server socket buffer "
+    "stream cache store queue message channel header footer body content title image button label panel window layout color width height position offset length size "
+    "limit range filter sort search find match replace insert update delete create remove configuration application environment development production international "
+    "version release build test check error warning debug info success failure session cookie domain address street city country phone email company department "
+    "the this that there other another whether through should would with which while where when people because between different government important information "
+    "und nicht sich auch werden haben wurde zwischen gesellschaft entwicklung verantwortung geschichte wirtschaft schreiben möglichkeit versicherung wissenschaft "
+    "avec pour dans plus cette comme tout gouvernement développement organisation maintenant beaucoup histoire travail toujours nouveaux quelque bureau chevaux "
+    "para como pero más este también cuando información administración desarrollo trabajadores siempre ciudad aquella comunicación pequeño"
 ).split()
 
 
-def labelled_samples(spark: SparkSession, n: int = 4000) -> DataFrame:
+def labelled_samples(spark: SparkSession, n: int = 8000) -> DataFrame:
     """(text, random): n strings of each kind, made by rule from hashes; no table is read."""
     i = F.col("id")
     digest = F.sha2(i.cast("string"), 256)
     b64 = F.translate(F.base64(F.unhex(digest)), "=", "")
     forms = [
-        F.substring(digest, 1, 40), b64, F.upper(F.translate(b64, "+/", "XQ")), F.lower(F.translate(b64, "+/", "xq")),
+        F.substring(digest, 1, 40), F.upper(F.substring(digest, 3, 40)), b64, F.upper(F.translate(b64, "+/", "XQ")), F.lower(F.translate(b64, "+/", "xq")),
         F.concat(F.translate(b64, "+/", "-_"), F.substring(b64, 3, 20)),
     ]
     random = F.element_at(F.array(*forms), (i % len(forms) + 1).cast("int"))
     words = F.array(*map(F.lit, WORDS))
-    word = lambda k: F.element_at(words, (F.pmod(F.xxhash64(i, F.lit(k)), F.lit(len(WORDS))) + 1).cast("int"))
+    draw = lambda k, m: F.pmod(F.xxhash64(i, F.lit(k)), F.lit(m))
+    word = lambda k: F.element_at(words, (draw(k, len(WORDS)) + 1).cast("int"))
+    digits = lambda k, m: F.lpad(draw(k, 10 ** m).cast("string"), m, "0")
     camel = F.concat(word(1), F.initcap(word(2)), F.initcap(word(3)), F.initcap(word(4)))
-    plain = [F.concat_ws("_", word(1), word(2), word(3)), camel, F.concat_ws("-", word(1), word(2), word(3)), F.concat(word(1), word(2), word(3)),
-             F.upper(F.concat_ws("_", word(1), word(2))), F.concat_ws("/", word(1), word(2), word(3), F.concat(word(4), (i % 12).cast("string")))]
+    mark = F.element_at(F.array(*map(F.lit, "-_/+")), (draw(9, 4) + 1).cast("int"))
+    day = F.concat_ws("-", F.concat(F.lit("20"), digits(5, 2)), digits(6, 2), digits(7, 2))
+    plain = [
+        F.concat_ws("_", word(1), word(2), word(3)), camel, F.concat_ws("-", word(1), word(2), word(3)), F.concat(word(1), word(2), word(3)),
+        F.upper(F.concat_ws("_", word(1), word(2))), F.concat_ws("/", word(1), word(2), word(3), F.concat(word(4), (i % 12).cast("string"))),
+        F.concat(digits(1, 9), digits(2, 9)), F.concat(day, F.lit("T"), digits(8, 2), F.lit("-"), digits(3, 2), F.lit("-"), digits(4, 2)), F.repeat(mark, (20 + i % 30).cast("int")),
+        F.concat_ws("-", F.concat(word(1), digits(2, 2)), F.concat(F.lit("x"), digits(3, 2)), word(4), F.concat(word(5), digits(6, 4)), word(7)),
+        F.concat_ws("/", F.lit(""), F.initcap(word(1)), F.concat(F.lit("_"), word(2)), F.concat(word(3), digits(4, 2)), word(5)), F.repeat(F.substring(word(1), 1, 1), (20 + i % 30).cast("int")),
+    ]
     ordinary = F.element_at(F.array(*plain), (i % len(plain) + 1).cast("int"))
     base = spark.range(n, numPartitions=1)
     return base.select(random.alias("text"), F.lit(True).alias("random")).unionByName(base.select(ordinary.alias("text"), F.lit(False).alias("random")))
@@ -121,13 +127,19 @@ def spans(text: Column, kind: int, pattern: str, within) -> Column:
     """array<struct<start, kind, end>> of what within(match), array<struct<from, to>>, holds of the leftmost non-overlapping matches."""
     mark = "\x01"
     parts = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(mark + "$0" + mark)), mark, -1)
-    seen = F.transform(parts, lambda x, i: F.struct(F.when(i % 2 == 1, within(x)).otherwise(F.expr(NO_STRETCH)).alias("hits"), F.length(x).alias("n")))
     none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
+    moved = lambda hits, by: F.transform(hits, lambda h: F.struct((by + h["start"]).alias("start"), h["kind"].alias("kind"), (by + h["end"]).alias("end")))
+    spans_of = lambda x: F.transform(within(x), lambda h: F.struct(h["from"].alias("start"), F.lit(kind).alias("kind"), h["to"].alias("end")))
+    # positions run on over chunks of parts, and over the chunks: appending one by one would copy what is there each time
+    seen = lambda chunk: F.transform(chunk, lambda x, i: F.struct(F.when(i % 2 == 1, spans_of(x)).otherwise(none).alias("hits"), F.length(x).alias("n")))
     add = lambda acc, s: F.struct(
-        (acc["at"] + s["n"]).alias("at"),
-        F.when(F.size(s["hits"]) > 0, F.concat(acc["out"], F.transform(s["hits"], lambda h: F.struct((acc["at"] + h["from"]).alias("start"), F.lit(kind).alias("kind"), (acc["at"] + h["to"]).alias("end"))))).otherwise(acc["out"]).alias("out"),
-    )
-    found = F.aggregate(seen, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda acc: acc["out"])
+        (acc["at"] + s["n"]).alias("at"), F.when(F.size(s["hits"]) > 0, F.concat(acc["out"], moved(s["hits"], acc["at"]))).otherwise(acc["out"]).alias("out"))
+    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    within_chunk = lambda chunk: F.aggregate(seen(chunk), start, add)
+    in_chunks = lambda p: F.transform(F.sequence(F.lit(0), F.size(p) - 1, F.lit(CHUNK)), lambda at: within_chunk(F.slice(p, at + 1, CHUNK)))
+    join = lambda acc, c: F.struct((acc["at"] + c["at"]).alias("at"), F.array_append(acc["out"], moved(c["out"], acc["at"])).alias("out"))
+    first = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<array<struct<start:int,kind:int,end:int>>>)").alias("out"))
+    found = F.transform(F.array(parts), lambda p: F.flatten(F.aggregate(in_chunks(p), first, join, lambda acc: acc["out"])))[0]
     return F.when(text.rlike(pattern), found).otherwise(none)
 
 

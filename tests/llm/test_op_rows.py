@@ -428,7 +428,10 @@ def test_chat(spark):
     assert (by["result", "c2"].place, by["result", "c2"].level) == (1, 2) and by["result", "c2"].turn == 0
     assert by["call", "c3"].errors == "unknown tool,unlinked,cycle" and by["call", "c4"].errors.startswith("malformed")
     assert by["result", "zz"].errors == "unlinked" and by["result", "2:0"].linked
-    assert by["call", "2:0"].json == '{"call_id":"2:0","content":"a\\n\\"b\\"","conv_id":2,"errors":"","kind":"call","level":0,"linked":true,"name":"reply","place":0,"role":"user","turn":0,"valid":true}'
+    assert by["call", "2:0"].json == '{"arguments":{"n_chars":5,"text":"a\\n\\"b\\""},"call_id":"2:0","content":"a\\n\\"b\\"","conv_id":2,"depends_on":[],"errors":"","kind":"call","level":0,"linked":true,"name":"reply","place":0,"role":"user","turn":0,"valid":true}'
+    json = {k: __import__("json").loads(r.json) for k, r in by.items()}
+    assert json["call", "c1"]["arguments"] == {"n_chars": 2, "text": "hi"} and '{"arguments":{"n_chars":2,"text":"hi"},' in by["call", "c1"].json and json["call", "c1"]["content"] is None
+    assert json["call", "c2"]["depends_on"] == ["c1"] and json["call", "c4"]["arguments"] == "no" and json["result", "c1"]["content"] == "r" and "arguments" not in json["result", "c1"]
     assert by["call", "7:0"].errors == "unlinked,ambiguous" and by["call", "3:0"].errors == "n_chars: missing,text: missing,unlinked"
     assert sum(r.kind == "plain" for r in out) == 4
     assert chat_format.formatted(df.limit(0)).count() == 0
