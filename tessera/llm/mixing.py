@@ -27,12 +27,16 @@ from pyspark.sql import Window as W
 from .common import WORD, shuffle_width, stored
 
 ROWS_A_BUCKET = 20_000
+#: The name of a row's own number, where documents carry one.
+ROW = "__row"
 
 
 def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(rid, doc_id, source, src, h, size): src orders sources by code point with null last; h is the shuffled order."""
+    """(rid, doc_id, source, src, h, size): src orders sources by code point with null last; h is the shuffled order.
+
+    rid is docs' own column ROW where it has one."""
     return docs.select(
-        F.monotonically_increasing_id().alias("rid"),
+        (F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()).alias("rid"),
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         F.coalesce(F.concat(F.lit("1"), F.col(source_col)), F.lit("2")).alias("src"),
@@ -116,12 +120,10 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_epochs: int = 3
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_epochs: int = 3) -> DataFrame:
-    """docs, columns as they are, each row as often as the mix takes it; rows that share id, source and size share their copies."""
-    n = mix(docs, weights, max_epochs).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("n")).where("n > 0")
-    n = n.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__n"), F.col("n").alias("__copies"))
-    rows = docs.withColumn("__size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__size") == F.col("__n"))
-    return rows.join(n, same).withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    """docs, columns as they are, each row as often as the mix takes it; rows are told apart by a number of their own, never by what they hold."""
+    numbered = stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "mix-rows")
+    n = mix(numbered, weights, max_epochs).where("copies > 0").select(F.col("rid").alias(ROW), F.col("copies").alias("__copies"))
+    return numbered.join(n, ROW).withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 
 #: The same mix as one plain query, over windows without any dealing out.

@@ -234,9 +234,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return found[0] if found else pickle.dumps({"share": 0.5})
 
 
-def score(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with a column score added; every other column stays as it is."""
-    names = [c for c in docs.columns if c != "score"]
+def score(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", name: str = "score") -> DataFrame:
+    """docs with a column of scores added or, where it has one of that name, replaced; every other column stays as it is."""
+    names = [c for c in docs.columns if c != name]
     kept = docs.select(*names)
     at = names.index(text_col)
 
@@ -245,10 +245,10 @@ def score(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str =
         for b in slices(batches):
             texts = b.column(at)
             scores = [score_texts(texts.slice(i, 200).to_pylist(), *parts) for i in range(0, len(texts), 200)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(scores) if scores else np.zeros(0))], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(scores) if scores else np.zeros(0))], [*names, name])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInArrow(run, f"{schema}, score double")
+    return kept.mapInArrow(run, f"{schema}, `{name}` double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import stored
 from .components import components
 
-THRESHOLD, TILE_ROWS, BLOCK = 0.9, 4096, 512
+THRESHOLD, TILE_ROWS, BLOCK = 0.9, 16384, 512
 #: Room for rounding in the bounds themselves, far above float64 error and far below any distance that matters.
 SLACK = 1e-6
 EXACT_DIM = (1 << 24) // (127 * 127)
@@ -34,6 +34,7 @@ EXACT_DIM = (1 << 24) // (127 * 127)
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """unit vectors, int8 values as float32, scales, norms of the quantised vectors, error norms."""
+    x = x / np.abs(x).max(axis=1, initial=0, keepdims=True)  # squares of very small or large components would leave double's range
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     scale = np.abs(unit).max(axis=1, initial=0) / 127
     q = np.rint(unit / scale[:, None]).astype(np.int8)
@@ -92,13 +93,13 @@ def forest(n: int, i: np.ndarray, j: np.ndarray, parent: np.ndarray) -> list[tup
     return out
 
 
-BLOCKS = pa.schema([("dim", pa.int32()), ("tile", pa.int64()), ("tiles", pa.int64()), ("rids", pa.binary()), ("ids", pa.binary()), ("data", pa.binary())])
+BLOCKS = pa.schema([("dim", pa.int32()), ("tile", pa.int64()), ("tiles", pa.int64()), ("rids", pa.binary()), ("ids", pa.binary()), ("single", pa.bool_()), ("data", pa.binary())])
 FOUND = pa.schema([("rid", pa.int64()), ("links", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
 
 def joined_tiles(tables: list[dict], dim: int, threshold: float) -> pa.Table:
     """Links of one pair of tiles: rows (rid, links) and rows (a, b)."""
-    x = [np.frombuffer(t["data"], np.float64).reshape(-1, dim) for t in tables]
+    x = [np.frombuffer(t["data"], np.float32 if t["single"] else np.float64).astype(np.float64).reshape(-1, dim) for t in tables]
     rid = [np.frombuffer(t["rids"], np.int64) for t in tables]
     ids = [np.frombuffer(t["ids"], np.int64) for t in tables]
     same = len(tables) == 1
@@ -126,6 +127,7 @@ def joined_tiles(tables: list[dict], dim: int, threshold: float) -> pa.Table:
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, tile_rows: int = TILE_ROWS) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     v = F.col("v")
+    single = vectors.schema[vector_col].dataType.elementType.simpleString() == "float"  # tiles keep the input's own precision
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     all_rows = stored(
         vectors.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -139,14 +141,14 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     def blocked(table):
         dim = table["dim"][0].as_py()
-        data = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        data = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32 if single else np.float64)
         row = [dim, table["tile"][0].as_py(), table["tiles"][0].as_py(), table["rid"].to_numpy().tobytes(),
-               np.array([none if i is None else i for i in table["id"].to_pylist()], np.int64).tobytes(), data.tobytes()]
+               np.array([none if i is None else i for i in table["id"].to_pylist()], np.int64).tobytes(), single, data.tobytes()]
         return pa.table([[x] for x in row], schema=BLOCKS)
 
-    blocks = dealt.groupBy("dim", "tile").applyInArrow(blocked, "dim int, tile long, tiles long, rids binary, ids binary, data binary")
+    blocks = dealt.groupBy("dim", "tile").applyInArrow(blocked, "dim int, tile long, tiles long, rids binary, ids binary, single boolean, data binary")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
-    met = blocks.withColumn("other", other).select("dim", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "rids", "ids", "data")
+    met = blocks.withColumn("other", other).select("dim", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "rids", "ids", "single", "data")
 
     def linked(key, table):
         parts = sorted(table.to_pylist(), key=lambda r: r["tile"])

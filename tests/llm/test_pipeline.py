@@ -40,3 +40,22 @@ def test_run_and_empty(spark, tmp_path):
         docs = stage(spark, docs, DATA)
         assert docs.count() == 0
     assert P.run(spark, DATA).count() > 0
+
+
+def test_rows_are_told_apart(spark):
+    """Null and repeated ids, repeated rows, and columns with clashing names."""
+    from pyspark.sql import functions as F
+
+    base = [f"word{i}" for i in range(60)]
+    near = lambda k: " ".join(base[:k] + ["other"] + base[k + 1:])
+    texts = [(5, " ".join(f"a{i}" for i in range(40))), (3, " ".join(base)), (5, near(59)), (None, " ".join(f"b{i}" for i in range(40))), (None, near(0)), (7, None), (8, ""), (7, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long").withColumns({"score": F.lit("own"), "copies": F.lit("own"), "size": F.lit("own")})
+    names = docs.columns
+    kept = P.drop_near_copies(spark, docs, DATA)
+    assert kept.columns == names and sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([texts[0], texts[1], texts[3], *texts[5:]], key=str)
+    good = P.keep_good(spark, docs, DATA)
+    assert good.columns == names and {r.score for r in good.collect()} <= {"own"}
+    alike = spark.createDataFrame([(1, "x y", "en", s, None) for s in ("a", "a", "a", "b")] + [(2, "p q r s t u", "en", "b", None)], docs.select("doc_id", "text", "lang", "source", "n_chars").schema).withColumn("copies", F.lit("own"))
+    mixed = P.mix_sources(spark, alike, DATA)
+    assert mixed.columns == alike.columns and mixed.count() == sum(r.copies for r in mixing.mix(alike).collect())
+    assert sum(len(r.text.split()) for r in mixed.collect()) <= 14
