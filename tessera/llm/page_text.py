@@ -8,7 +8,7 @@ of boilerplate, also inside articles. Viterbi gives the labels of a page's block
 text.
 
 Defined cases: null html counts as empty, and an empty page or one without main text gives an empty text; a page cut
-off anywhere is read as far as it goes; elements may be nested to any depth; unknown character references stay as they are; repeated rows are extracted
+off anywhere is read up to the tag it ends in; elements may be nested to any depth; a page without tags is text; unknown character references stay as they are; repeated rows are extracted
 each; null ids and urls are passed on; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -37,10 +37,15 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset(("script", "style"))
 SECTION = frozenset("head article main nav aside header footer form section dialog noscript button label select textarea iframe svg".split())
 CLOSES_ITS_KIND = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
+#: Whose content is text up to their own end tag.
+PLAIN = frozenset(("title", "textarea", "iframe", "xmp", "noembed", "noframes"))
+OPENS = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z]|/)")
+#: A tag from its name on, by HTML's rules: quotes count only where a value begins, and one that is never closed counts as a
+#: letter. No part is tried twice, so the time grows with the length alone.
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|(?:=[^\s/>=]*+|[^\s/>=]++)(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|(?=>)))?+)*+)>""")
 NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-WORDS = re.compile("[a-z]+")
-FEATURES = 1 << 13
+WORDS = re.compile("[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+CLOSE = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW | PLAIN}
 #: Pages share the places above this depth; it bounds what is kept between pages, not what is read.
 SHARED_DEPTH = 200
 
@@ -48,7 +53,7 @@ SHARED_DEPTH = 200
 class Place:
     """An element in the tree of paths that pages share: its tag, and the features of the path to it."""
 
-    __slots__ = ("tag", "parent", "below", "depth", "names", "added", "near", "named", "path", "features")
+    __slots__ = ("tag", "parent", "below", "depth", "names", "added", "near", "outer", "named", "path", "features")
 
     def __init__(self, tag: str, names: tuple[str, ...], parent: Place | None, open_tags: Counter = Counter(), open_names: Counter = Counter()):
         self.tag, self.parent, self.below, self.names = tag, parent, {}, names
@@ -56,6 +61,7 @@ class Place:
         #: What the path has from this element on, and not above it.
         self.added = ([] if open_tags[tag] else [f"has={tag}"]) + [f"name={w}" for w in names if not open_names[w]]
         self.near = tag if tag in SECTION else parent.near if parent else "-"
+        self.outer = (parent.near if parent else "-") if tag in SECTION else parent.outer if parent else "-"
         self.named = names or (parent.named if parent else ())
         self.path: np.ndarray | None = None
         self.features: np.ndarray | None = None
@@ -66,7 +72,7 @@ class Place:
         if found is None:
             if len(self.below) > 2000:
                 self.below.clear()
-            names = {w for m in NAMED.finditer(attributes) for w in WORDS.findall((m[2] or m[3] or m[4] or "").lower())} if attributes else ()
+            names = {w.lower() for m in NAMED.finditer(attributes) for w in WORDS.findall(m[2] or m[3] or m[4] or "")} if attributes else ()
             found = Place(tag, tuple(sorted(names)), self, open_tags, open_names)
             if self.depth < SHARED_DEPTH:
                 self.below[key] = found
@@ -74,7 +80,7 @@ class Place:
 
     def own(self) -> list[str]:
         """The features that are not the path's."""
-        return [f"in={self.tag}", f"near={self.near}", f"near={self.near},in={self.tag}", "bias"] + [f"near_name={w}" for w in self.named]
+        return [f"in={self.tag}", f"near={self.near}", f"near={self.near},in={self.tag}", f"near={self.near}<{self.outer}", f"near={self.near}<{self.outer},in={self.tag}", "bias"] + [f"near_name={w}" for w in self.named]
 
     def described(self) -> list[str]:
         out, up = self.own(), self
@@ -83,27 +89,21 @@ class Place:
             up = up.parent
         return out
 
-    def weighed(self, w: np.ndarray) -> np.ndarray:
+    def weighed(self, field: Field) -> np.ndarray:
         """The summed weights of described(); sums of paths are kept, so each element is weighed once at any depth."""
         open_, up = [], self
         while up is not None and up.path is None:
             open_.append(up)
             up = up.parent
         for place in reversed(open_):
-            above = place.parent.path if place.parent else np.zeros(w.shape[1])
-            place.path = above + w[feature_ids(place.added)].sum(0) if place.added else above
-        return self.path + w[feature_ids(self.own())].sum(0)
-
-
-def feature_ids(names: list[str]) -> np.ndarray:
-    import zlib
-
-    return np.array([zlib.crc32(n.encode()) % FEATURES for n in names], np.int64)
+            above = place.parent.path if place.parent else np.zeros(2)
+            place.path = above + field.weight(place.added) if place.added else above
+        return self.path + field.weight(self.own())
 
 
 def text_features(text: str, linked: int, at: int, n: int) -> list[str]:
-    words = text.count(" ") + 1
-    out = [f"words={min(words.bit_length(), 6)}", f"links={4 * linked // max(1, len(text))}"]
+    words, links = min((text.count(" ") + 1).bit_length(), 6), 4 * linked // max(1, len(text))
+    out = [f"words={words}", f"links={links}", f"links={links},words={words}"]
     if text[-1] in ".!?":
         out.append("ends")
     if "©" in text:
@@ -135,20 +135,32 @@ def blocks(page: str, root: Place) -> Iterator[tuple[str, int, Place]]:
         parts.clear()
         return text
 
-    while at < end:
-        m = TAG.search(page, at)
-        run = page[at:m.start() if m else end]
+    def read(run: str) -> None:
+        nonlocal linked
         if run:
             run = entities.unescape(run) if "&" in run else run
             parts.append(run)
             if links:
                 linked += len(run)
-        if m is None:
+
+    while at < end:
+        o = OPENS.search(page, at)
+        read(page[at:o.start() if o else end])
+        if o is None:
             break
+        at = o.start()
+        if o[0] == "<!--":
+            close = 0 if page.startswith((">", "->"), at + 4) else page.find("-->", at + 4)
+            at = page.find(">", at + 4) + 1 if close == 0 else end if close < 0 else close + 3
+            continue
+        if o[0] in ("<!", "<?", "</"):  # a comment of another kind
+            at = page.find(">", at) + 1 or end
+            continue
+        m = TAG.match(page, at)
+        if m is None:
+            break  # the page ends inside a tag
         at = m.end()
         tag = m[2]
-        if tag is None:
-            continue
         tag = tag.lower()
         if tag == "a":
             links = 0 if m[1] else 1
@@ -156,8 +168,8 @@ def blocks(page: str, root: Place) -> Iterator[tuple[str, int, Place]]:
             parts.append(" ")
         elif tag in RAW:
             if not m[1]:
-                close = re.compile(f"</{tag}[^>]*>", re.I).search(page, at)
-                at = close.end() if close else end
+                close = CLOSE[tag].search(page, at)
+                at = close.start() if close else end
         elif tag == "hr" or tag in BLOCK:
             if parts:
                 text = ended()
@@ -183,27 +195,37 @@ def blocks(page: str, root: Place) -> Iterator[tuple[str, int, Place]]:
                 place = place.child(tag, m[3].strip().rstrip("/"), open_tags, open_names)
                 open_tags[tag] += 1
                 open_names.update(place.names)
+                if tag in PLAIN:
+                    close = CLOSE[tag].search(page, at)
+                    read(page[at:close.start() if close else end])
+                    at = close.start() if close else end
     text = ended()
     if text:
         yield text, linked, place
 
 
 class Field:
-    """The conditional random field: weights of features by label, start and step weights."""
+    """The conditional random field: weights of features by label, start and step weights. Features that no labelled page has weigh nothing."""
+
+    def __init__(self, known: dict[str, int]):
+        self.known, self.w, self.start, self.step = known, np.zeros((len(known), 2)), np.zeros(2), np.zeros((2, 2))
+
+    def ids(self, names: list[str]) -> np.ndarray:
+        return np.array([i for i in map(self.known.get, names) if i is not None], np.int64)
 
-    def __init__(self):
-        self.w, self.start, self.step = np.zeros((FEATURES, 2)), np.zeros(2), np.zeros((2, 2))
+    def weight(self, names: list[str]) -> np.ndarray:
+        return self.w[self.ids(names)].sum(0)
 
     def emissions(self, found: list[tuple[str, int, Place]]) -> np.ndarray:
         n = len(found)
         out = np.empty((n, 2))
         for i, (text, linked, place) in enumerate(found):
             if place.features is None:
-                place.features = place.weighed(self.w)
+                place.features = place.weighed(self)
             key = tuple(text_features(text, linked, i, n))
             own = self.texts.get(key)
             if own is None:
-                own = self.texts[key] = self.w[feature_ids(list(key))].sum(0)
+                own = self.texts[key] = self.weight(list(key))
             out[i] = place.features + own
         return out
 
@@ -226,39 +248,47 @@ class Field:
             out.append(label)
         return out[::-1]
 
-    def fit(self, pages: list[tuple[list[np.ndarray], list[int]]], rounds: int = 120, rate: float = 0.1, decay: float = 1e-4) -> None:
-        """Adam on the exact log-likelihood; forward and backward sums run over all pages at once."""
+    def batch(self, pages: list[tuple[list[np.ndarray], list[int]]]) -> tuple:
+        """The pages' features, labels and lengths as arrays of one width."""
         longest, n = max(len(y) for _, y in pages), len(pages)
-        mask = np.zeros((n, longest), bool)
-        gold = np.zeros((n, longest), np.int64)
-        flat, owner = [], []
-        for p, (x, y) in enumerate(pages):
-            mask[p, :len(y)] = True
-            gold[p, :len(y)] = y
-            for t, ids in enumerate(x):
-                flat.append(ids)
-                owner.append(np.full(len(ids), p * longest + t))
-        flat, owner = np.concatenate(flat), np.concatenate(owner)
-        length = mask.sum(1)
-        one = np.eye(2)
-        params = [self.w, self.start, self.step]
+        mask, gold = np.zeros((n, longest), bool), np.zeros((n, longest), np.int64)
+        for p, (_, y) in enumerate(pages):
+            mask[p, :len(y)], gold[p, :len(y)] = True, y
+        at = [p * longest + t for p, (x, _) in enumerate(pages) for t in range(len(x))]
+        return np.concatenate([ids for x, _ in pages for ids in x]), np.repeat(at, [len(ids) for x, _ in pages for ids in x]), mask, np.eye(2)[gold] * mask[..., None]
+
+    def gradient(self, batch: tuple) -> tuple[float, list[np.ndarray]]:
+        """The mean log-likelihood of a page and its gradient; forward and backward sums run over all pages at once, scaled to one."""
+        flat, owner, mask, true = batch
+        n, longest = mask.shape
+        e = np.stack([np.bincount(owner, weights=self.w[flat, c], minlength=n * longest) for c in (0, 1)], 1).reshape(n, longest, 2)
+        top = e.max(2, keepdims=True)
+        x, a = np.exp(e - top), np.exp(self.step)
+        alpha, beta, scale = np.empty_like(x), np.ones_like(x), np.ones((n, longest))
+        now = np.exp(self.start) * x[:, 0]
+        for t in range(longest):
+            if t:
+                now = np.where(mask[:, t, None], (now @ a) * x[:, t], now)
+            scale[:, t] = np.where(mask[:, t], now.sum(1), 1)
+            now = now / scale[:, t, None]
+            alpha[:, t] = now
+        for t in range(longest - 2, -1, -1):
+            beta[:, t] = np.where(mask[:, t + 1, None], (x[:, t + 1] * beta[:, t + 1]) @ a.T / scale[:, t + 1, None], 1)
+        p = alpha * beta * mask[..., None]
+        over = np.einsum("pti,ij,ptj->ij", alpha[:, :-1], a, x[:, 1:] * beta[:, 1:] / scale[:, 1:, None] * mask[:, 1:, None])
+        likelihood = (true * e).sum() + (true[:, 0] * self.start).sum() + np.einsum("pti,ij,ptj->", true[:, :-1], self.step, true[:, 1:]) - (np.log(scale) + top[..., 0] * mask).sum()
+        d = (true - p).reshape(-1, 2)
+        grads = [np.stack([np.bincount(flat, weights=d[owner, c], minlength=len(self.w)) for c in (0, 1)], 1) / n,
+                 (true - p)[:, 0].mean(0), (np.einsum("pti,ptj->ij", true[:, :-1], true[:, 1:]) - over) / n]
+        return likelihood / n, grads
+
+    def fit(self, pages: list[tuple[list[np.ndarray], list[int]]], rounds: int = 120, rate: float = 0.1, decay: float = 1e-4) -> None:
+        """Adam on the exact log-likelihood."""
+        batch, params = self.batch(pages), [self.w, self.start, self.step]
         m, v = [np.zeros_like(x) for x in params], [np.zeros_like(x) for x in params]
         for k in range(1, rounds + 1):
-            e = np.stack([np.bincount(owner, weights=self.w[flat, c], minlength=n * longest) for c in (0, 1)], 1).reshape(n, longest, 2)
-            alpha, beta = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
-            alpha[:, 0] = self.start + e[:, 0]
-            for t in range(1, longest):
-                alpha[:, t] = np.logaddexp.reduce(alpha[:, t - 1, :, None] + self.step, axis=1) + e[:, t]
-            for t in range(longest - 2, -1, -1):
-                inside = np.logaddexp.reduce(self.step + (e[:, t + 1] + beta[:, t + 1])[:, None, :], axis=2)
-                beta[:, t] = np.where(mask[:, t + 1, None], inside, 0)
-            z = np.logaddexp.reduce(alpha[np.arange(n), length - 1], axis=1)
-            p = np.exp(alpha + beta - z[:, None, None]) * mask[..., None]
-            over = np.exp(alpha[:, :-1, :, None] + self.step + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]) * mask[:, 1:, None, None]
-            true = one[gold] * mask[..., None]
-            d = (true - p).reshape(-1, 2)
-            grads = [np.stack([np.bincount(flat, weights=d[owner, c], minlength=FEATURES) for c in (0, 1)], 1) / n - decay * self.w,
-                     (true - p)[:, 0].mean(0), (np.einsum("pti,ptj->ij", true[:, :-1], true[:, 1:]) - over.sum((0, 1))) / n]
+            _, grads = self.gradient(batch)
+            grads[0] = grads[0] - decay * self.w
             for i, g in enumerate(grads):
                 m[i] = 0.9 * m[i] + 0.1 * g
                 v[i] = 0.999 * v[i] + 0.001 * g * g
@@ -266,11 +296,11 @@ class Field:
 
 
 # Names and texts of the labelled pages, stated as fixed values.
-MAIN_NAMES = ("content", "post", "entry content", "article body", "story", "main text", "page content", "post body", "entry", "text")
+MAIN_NAMES = ("content", "post", "entry content", "article body", "story", "main text", "page content", "post body", "entry", "text", "body content", "primary", "mw content text", "site content")
 AD_NAMES = ("ad", "ads", "advert", "advertisement", "sponsored", "promo", "banner ad", "ad slot", "sponsor", "promotion")
-SIDE_NAMES = ("sidebar", "side", "widget", "related", "recommended", "popular posts", "trending", "more stories")
+SIDE_NAMES = ("sidebar", "side", "widget", "related", "recommended", "popular posts", "trending", "more stories", "secondary", "complementary", "rail", "widget area", "left column")
 NOTICE_NAMES = ("cookie notice", "cookie banner", "notice", "consent", "gdpr", "alert", "privacy banner", "cookies", "popup", "modal", "overlay", "warning message")
-MENU_NAMES = ("menu", "nav", "navigation", "navbar", "breadcrumb", "breadcrumbs", "topbar", "links", "tabs", "pagination", "pager", "toc")
+MENU_NAMES = ("menu", "nav", "navigation", "navbar", "breadcrumb", "breadcrumbs", "topbar", "links", "tabs", "pagination", "pager", "toc", "portlet", "subnav", "toolbar", "jump to nav", "categories", "catlinks", "site sub")
 HEAD_NAMES = ("header", "masthead", "site header", "top", "logo", "branding", "page header", "site title")
 FOOT_NAMES = ("footer", "site footer", "bottom", "copyright", "legal", "colophon", "page footer")
 FORM_NAMES = ("newsletter", "subscribe", "signup", "search", "login", "contact form", "comment form", "search form")
@@ -367,21 +397,53 @@ def labelled_pages(n: int = 700, seed: int = 5) -> list[list[tuple[str, str, int
             else:
                 aside("aside", None)
 
-        before.append("<title>")
-        text(words(1, 10, 0.2), 0)
-        before.append("</title></head><body>")
+        bare = chance(0.06)  # a page that is its text and nothing else
+        if not bare or chance(0.5):
+            before.append("<title>")
+            text(words(1, 10, 0.2), 0)
+            before.append("</title>")
+        before.append("</head><body>" if not bare or chance(0.5) else "")
         order = [lambda: aside("nav", MENU_NAMES if chance(0.4) else None, 1, 5), lambda: aside("header", HEAD_NAMES if chance(0.5) else None, 1, 8), lambda: aside("div", AD_NAMES), lambda: boilerplate(False)]
-        for i in rng.permutation(len(order))[:rng.integers(0, 5)]:
+        for i in rng.permutation(len(order))[:0 if bare else rng.integers(0, 5)]:
             order[i]()
-        wrap = int(rng.integers(5))
-        shell = ["<article>", "<main>", "<main><article>", named("div", MAIN_NAMES), "<article>" + named("div", MAIN_NAMES)][wrap]
+        wrap = 5 if bare else int(rng.choice([0, 1, 2, 3, 4, 5, 6, 7], p=[0.2, 0.14, 0.14, 0.14, 0.14, 0.08, 0.1, 0.06]))
+        if wrap == 6:  # columns of a table: links on the left, the text on the right
+            before.append("<table><tr>" + ("<td>" if chance(0.5) else named("td", MENU_NAMES + SIDE_NAMES)))
+            kind = rng.integers(3)
+            if kind == 0:
+                listed(int(rng.integers(2, 8)), 0, True)
+            elif kind == 1:
+                before.append("<a href='/x'>")
+                text("<br>".join(words(1, 3, 0) for _ in range(int(rng.integers(1, 8)))), 0)
+                before.append("</a>")
+            else:
+                for _ in range(int(rng.integers(2, 8))):
+                    before.append("<p><a href='/x'>" if chance(0.5) else "<div><a href='/x'>")
+                    text(words(1, 4, 0.1), 0)
+                    before.append("</a></div>")
+        shell = ["<article>", "<main>", "<main><article>", named("div", MAIN_NAMES), "<article>" + named("div", MAIN_NAMES), "", "</td><td>", "<div>"][wrap]
         before.append(shell)
-        if chance(0.7):
+        headed = wrap in (0, 2, 4) and chance(0.3)  # the article's own header holds its headline and a line on it
+        if headed:
+            before.append("<header>")
+        if headed or chance(0.7 if not bare else 0.3):
             before.append("<h1>")
             text(words(1, 12, 0.3), 1)
             before.append("</h1>")
+        if headed:
+            if chance(0.6):
+                before.append(named("p", SHARE_NAMES) if chance(0.7) else "<div>")
+                text(words(1, 8, 0.2), 0)
+                before.append("</p>")
+            before.append("</header>")
+        elif wrap in (3, 5, 7) and not bare and chance(0.25):  # a slogan below the headline, a table of contents
+            before.append(named("div", ("site sub", "tagline", "subtitle line", "content sub")))
+            text(words(1, 5, 0.1), 0)
+            before.append("</div>")
+            if chance(0.5):
+                aside("div", MENU_NAMES, 1, 5)
         for _ in range(int(rng.integers(1, 12))):
-            if chance(0.12):
+            if not bare and chance(0.12):
                 boilerplate(True)
             kind = rng.choice(["p", "p", "p", "p", "p", "h2", "h3", "blockquote", "pre", "li", "td", "div", "section", "figcaption"])
             if kind == "li":
@@ -391,30 +453,31 @@ def labelled_pages(n: int = 700, seed: int = 5) -> list[list[tuple[str, str, int
             before.append(opened)
             text(words(1, 90) + ("" if chance(0.8) else "<br>" + words(1, 20)), 1)
             before.append("" if kind == "p" and chance(0.2) else closed)
-        if chance(0.15):
+        if not bare and chance(0.15):
             comments()
-        before.append({0: "</article>", 1: "</main>", 2: "</article></main>", 3: "</div>", 4: "</div></article>"}[wrap])
+        before.append({0: "</article>", 1: "</main>", 2: "</article></main>", 3: "</div>", 4: "</div></article>", 5: "", 6: "</td></tr></table>", 7: "</div>"}[wrap])
         tail = [lambda: aside("footer", FOOT_NAMES if chance(0.5) else None), lambda: aside("div", FOOT_NAMES), comments, lambda: boilerplate(False), lambda: aside("aside", SIDE_NAMES if chance(0.6) else None)]
-        for i in rng.permutation(len(tail))[:rng.integers(0, 5)]:
+        for i in rng.permutation(len(tail))[:0 if bare else rng.integers(0, 5)]:
             tail[i]()
         out.append(page)
     return out
 
 
-def read_labelled(page: list[tuple[str, str, int]], root: Place) -> tuple[list[np.ndarray], list[int]]:
-    """The page's blocks as feature ids, and their labels; a block takes the label of the text it holds."""
+def read_labelled(page: list[tuple[str, str, int]], root: Place) -> tuple[list[list[str]], list[int]]:
+    """The features of the page's blocks, and their labels; a block takes the label of the text it holds."""
     found = list(blocks("".join(b + t for b, t, _ in page), root))
     texts = [(" ".join(entities.unescape(t.replace("<br>", " ")).split()), y) for _, t, y in page]
     if len(found) != len(texts) or any(f[0] != t for f, (t, _) in zip(found, texts)):
         raise ValueError("a labelled page was cut in another way than it was written")
-    x = [np.concatenate([feature_ids(p.described()), feature_ids(text_features(t, k, i, len(found)))]) for i, (t, k, p) in enumerate(found)]
-    return x, [y for _, y in texts]
+    return [p.described() + text_features(t, k, i, len(found)) for i, (t, k, p) in enumerate(found)], [y for _, y in texts]
 
 
 @functools.lru_cache(maxsize=1)
-def trained(n: int = 700, seed: int = 5) -> Field:
-    field, root = Field(), Place("-", (), None)
-    field.fit([read_labelled(p, root) for p in labelled_pages(n, seed)])
+def trained(n: int = 900, seed: int = 5) -> Field:
+    root = Place("-", (), None)
+    pages = [read_labelled(p, root) for p in labelled_pages(n, seed)]
+    field = Field({name: i for i, name in enumerate(sorted({f for x, _ in pages for names in x for f in names}))})
+    field.fit([([field.ids(names) for names in x], y) for x, y in pages])
     return field
 
 
@@ -428,11 +491,11 @@ def main_text(page: str | None, field: Field, root: Place) -> str:
 def extract(pages: DataFrame, field: Field | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, url, text, n_chars. The model is fitted on the driver: its size and data are fixed."""
     model = field or trained()
-    weights = (model.w.astype(np.float32), model.start, model.step)
+    weights = (model.known, model.w, model.start, model.step)
 
     def run(batches):
-        own = Field()
-        own.w, own.start, own.step = weights[0].astype(np.float64), weights[1], weights[2]
+        own = Field(weights[0])
+        own.w, own.start, own.step = weights[1:]
         root = Place("-", (), None)
         for b in slices(batches):
             texts = [main_text(p.as_py(), own, root) for p in b.column(2)]

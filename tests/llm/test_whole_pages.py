@@ -21,8 +21,9 @@ def test_deep_pages(depth):
     assert path(found["Menu"])[-3:] == ["nav", "ul", "li"] and path(found["Deep."]) == ["article", *["div"] * depth, "p"]
     assert path(found["First."]) == path(found["Last."]) == ["article", "p"] and path(found["Foot"]) == ["footer"]
     assert sorted(set(found["Menu"].described())) == sorted(found["Menu"].described()) and {"has=article", "has=nav", "near=nav", "name=story"} <= set(found["Menu"].described())
-    w = page_text.np.random.default_rng(0).normal(size=(page_text.FEATURES, 2))
-    assert page_text.np.allclose(found["Menu"].weighed(w), w[page_text.feature_ids(found["Menu"].described())].sum(0))
+    field = page_text.Field({name: i for i, name in enumerate(found["Menu"].described()[1:])})
+    field.w = page_text.np.random.default_rng(0).normal(size=field.w.shape)
+    assert page_text.np.allclose(found["Menu"].weighed(field), field.w.sum(0))
 
 
 def test_deep_unclosed(spark):
@@ -30,3 +31,54 @@ def test_deep_unclosed(spark):
     rows = [(1, "u", plain.format("<div>" * 400 + "<nav><a href='/'>Home</a></nav>" + "</div>" * 400)), (2, "u", plain.format("<nav><a href='/'>Home</a></nav>"))]
     got = {r.page_id: r.text for r in page_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[1] == got[2] == "One sentence of the story. Another sentence of the story."
+
+
+def of(page):
+    return page_text.main_text(page, page_text.trained(), page_text.Place("-", (), None))
+
+
+def test_layouts():
+    assert of("<article><p title=it's>First one here.</p><p>Second doesn't stop.</p><p>Third it is.</p></article>") == "First one here. Second doesn't stop. Third it is."
+    assert of("Only some words that stand alone. No tag is near them.") == "Only some words that stand alone. No tag is near them."
+    text = "This is a sentence of some length about the topic, and another clause follows it."
+    assert of(f"<html><head><title>Topic - Wiki</title></head><body><div id='mw-navigation'><ul><li><a href='/'>Main page</a></li><li><a href='/c'>Contents</a></li></ul></div><div id=content class='mw-body'><h1 id=firstHeading>Topic</h1>"
+              f"<div id=bodyContent><div id=siteSub>From the free encyclopedia</div><div id='mw-content-text'><div class='mw-parser-output'><p>{text}</p><h2>History</h2><p>{text}</p></div></div></div></div><div id=footer>Terms of use</div></body></html>") == f"Topic {text} History {text}"
+    assert of(f"<body><table><tr><td><a href=/a>Home</a><br><a href=/b>News</a></td><td><h1>Head</h1><p>{text}</p><p>{text}</p></td></tr></table></body>") == f"Head {text} {text}"
+    assert of(f"<article><header><h1>Headline of it</h1><p class=byline>By me</p></header><p>{text}</p></article><div id=secondary><ul><li><a href=/>More</a></li></ul></div>") == f"Headline of it {text}"
+
+
+def test_broken_tags_take_linear_time():
+    import time
+
+    for piece in ("<p ", "<p a='", '<p a="b', "<!-- ", "</", "<p =", "<title>", "<script>", "<div><"):
+        began = time.time()
+        of("<p>Some text.</p>" + piece * (1_000_000 // len(piece)))
+        assert time.time() - began < 15, piece
+
+
+def test_viterbi_and_gradient():
+    import itertools
+
+    np = page_text.np
+    rng = np.random.default_rng(1)
+    field = page_text.Field({f"f{i}": i for i in range(6)})
+    field.w, field.start, field.step = rng.normal(size=(6, 2)), rng.normal(size=2), rng.normal(size=(2, 2))
+    pages = [([rng.integers(0, 6, 3) for _ in range(n)], rng.integers(0, 2, n).tolist()) for n in (1, 4, 7)]
+
+    def score(x, y):
+        return field.start[y[0]] + sum(field.w[ids, k].sum() for ids, k in zip(x, y)) + sum(field.step[a, b] for a, b in zip(y, y[1:]))
+
+    for x, _ in pages:
+        e = np.array([field.w[ids].sum(0) for ids in x])
+        assert field.viterbi(e) == list(max(itertools.product((0, 1), repeat=len(x)), key=lambda y: score(x, y)))
+    value, grads = field.gradient(field.batch(pages))
+    want = np.mean([score(x, y) - np.log(sum(np.exp(score(x, z)) for z in itertools.product((0, 1), repeat=len(x)))) for x, y in pages])
+    assert abs(value - want) < 1e-9
+    for param, g in zip((field.w, field.start, field.step), grads):
+        for at in np.ndindex(param.shape):
+            param[at] += 1e-5
+            up = field.gradient(field.batch(pages))[0]
+            param[at] -= 2e-5
+            down = field.gradient(field.batch(pages))[0]
+            param[at] += 1e-5
+            assert abs((up - down) / 2e-5 - g[at]) < 1e-6
