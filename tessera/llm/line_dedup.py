@@ -114,9 +114,9 @@ def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     known = stored(prefixes.join(least_runs(levels, min_lines), AT).select(*AT, "m", "step", "c", "p", "q"), "lines-known", after=[*levels[1:], *names])
     place = F.struct(*AT)
     # intervals are aggregated and written before the join, so that it stands alone and a hot one can be split
-    intervals = known.groupBy("step", "c", "p", "q").agg(F.min(place).alias("first"))
-    least = intervals.groupBy("p", "q").agg(F.min("first").alias("least"))
-    starts = stored(intervals.join(least, ["p", "q"]).select("step", "c", "p", "q", "first", "least"), "lines-intervals")
+    intervals = stored(known.groupBy("step", "c", "p", "q").agg(F.min(place).alias("first")), "lines-intervals")
+    least = stored(intervals.groupBy("p", "q").agg(F.min("first").alias("least")), "lines-least")
+    starts = stored(intervals.join(least, ["p", "q"]).select("step", "c", "p", "q", "first", "least"), "lines-starts", after=[intervals, least])
     copies = known.join(starts, ["step", "c", "p", "q"]).where(place > F.col("least")).select("d", "t", F.col("at").alias("start"), (F.col("at") + F.when(place > F.col("first"), F.col("m")).otherwise(min_lines) - 1).alias("to"))
     doc = W.partitionBy("d", "t").orderBy("start", "to")
     reach = F.max("to").over(doc.rowsBetween(W.unboundedPreceding, -1))
