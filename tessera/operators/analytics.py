@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tessera.storage import written
+
 # Upper bounds of the latency histogram, in seconds.
 LATENCY_BOUNDS = (0.05, 0.1, 0.2, 0.3, 0.5, 1.0, 2.0, 5.0, 10.0)
 
@@ -58,11 +60,32 @@ def histogram(df: DataFrame, value: Column, bounds: Sequence[float] = LATENCY_BO
 
 
 def nearest_rank(df: DataFrame, value: str, q: float) -> DataFrame:
-    """The value at place floor(n * q) of the sorted values: the exact smallest value whose rank passes it, from counts by value."""
+    """The value at place floor(n * q) of the sorted values: the exact smallest value whose rank passes it.
+
+    Counts by value are dealt over ranges; the ranges' sums, a row each, say which one holds the place, and only that one is ordered.
+    """
     by_value = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(W.orderBy(value).rowsBetween(W.unboundedPreceding, 0))
-    total = F.sum("n").over(W.partitionBy())
-    return by_value.select(value, upto.alias("upto"), total.alias("total")).where(F.col("upto") > F.floor(F.col("total") * q)).agg(F.min(value).alias("p"))
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    dealt = written(by_value.repartitionByRange(width, value).withColumn("part", F.spark_partition_id()), "ranges")
+    sums = dealt.groupBy("part").agg(F.sum("n").alias("m"))
+    before = F.coalesce(F.sum("m").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    place = F.floor(F.sum("m").over(W.partitionBy()) * q)
+    inside = sums.withColumns({"before": before, "place": place}).where((F.col("before") <= F.col("place")) & (F.col("place") < F.col("before") + F.col("m")))
+    upto = F.col("before") + F.sum("n").over(W.partitionBy("part").orderBy(value).rowsBetween(W.unboundedPreceding, 0))
+    return dealt.join(inside, "part").select(value, upto.alias("upto"), "place").where(F.col("upto") > F.col("place")).agg(F.min(value).alias("p"))
+
+
+def interpolated_quantile(buckets: DataFrame, q: float) -> DataFrame:
+    """p: the q-quantile of a cumulative histogram (le, n), by linear interpolation inside the bucket that holds it.
+
+    The lowest bucket begins at 0; what lies above the last finite bound gives that bound; an empty histogram gives null.
+    """
+    by = W.orderBy("le")
+    edges = buckets.withColumns({"low": F.coalesce(F.lag("le").over(by), F.lit(0.0)), "below": F.coalesce(F.lag("n").over(by), F.lit(0)), "rank": q * F.max("n").over(W.partitionBy())})
+    finite = F.col("le") < float("inf")
+    held = edges.where((F.col("n") >= F.col("rank")) & (F.col("n") > F.col("below")))
+    inner = F.col("low") + (F.col("le") - F.col("low")) * (F.col("rank") - F.col("below")) / (F.col("n") - F.col("below"))
+    return held.agg(F.min(F.struct("le", F.when(finite, inner).otherwise(F.col("low")).alias("p"))).alias("m")).select("m.p")
 
 
 def freshness(df: DataFrame, ts: str, as_of: Column) -> DataFrame:

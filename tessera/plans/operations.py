@@ -148,6 +148,22 @@ def latency_histogram(spark, d):
     return A.histogram(table(spark, d, "events"), F.col("value") / 100)
 
 
+
+QUANTILES = (0.5, 0.95, 0.99)
+
+
+@query("latency_quantiles", """
+WITH h AS (SELECT le, count(*) FILTER (value / 100 <= le) AS n FROM events, (SELECT unnest([0.05, 0.1, 0.2, 0.3, 0.5, 1, 2, 5, 10, 'inf'::DOUBLE]::DOUBLE[]) AS le) GROUP BY le),
+e AS (SELECT le, n, coalesce(lag(le) OVER (ORDER BY le), 0) AS low, coalesce(lag(n) OVER (ORDER BY le), 0) AS below, max(n) OVER () AS total FROM h)
+SELECT q, round(arg_min(CASE WHEN isinf(le) THEN low ELSE low + (le - low) * (q * total - below) / (n - below) END, le), 6) AS p
+FROM e, (SELECT unnest([0.5, 0.95, 0.99]::DOUBLE[]) AS q) WHERE n >= q * total AND n > below GROUP BY q""")
+def latency_quantiles(spark, d):
+    """Quantiles as a dashboard reads them off the histogram's buckets."""
+    buckets = A.histogram(table(spark, d, "events"), F.col("value") / 100, (*A.LATENCY_BOUNDS, float("inf")))
+    each = [A.interpolated_quantile(buckets, q).select(F.lit(q).alias("q"), F.round("p", 6).alias("p")) for q in QUANTILES]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
 @query("latency_p95", "SELECT value AS p FROM (SELECT value, row_number() OVER (ORDER BY value) - 1 AS r, count(*) OVER () AS n FROM events) WHERE r = floor(n * 0.95)")
 def latency_p95(spark, d):
     return A.nearest_rank(table(spark, d, "events"), "value", 0.95)

@@ -79,22 +79,39 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+POINTERS = "_versions"
+
+
 def publish(df: DataFrame, root: str, version: str) -> str:
-    """Writes a version folder; the pointer file is replaced last, so readers see the old or the new one whole."""
-    path = f"{root}/{version}"
-    df.write.mode("overwrite").parquet(path)
-    spark = df.sparkSession
-    spark.createDataFrame([(path,)], "path string").coalesce(1).write.mode("overwrite").json(f"{root}/_current")
+    """Writes a new version folder, then appends a pointer to it: readers see the old or the new version whole, as nothing is overwritten.
+
+    A version is written once; publishing it again is an error.
+    """
+    path, spark = f"{root}/{version}", df.sparkSession
+    df.write.mode("error").parquet(path)
+    last = latest(spark, root)
+    spark.createDataFrame([(1 + (last["n"] if last else 0), path)], "n long, path string").coalesce(1).write.mode("append").json(f"{root}/{POINTERS}")
     return path
 
 
+def latest(spark: SparkSession, root: str):
+    """The pointer of the largest number, or none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{POINTERS}")
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return None
+    return spark.read.schema("n long, path string").json(f"{root}/{POINTERS}").orderBy(F.desc("n"), "path").first()
+
+
 def current(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(spark.read.json(f"{root}/_current").first()["path"])
+    last = latest(spark, root)
+    if last is None:
+        raise ValueError(f"nothing was published under {root}")
+    return spark.read.parquet(last["path"])
 
 
-def refresh_views(spark: SparkSession, views: dict[str, DataFrame], root: str, prefix: str = "mv_") -> list[str]:
-    """Recomputes and overwrites the persisted aggregates whose names carry the prefix."""
+def refresh_views(views: dict[str, DataFrame], root: str, version: str, prefix: str = "mv_") -> list[str]:
+    """Publishes a new version of the persisted aggregates whose names carry the prefix; readers take current(root/name)."""
     names = sorted(n for n in views if n.startswith(prefix))
     for n in names:
-        views[n].write.mode("overwrite").parquet(f"{root}/{n}")
+        publish(views[n], f"{root}/{n}", version)
     return names

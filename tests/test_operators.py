@@ -145,6 +145,32 @@ def test_watchlist(spark, tmp_path):
     watchlist.publish(spark.range(3).toDF("id"), str(tmp_path / "t"), "v1")
     watchlist.publish(spark.range(5).toDF("id"), str(tmp_path / "t"), "v2")
     assert watchlist.current(spark, str(tmp_path / "t")).count() == 5
+    with pytest.raises(Exception, match="already exists"):
+        watchlist.publish(spark.range(9).toDF("id"), str(tmp_path / "t"), "v1")
+    assert watchlist.current(spark, str(tmp_path / "t")).count() == 5
+    with pytest.raises(ValueError, match="nothing was published"):
+        watchlist.current(spark, str(tmp_path / "none"))
+    views = {"mv_a": spark.range(2), "other": spark.range(4)}
+    assert watchlist.refresh_views(views, str(tmp_path), "v1") == ["mv_a"] and watchlist.current(spark, str(tmp_path / "mv_a")).count() == 2
+
+
+def test_csv_round_trip(spark, tmp_path):
+    rows = [("Ana Doe", 1951, "true_match", 10), ("Bo", None, "clean", None)]
+    df = spark.createDataFrame(rows, watchlist.GROUND_TRUTH)
+    watchlist.write_csv(df, str(tmp_path / "g"))
+    assert sorted(map(tuple, watchlist.read_ground_truth(spark, str(tmp_path / "g")).collect()), key=str) == sorted(rows, key=str)
+
+
+def test_quantiles(spark):
+    rng = __import__("random").Random(1)
+    values = [rng.randrange(500) for _ in range(3000)] + [7] * 2000
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v int")
+    for q in (0.0, 0.5, 0.95, 0.999):
+        assert A.nearest_rank(df, "v", q).first()["p"] == sorted(values)[int(len(values) * q)]
+    assert A.nearest_rank(df.limit(0), "v", 0.5).first()["p"] is None
+    buckets = spark.createDataFrame([(1.0, 10), (2.0, 30), (float("inf"), 40)], "le double, n long")
+    assert [A.interpolated_quantile(buckets, q).first()["p"] for q in (0.125, 0.5, 0.9)] == [0.5, 1.5, 2.0]
+    assert A.interpolated_quantile(buckets.limit(0), 0.5).first()["p"] is None
 
 
 def test_streams_equal_batches(spark, tiny, tmp_path):
