@@ -37,20 +37,25 @@ def chain_faults(log: DataFrame, tenant: str, order: str, payload: Column) -> Da
 
 
 def append_chained(spark: SparkSession, log: DataFrame, tenant: str, order: str, payload: str) -> DataFrame:
-    """Writes prev_hash and hash; a tenant's chain is sequential, tenants run in parallel."""
+    """Writes prev_hash and hash; a tenant's chain is sequential, tenants run in parallel. Only the last hash is held, never a tenant's rows."""
     import hashlib
 
-    def run(pdf):
-        pdf = pdf.sort_values(order)
-        previous, prev, cur = GENESIS, [], []
-        for text in pdf[payload]:
-            prev.append(previous)
-            previous = hashlib.sha256((previous + text).encode()).hexdigest()
-            cur.append(previous)
-        return pdf.assign(prev_hash=prev, hash=cur)
+    import pandas as pd
+
+    def run(frames):
+        now, previous, begun = None, GENESIS, False
+        for pdf in frames:
+            prev, cur = [], []
+            for owner, text in zip(pdf[tenant], pdf[payload]):
+                if not begun or not (owner == now or (pd.isna(owner) and pd.isna(now))):
+                    now, previous, begun = owner, GENESIS, True
+                prev.append(previous)
+                previous = hashlib.sha256((previous + text).encode()).hexdigest()
+                cur.append(previous)
+            yield pdf.assign(prev_hash=prev, hash=cur)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in log.schema.fields)
-    return log.groupBy(tenant).applyInPandas(run, f"{fields}, prev_hash string, hash string")
+    return log.repartition(tenant).sortWithinPartitions(tenant, order).mapInPandas(run, f"{fields}, prev_hash string, hash string")
 
 
 def failure_runs(events: DataFrame, key: str, order: list[str], failed: Column) -> DataFrame:

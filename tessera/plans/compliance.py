@@ -132,10 +132,13 @@ def upserted_entities(spark, d):
     return C.upserted(old.drop("is_active").withColumns({"first_seen_version": F.lit(1), "last_seen_version": F.lit(1)}), new, ["p_partkey"], 2).drop("p_name")
 
 
-@query("fingerprint_sha", """SELECT o_custkey, sha256(array_to_string(list_sort(list(o_orderkey || ':' || o_orderstatus)), ',')) AS print FROM orders GROUP BY 1""")
+@query("fingerprint_sha", """
+SELECT o_custkey, sha256('{"f0":' || o_custkey || ',"f1":["' || array_to_string(list_sort(list(o_orderkey || ':' || o_orderstatus)), '","') || '"]}') AS print FROM orders GROUP BY 1""")
 def fingerprint_sha(spark, d):
+    """The engine's fingerprint of each customer: its key and its orders, in order."""
     item = F.concat_ws(":", F.col("o_orderkey").cast("string"), "o_orderstatus")
-    return table(spark, d, "orders").groupBy("o_custkey").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(item)), ","), 256).alias("print"))
+    lists = table(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    return lists.select("o_custkey", C.fingerprint([F.col("o_custkey"), F.col("items")]).alias("print"))
 
 
 @query("affected_keys", f"""

@@ -198,17 +198,16 @@ def state_transitions(spark, d):
 
 
 @query("chain_verify", """
-WITH p AS (SELECT user_id, event_id, sha256(event_type || event_id) AS link FROM events),
-l AS (SELECT user_id, event_id, coalesce(lag(link) OVER (PARTITION BY user_id ORDER BY event_id), repeat('0', 64)) AS before,
-  CASE WHEN event_id % 101 = 7 THEN repeat('f', 64) ELSE coalesce(lag(link) OVER (PARTITION BY user_id ORDER BY event_id), repeat('0', 64)) END AS stored FROM p)
-SELECT user_id, count(*) AS rows, min(event_id) FILTER (stored <> before) AS first_broken FROM l GROUP BY 1""")
+SELECT user_id, count(*) AS rows, min(event_id) FILTER (event_id % 101 = 7 OR event_id % 307 = 5) AS first_broken FROM events GROUP BY 1""")
 def chain_verify(spark, d):
-    """Rows chained by the digest of the row before; those that a rule spoils must be found."""
-    link = F.sha2(F.concat("event_type", F.col("event_id").cast("string")), 256)
-    e = table(spark, d, "events").select("user_id", "event_id", link.alias("link"))
-    before = F.coalesce(F.lag("link").over(W.partitionBy("user_id").orderBy("event_id")), F.lit(H.GENESIS))
-    kept = e.withColumn("before", before).withColumn("stored", F.when(F.col("event_id") % 101 == 7, F.lit("f" * 64)).otherwise(F.col("before")))
-    return kept.groupBy("user_id").agg(F.count(F.lit(1)).alias("rows"), F.min(F.when(F.col("stored") != F.col("before"), F.col("event_id"))).alias("first_broken"))
+    """A log chained row by row, then spoilt by rule in its contents or its links: the first spoilt row of each chain must be found."""
+    body = F.concat_ws("|", "event_type", F.col("event_id").cast("string"), F.col("value").cast("string"))
+    log = H.append_chained(spark, table(spark, d, "events").select("user_id", "event_id", body.alias("body")), "user_id", "event_id", "body")
+    spoilt = log.withColumns({
+        "body": F.when(F.col("event_id") % 101 == 7, F.concat("body", F.lit("!"))).otherwise(F.col("body")),
+        "prev_hash": F.when(F.col("event_id") % 307 == 5, F.sha2("hash", 256)).otherwise(F.col("prev_hash")),
+    })
+    return H.chain_faults(spoilt, "user_id", "event_id", F.col("body"))
 
 
 @query("lockout_runs", """
