@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import fuzzy, text
@@ -28,16 +30,23 @@ def zone(lines: Column) -> Column:
         (holds(1, 9) & holds(14, 6) & holds(22, 6) & holds(29, 14) & whole).alias("valid")))
 
 
-def same_country(a: Column, b: Column) -> Column:
+def iso_countries(spark: SparkSession) -> list[tuple[str, str, str]]:
+    """Two-letter code, three-letter code and English name of every country that the platform's ISO 3166 table knows."""
+    locale = spark._jvm.java.util.Locale
+    each = [locale("", code) for code in locale.getISOCountries()]
+    return [(x.getCountry(), x.getISO3Country(), x.getDisplayCountry(locale.ENGLISH)) for x in each]
+
+
+def same_country(a: Column, b: Column, countries: Sequence[tuple[str, str, str]] = COUNTRIES) -> Column:
     """Whether two codes or names mean the same country; unknown ones are compared as written."""
-    names = {k.lower(): full.lower() for row in COUNTRIES for full in row[2:] for k in row}
+    names = {k.lower(): full.lower() for row in countries for full in row[2:] for k in row}
     table = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
     plain = lambda c: F.lower(F.trim(c))
     known = lambda c: F.coalesce(F.try_element_at(table, plain(c)), plain(c))
     return known(a) == known(b)
 
 
-def cross_references(df: DataFrame, mrz: str, name: str, birth: str, nation: str, as_of: Column) -> DataFrame:
+def cross_references(df: DataFrame, mrz: str, name: str, birth: str, nation: str, as_of: Column, countries: Sequence[tuple[str, str, str]] = COUNTRIES) -> DataFrame:
     """Adds status and issues of an application against its paper's zone; without a zone a warning."""
     m = F.col(mrz)
     paper_name = F.lower(F.trim(F.concat_ws(" ", m["given_names"], m["surname"])))
@@ -45,7 +54,7 @@ def cross_references(df: DataFrame, mrz: str, name: str, birth: str, nation: str
     stated = F.try_to_date(F.col(birth))
     issues = F.array_compact(F.array(
         F.when(F.col("__ratio") < NAME_MATCH, F.lit("name mismatch")), F.when(stated != m["birth"], F.lit("date of birth mismatch")), F.when(m["expiry"] < as_of, F.lit("document expired")),
-        F.when((F.trim(F.col(nation)) != "") & ~same_country(F.col(nation), m["country"]), F.lit("issuing country inconsistent")),
+        F.when((F.trim(F.col(nation)) != "") & ~same_country(F.col(nation), m["country"], countries), F.lit("issuing country inconsistent")),
     ))
     status = F.when(m.isNull(), "warn").when(F.size(issues) > 0, "fail").otherwise("pass")
     return out.withColumns({"status": status, "issues": F.when(m.isNull(), F.array(F.lit("no zone"))).otherwise(issues)}).drop("__ratio")

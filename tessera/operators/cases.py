@@ -10,11 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .history import EDGES
+
 # Reasons that a disposition may give, and where a decision leads.
 REASONS = ("confirmed_no_match", "confirmed_transliteration_variant", "confirmed_different_dob", "confirmed_true_match", "insufficient_evidence")
 DECIDED = {"approve": "APPROVED", "reject": "REJECTED", "clear": "CLEARED"}
 OPEN = ("PENDING_L1", "PENDING_L2", "ESCALATED")
 LOADED = ("PENDING_L1", "PENDING_L2")
+#: States that lead nowhere.
+TERMINAL = tuple(sorted({b for to in EDGES.values() for b in to} - set(EDGES)))
 
 
 def newest(requests: DataFrame, key: str) -> DataFrame:
@@ -83,6 +87,23 @@ def decide(cases: DataFrame, decisions: DataFrame) -> DataFrame:
         by.alias("decided_by"), F.when(agreed, s["actor_id"]).alias("second_approver"), error.alias("error"))
 
 
+def move(applications: DataFrame, requests: DataFrame, edges: DataFrame) -> DataFrame:
+    """applications after requests (application_id, to_state, actor_id, at), with the state before and an error where one was refused.
+
+    edges: before, after. submitted_at is set when a draft is submitted, decided_at at a terminal state.
+    """
+    kept = [c for c in applications.columns if c not in ("state", "submitted_at", "decided_at")]
+    may = edges.select(F.col("before").alias("state"), F.col("after").alias("__to"), F.lit(True).alias("__may")).distinct()
+    asked = applications.join(newest(requests, "application_id"), "application_id", "left").withColumn("__to", F.col("r.to_state"))
+    j, moves, r = asked.join(may, ["state", "__to"], "left"), F.col("__may").isNotNull(), F.col("r")
+    submitted = moves & (F.col("__to") == "SUBMITTED") & (F.col("state") == "DRAFT")
+    decided = moves & F.col("__to").isin(*TERMINAL)
+    return j.select(
+        *kept, F.when(moves, F.col("__to")).otherwise(F.col("state")).alias("state"), F.when(submitted, r["at"]).otherwise(F.col("submitted_at")).alias("submitted_at"),
+        F.when(decided, r["at"]).otherwise(F.col("decided_at")).alias("decided_at"), F.col("state").alias("before"), r["actor_id"].alias("actor_id"), r["at"].alias("at"),
+        F.when(r.isNotNull() & ~moves, "no such transition").alias("error"))
+
+
 def ask(cases: DataFrame, requests: DataFrame) -> DataFrame:
     """Cases for which information is requested wait for it."""
     asked = requests.select("case_id").distinct().withColumn("__asked", F.lit(True))

@@ -66,3 +66,24 @@ def to_embed(names: DataFrame, known: DataFrame, keys: Sequence[str]) -> DataFra
 def absent(new: DataFrame, old: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows to append so that each key is stored once."""
     return new.join(old, list(keys), "left_anti")
+
+
+def reloaded_children(old: DataFrame, new: DataFrame, entries: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Child rows after a load: those of the keys in entries are replaced by new's, all others stay as they were."""
+    loaded = entries.select(*keys).distinct()
+    return old.join(loaded, list(keys), "left_anti").unionByName(new.join(loaded, list(keys), "left_semi"))
+
+
+def not_appended(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, fault of each row of old that new has 'deleted' or 'updated'; a table that only grows has none."""
+    rest = [c for c in old.columns if c not in keys]
+    shown = lambda df, name: df.select(*keys, fingerprint([F.col(c) for c in rest]).alias(name))
+    fault = F.when(F.col("__new").isNull(), "deleted").when(F.col("__new") != F.col("__old"), "updated")
+    return shown(old, "__old").join(shown(new, "__new"), list(keys), "left").select(*keys, fault.alias("fault")).where("fault is not null")
+
+
+def require_appended(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """new, if it only adds to old; an error otherwise."""
+    if not not_appended(old, new, keys).isEmpty():
+        raise ValueError("rows of an append-only table were deleted or updated")
+    return new

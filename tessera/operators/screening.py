@@ -306,3 +306,39 @@ def perturbed(c: Column, key: Column, seed: int = 42) -> Column:
     swap = lambda w: F.when(F.length(w) < 4, w).otherwise(F.concat(F.substr(w, F.lit(1), place - 1), F.substr(w, place + 1, F.lit(1)), F.substr(w, place, F.lit(1)), F.substr(w, place + 2)))
     swapped = F.array_join(F.transform(words, lambda w, i: F.when(i == at, swap(w)).otherwise(w)), " ")
     return F.when(pick == 0, respelled).when(pick == 1, F.array_join(F.reverse(words), " ")).when(pick == 2, dropped).when(pick == 3, swapped).otherwise(F.concat(F.lit("Dr "), c))
+
+
+#: How many rows of each label an evaluation takes, and the syllables of made-up names.
+EVALUATED = {"true_match": 220, "hard_negative": 90, "clean": 140}
+SYLLABLES = "ba ce di fo gu ha je ki lo mu na pe qui ro su ta ve wi xo zu".split()
+
+
+def evaluation_set(names: DataFrame, counts: dict[str, int] = EVALUATED, seed: int = 42) -> DataFrame:
+    """query_id, label, true_entity, raw, year: as many rows of each label as counts say; fewer names give fewer rows.
+
+    names (name_id, entity_id, raw, year), one an entity, in an order by seed: true matches are respelled and half of
+    them keep their year, hard negatives have a year that conflicts, clean names are made of syllables.
+    """
+    draw = lambda k, *c: F.xxhash64(*c, F.lit(seed + k))
+    first, second = counts["true_match"], counts["hard_negative"]
+    order = [draw(0, "name_id"), F.col("name_id")]
+    place = F.row_number().over(W.orderBy(*order))  # over the limit's rows, a fixed number
+    picked = names.orderBy(*order).limit(first + second).withColumn("place", place)
+    hit = F.col("place") <= first
+    year = F.when(hit, F.when(draw(5, "name_id") % 2 == 0, F.col("year"))).otherwise(F.col("year") + 15 + F.pmod(draw(6, "name_id"), F.lit(26)).cast("int"))
+    real = picked.select(
+        F.col("place").cast("long").alias("query_id"), F.when(hit, "true_match").otherwise("hard_negative").alias("label"), F.when(hit, F.col("entity_id")).alias("true_entity"),
+        F.when(hit, perturbed(F.col("raw"), F.col("name_id"), seed)).otherwise(F.col("raw")).alias("raw"), year.cast("int").alias("year"))
+    syllable = lambda k: F.get(F.array(*map(F.lit, SYLLABLES)), F.pmod(draw(10 + k, "id"), F.lit(len(SYLLABLES))).cast("int"))
+    word = lambda k: F.concat(*[syllable(4 * k + i) for i in range(4)])
+    clean = names.sparkSession.range(counts["clean"]).select(
+        (F.col("id") + first + second + 1).alias("query_id"), F.lit("clean").alias("label"), F.lit(None).cast("long").alias("true_entity"), F.concat_ws(" ", word(0), word(1)).alias("raw"), F.lit(None).cast("int").alias("year"))
+    return real.unionByName(clean)
+
+
+def baseline(found: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    """query_id, entity_id, score: the candidate with the best token set ratio alone; of equal ones the smallest name_id."""
+    pairs = found.join(queries.select("query_id", F.col("normalized").alias("q_name")), "query_id").join(corpus.select("name_id", "entity_id", F.col("normalized").alias("c_name")), "name_id")
+    rated = pairs.select("query_id", "entity_id", "name_id", fuzzy.token_set_ratio("q_name", "c_name").alias("score")).where("score > 0")
+    best = F.max(F.struct("score", (-F.col("name_id")).alias("order"), "entity_id"))
+    return rated.groupBy("query_id").agg(best.alias("b")).select("query_id", "b.entity_id", "b.score")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import compliance, matching, operations
+from . import compliance, matching, operations, upkeep
 from .registry import ORACLES, QUERIES
 
-MODULES = (operations, compliance, matching)
+MODULES = (operations, compliance, matching, upkeep)
 
 
 def flagship(spark, sf_dir):

@@ -263,12 +263,8 @@ def perturb_sample(spark, d):
     return p.select("p_partkey", kind.alias("label"), S.perturbed(F.col("p_name"), F.col("p_partkey")).alias("query_name"), F.when(kind == "hard_negative", wrong).otherwise(year).alias("dob_year"))
 
 
-def screening_tables(spark, d):
-    """(queries, corpus) of the flagship: respelled names of every fiftieth document against all names.
-
-    A document is an entity: its language says what kind it is, its id gives birth, nation and identifier. A query
-    carries what the customer of the same key says; the customer's balance, nation and orders give risk and documents.
-    """
+def watch_corpus(spark, d):
+    """(names, corpus): a document is an entity, its language says what kind it is, its id gives birth, nation and identifier."""
     nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("nation"))
     names = watch_names(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("entity_id"), "lang"), "entity_id")
     e = F.col("entity_id")
@@ -279,7 +275,16 @@ def screening_tables(spark, d):
         "id_numbers": F.when(e % 4 == 0, F.array(F.concat(F.lit("ID"), e.cast("string")))), "sdn_type": F.when(F.col("lang") == "en", "Individual").otherwise("Entity"),
         "weak": F.col("name_id") % NAMES_A_TEXT == NAMES_A_TEXT - 1,
     })
-    corpus = written(facts.drop("raw", "lang", "key", "nation"), "corpus")
+    return names, written(facts.drop("raw", "lang", "key", "nation"), "corpus")
+
+
+def screening_tables(spark, d):
+    """(queries, corpus) of the flagship: respelled names of every fiftieth document against all names.
+
+    A query carries what the customer of the same key says; the customer's balance, nation and orders give risk and documents.
+    """
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("nation"))
+    (names, corpus), e = watch_corpus(spark, d), F.col("entity_id")
     late = table(spark, d, "orders").groupBy("o_custkey").agg(F.max(F.when(F.col("o_orderstatus") == "P", 2).when(F.col("o_orderstatus") == "O", 1).otherwise(0)).alias("worst"), F.count(F.lit(1)).alias("n_orders"))
     customer = table(spark, d, "customer").join(nations, F.col("c_nationkey") == F.col("key"), "left").join(late, F.col("c_custkey") == F.col("o_custkey"), "left")
     countries = spark.createDataFrame([(c.upper(), r) for c, r in D.COUNTRY_RISK], "country string, risk_level string")
@@ -307,3 +312,24 @@ def screen_batch(spark, d):
     best = S.ranked(S.scored(written(S.candidates(queries, corpus, stats), "candidates"), queries, corpus, stats))
     routed = best.join(queries.select("query_id", "risk", "document"), "query_id").withColumn("route", D.route(F.col("score"), F.col("risk"), F.col("document"), F.col("corroborated")))
     return routed.select("query_id", "rank", "entity_id", "name_id", F.array_join("methods", ",").alias("methods"), "score", "route.tier")
+
+
+@query("evaluation_run")
+def evaluation_run(spark, d):
+    """Hybrid screening and the plain token set ratio, measured at every threshold over the seeded set of 220, 90 and 140 names."""
+    names, corpus = watch_corpus(spark, d)
+    stats = written(S.token_stats(corpus), "token-stats")
+    firsts = names.where(F.col("name_id") % NAMES_A_TEXT == 0).select("name_id", "entity_id", "raw", (1950 + F.col("entity_id") % 45).cast("int").alias("year"))
+    asked = text.with_name(S.evaluation_set(firsts), F.col("raw"))
+    queries = written(asked.select(
+        "query_id", "label", "true_entity", "tokens", "normalized", "sorted_key", fuzzy.phonetic_keys("tokens").alias("phonetic"), S.hashed_embedding(F.col("normalized")).alias("embedding"),
+        F.make_date("year", F.lit(1), F.lit(1)).alias("birth")), "evaluation-queries")
+    hybrid = S.ranked(S.scored(written(S.candidates(queries, corpus, stats), "candidates"), queries, corpus, stats), 1)
+    plain = S.baseline(S.candidates(queries, corpus, stats, vectors=False), queries, corpus)
+
+    def measured(best, method):
+        top = best.select("query_id", F.col("entity_id").alias("top_entity"), F.col("score").alias("top_score"))
+        results = queries.select("query_id", "label", "true_entity").join(top, "query_id", "left")
+        return D.confusion(results, D.thresholds_sweep()).withColumn("method", F.lit(method))
+
+    return measured(hybrid, "hybrid").unionByName(measured(plain, "baseline"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import text
+
 ENTRY = """
 uid STRING, firstName STRING, lastName STRING, title STRING, sdnType STRING, remarks STRING,
 programList STRUCT<program: ARRAY<STRING>>,
@@ -56,6 +58,23 @@ def read_entries(spark: SparkSession, path: str, namespace: str | None = None) -
     )
 
 
+def children(entries: DataFrame) -> dict[str, DataFrame]:
+    """The child tables of entries, each by uid: names, identifiers, births, nationalities, addresses."""
+    each = lambda c: entries.select("uid", F.explode(c).alias("x"))
+    own = F.struct(F.col("primary_name").alias("name"), F.lit("primary").alias("kind"), F.lit(False).alias("weak"))
+    aka = F.transform("akas", lambda a: F.struct(
+        F.concat_ws(" ", words(a["firstName"]), words(a["lastName"])).alias("name"), F.coalesce(words(a["type"]), F.lit("a.k.a.")).alias("kind"), F.coalesce(F.lower(F.trim(a["category"])) == "weak", F.lit(False)).alias("weak")))
+    of = lambda c, kind: F.transform(F.filter(c, lambda x: x.isNotNull()), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("country")))
+    part, born = (lambda f: words(F.col(f"x.{f}"))), text.parse_birth(F.col("x.text"))
+    return {
+        "names": each(F.concat(F.array(own), aka)).select("uid", "x.*").where("name <> ''"),
+        "identifiers": each("ids").select("uid", F.coalesce(part("idType"), F.lit("unknown")).alias("id_type"), F.coalesce(part("idNumber"), F.lit("")).alias("id_number"), part("idCountry").alias("id_country")),
+        "births": each("births").select("uid", born["exact"].alias("date_of_birth"), born["year"].alias("year_only"), F.col("x.text").alias("dob_text")),
+        "nationalities": each(F.concat(of("nationalities", "nationality"), of("citizenships", "citizenship"))).select("uid", "x.*"),
+        "addresses": each("addresses").select("uid", part("address1").alias("address1"), part("address2").alias("address2"), part("city").alias("city"), part("stateOrProvince").alias("state_province"), part("postalCode").alias("postal_code"), part("country").alias("country")),
+    }
+
+
 def read_header(spark: SparkSession, path: str) -> DataFrame:
     """publish_date, record_count; an error when the file has no header."""
     h = spark.read.format("xml").option("rowTag", "publshInformation").schema("Publish_Date STRING, Record_Count STRING").load(path)
