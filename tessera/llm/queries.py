@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, jaccard_join, line_dedup, mixing, packing, page_text, quality, secret_scan, vector_dedup
+from . import alignment, chat_format, exact_dedup, jaccard_join, line_dedup, mixing, packing, page_text, quality, secret_scan, token_counts, vector_dedup, whitening
 from .common import table
 
 
@@ -49,8 +49,24 @@ def op1_chat_format(spark, sf_dir):
     return chat_format.formatted(table(spark, sf_dir, "conversations"))
 
 
+def op11_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_token_counts(spark, sf_dir):
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark, sf_dir):
+    out = alignment.align(table(spark, sf_dir, "documents"))
+    return out.withColumn("groups_sha256", F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))).drop("groups")
+
+
 def queries():
     return {
+        "op11_whitening": op11_whitening,
+        "op12_token_counts": op12_token_counts,
+        "op13_token_alignment": op13_token_alignment,
         "op1_chat_format": op1_chat_format,
         "op5_jaccard_join": op5_jaccard_join,
         "op8_line_dedup": op8_line_dedup,
