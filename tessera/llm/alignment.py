@@ -1,11 +1,12 @@
-"""Cross-tokenizer alignment, relational: two tokenizers' tokens of a text are joined where they end at the same byte.
+"""Cross-tokenizer alignment, relational: two tokenizers' tokens are joined where they end at the same byte.
 
 Texts are dealt over blocks of about BLOCK_BYTES, and a block's equal segments (segments.py), across which no token of
-either side reaches, are aligned once, with the number of times they stand there. An Arrow function gives each distinct
-segment's two lists of ids and byte lengths; what follows is Spark's: the lists are exploded by position, a window adds
-up lengths to ends, an equi-join on segment and end gives the links, and the running count of these cuts numbers the
-groups. Each pair of ids is counted over the corpus and joined back. A document is its segments in order, which lie
-with it in its block's row. Nothing but blocks, of a bounded size, and pairs of ids is ever gathered.
+either side reaches, are aligned once: a block's distinct segments on end are the text that is aligned. An Arrow function
+gives it as two lists of ids and byte lengths. What follows is Spark's, over a table bucketed by block, so that nothing of
+a block is shuffled: the lists are exploded by position, a window adds up lengths to ends, an equi-join on block and end
+gives the links, which are the cuts between groups, and their running counts number the groups of each segment. Each pair
+of ids is counted over the corpus and joined back. A document is its segments in order, which lie with it in its block's
+row. Nothing but blocks, of a bounded size, and counts of pairs of ids is ever gathered.
 
 Defined cases: null and empty texts, and texts whose tokens' bytes don't give the text again, have no tokens and give
 zeros; the strings of special tokens in a text are plain text; repeated rows are rows of their own; null ids are kept;
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import contextlib
 import functools
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import shuffle_width, stored
+from .common import on_disk, shared_dir, shuffle_width, stored
 from .segments import BATCH_BYTES, Table, balanced, one_thread, segment_counts
 
 #: A token is held as id * WIDTH + byte length; tokens of the public vocabularies have up to 128 bytes.
@@ -33,7 +35,7 @@ WIDTH = 256
 #: A pair of ids is held as a's id * IDS + b's id.
 IDS = 1 << 20
 #: Bytes of the texts of a block, and how many pairs of ids may be sent to each executor at once; more are shuffled.
-BLOCK_BYTES, SENT_PAIRS = 1 << 23, 500_000
+BLOCK_BYTES, SENT_PAIRS = 1 << 24, 500_000
 
 def public_vocabularies() -> tuple[str, str]:
     import public_tokenizers
@@ -155,7 +157,7 @@ def encoder_of(path_a: str, path_b: str) -> Encoder:
     return Encoder(path_a, path_b)
 
 
-BLOCK = "block long, docs array<struct<doc_id: bigint, n_a: bigint, n_b: bigint, codes: array<int>>>, segments array<struct<times: bigint, a: array<int>, b: array<int>>>"
+BLOCK = "block long, docs array<struct<doc_id: bigint, n_a: bigint, n_b: bigint, codes: array<int>>>, times array<bigint>, a array<bigint>, b array<int>"
 
 
 def as_lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -163,13 +165,6 @@ def as_lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int32), *arrays]).astype(np.int32)))
 
 
-def row_of(name: int, docs: dict[str, pa.Array], segments: dict[str, pa.Array]) -> pa.RecordBatch:
-    """One row: the block's name, its documents and its segments."""
-    one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-    tables = [one(pa.StructArray.from_arrays(list(x.values()), list(x))) for x in (docs, segments)]
-    return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), *tables], ["block", "docs", "segments"])
-
-
 class Block:
     """Documents whose segments are told apart together."""
 
@@ -203,12 +198,16 @@ class Block:
                 a, b, times = [*a, both[0]], [*b, both[1]], [*times, 1]
         sizes = [np.array([*map(len, x), 0], np.int64) for x in (a, b)]
         n_a, n_b = (pa.array([int(n[c].sum()) for c in lists], pa.int64()) for n in sizes)
-        docs = {"doc_id": pa.concat_arrays(self.ids), "n_a": n_a, "n_b": n_b, "codes": as_lists(lists)}
-        return row_of(name, docs, {"times": pa.array(times, pa.int64()), "a": as_lists(a), "b": as_lists(b)})
+        docs = pa.StructArray.from_arrays([pa.concat_arrays(self.ids), n_a, n_b, as_lists(lists)], ["doc_id", "n_a", "n_b", "codes"])
+        flat_a, flat_b = (np.concatenate([np.zeros(0, np.int32), *x]) for x in (a, b))
+        with_code = np.repeat(np.arange(len(a)), sizes[0][:-1]) << 32 | flat_a
+        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        columns = [one(docs), one(pa.array(times, pa.int64())), one(pa.array(with_code)), one(pa.array(flat_b))]
+        return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), *columns], ["block", "docs", "times", "a", "b"])
 
 
 def blocks(docs: DataFrame, id_col: str, text_col: str, path_a: str, path_b: str, block_bytes: int) -> DataFrame:
-    """block, docs, segments: a row for each block."""
+    """block, docs, times, a, b: a row for each block; a token of a begins with its segment's number, times has how often each segment stands there."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         encoder, name, block = encoder_of(path_a, path_b), TaskContext.get().partitionId() << 33, None
@@ -238,70 +237,111 @@ def joined_in_place(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-SEGMENT = ["block", "code"]
+def bucketed(df: DataFrame, name: str) -> DataFrame:
+    """stored(), but dealt by block for good: windows and joins within blocks read it as it lies. Each row is one of few."""
+    spark = df.sparkSession
+    table = f"tessera_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{table}"
+    df.write.bucketBy(shuffle_width(spark), "block").option("path", path).option("compression", "zstd").saveAsTable(table)
+    place, files = on_disk(spark, path)
+    files.deleteOnExit(place)
+    return spark.table(table)
 
 
-def tokens(dealt: DataFrame, side: str) -> DataFrame:
-    """block, code, end, place, id of every token: posexplode, and a window that adds up the lengths."""
-    each = dealt.select(*SEGMENT, F.posexplode(side).alias(f"{side}_place", "token"))
-    so_far = W.partitionBy(*SEGMENT).orderBy(f"{side}_place").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return each.select(*SEGMENT, F.sum(F.col("token").bitwiseAND(WIDTH - 1)).over(so_far).alias("end"), f"{side}_place", F.shiftright("token", 8).cast("long").alias(f"{side}_id"))
+def tokens(found: DataFrame, side: str) -> DataFrame:
+    """block, end, place of every token: posexplode, and a window that adds up the lengths."""
+    each = found.select("block", F.posexplode(side).alias(f"{side}_place", "token"))
+    so_far = W.partitionBy("block").orderBy(f"{side}_place").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return each.select("block", F.sum(F.col("token").bitwiseAND(WIDTH - 1)).over(so_far).alias("end"), f"{side}_place")
 
 
-def links(dealt: DataFrame) -> DataFrame:
-    """block, code, group_id, a_place, b_place, pair: where tokens of both sides end; the running count of a segment's cuts
-    is the number of the group that ends there."""
-    met = tokens(dealt, "a").join(tokens(dealt, "b"), [*SEGMENT, "end"])
-    count = F.row_number().over(W.partitionBy(*SEGMENT).orderBy("end"))
-    return met.select(*SEGMENT, count.alias("group_id"), "a_place", "b_place", (F.col("a_id") * IDS + F.col("b_id")).alias("pair"))
+def links(found: DataFrame) -> DataFrame:
+    """block, end, a_place, b_place: the places where tokens of both sides end together."""
+    return tokens(found, "a").join(tokens(found, "b"), ["block", "end"])
 
 
-def ids_of(tokens_: str, cut, i, side: str):
-    """Decimal ids of a side's tokens between the cut before the i-th one and that one."""
-    first = F.when(i == 0, F.lit(0)).otherwise(F.get("cuts", i - 1)[f"{side}_place"] + 1)
-    part = F.slice(tokens_, first + 1, cut[f"{side}_place"] - first + 1)
-    return F.array_join(F.transform(part, lambda t: F.shiftright(t, 8).cast("string")), ",")
+HALF = (1 << 32) - 1
 
 
-def aligned(spark: SparkSession, found: DataFrame) -> DataFrame:
-    """block, code, times, groups, pairs of every segment: its groups as text, and the pair of each of its links."""
-    each = found.select("block", F.posexplode("segments").alias("code", "s")).select("block", "code", "s.times", "s.a", "s.b")
-    dealt = each.repartition(4 * shuffle_width(spark), *SEGMENT)
-    cuts = links(dealt).groupBy(*SEGMENT).agg(F.array_sort(F.collect_list(F.struct("group_id", "a_place", "b_place", "pair"))).alias("cuts"))
-    group = lambda cut, i: F.concat(ids_of("a", cut, i, "a"), F.lit("|"), ids_of("b", cut, i, "b"))
-    both = dealt.join(cuts, SEGMENT).select(*SEGMENT, "times", F.array_join(F.transform("cuts", group), ";").alias("groups"), F.col("cuts.pair").alias("pairs"))
-    with joined_in_place(spark):
-        return stored(both, "aligned-segments")
+def cuts(found: DataFrame) -> DataFrame:
+    """block, cuts: each block's links in order, a's place and b's place in one number."""
+    both = F.shiftleft(F.col("a_place").cast("long"), 32) + F.col("b_place")
+    return links(found).groupBy("block").agg(F.sort_array(F.collect_list(both)).alias("cuts"))
+
+
+def a_place(cut):
+    return F.shiftright(cut, 32).cast("int")
+
+
+def b_place(cut):
+    return cut.bitwiseAND(HALF).cast("int")
+
+
+def id_of(token):
+    return F.shiftright(token.bitwiseAND(HALF), 8)
+
 
+def pairs_of_links(whole: DataFrame) -> DataFrame:
+    """block, code, times, pair: a row for each link of each distinct segment."""
+    code = lambda c: F.shiftright(F.get("a", a_place(c)), 32).cast("int")
+    link = lambda c: F.struct(  # noqa: E731  all of a link's values here: beside an exploded one, whole arrays would be copied
+        code(c).alias("code"), (id_of(F.get("a", a_place(c))) * IDS + F.shiftright(F.get("b", b_place(c)), 8)).alias("pair"), F.get("times", code(c)).alias("times"))
+    return whole.select("block", F.explode(F.transform("cuts", link)).alias("l")).select("block", "l.code", "l.pair", "l.times")
 
-def counted(spark: SparkSession, segments: DataFrame) -> DataFrame:
-    """block, code, groups, n_links, n_best, count_sum: each segment's links, by the corpus-wide counts of their pairs."""
-    each = segments.select(*SEGMENT, "times", F.explode("pairs").alias("pair"))
+
+def rated(spark: SparkSession, each: DataFrame) -> DataFrame:
+    """block, code, n_links, n_best, count_sum: each segment's links by the corpus-wide counts of their pairs."""
     pairs = each.groupBy("pair").agg(F.sum("times").alias("count"))
     b = F.col("pair") % IDS
     most = pairs.groupBy(b.alias("b")).agg(F.max("count").alias("most"))
-    rated = stored(pairs.join(most, b == F.col("b")).select("pair", "count", (F.col("count") == F.col("most")).cast("long").alias("best")), "id-pairs")
-    table = F.broadcast(rated) if rated.count() <= SENT_PAIRS else rated
-    sums = each.groupBy(*SEGMENT, "pair").agg(F.count(F.lit(1)).alias("n")).join(table, "pair").groupBy(*SEGMENT).agg(
-        F.sum("n").alias("n_links"), F.sum(F.col("n") * F.col("best")).alias("n_best"), F.sum(F.col("n") * F.col("count")).alias("count_sum"))
-    return segments.select(*SEGMENT, "groups").join(sums, SEGMENT)
+    known = stored(pairs.join(most, b == F.col("b")).select("pair", "count", (F.col("count") == F.col("most")).cast("long").alias("best")), "id-pairs")
+    if known.count() <= SENT_PAIRS:
+        met = each.join(F.broadcast(known), "pair")
+    else:  # a segment's equal pairs are added up before they move
+        met = each.groupBy("block", "code", "pair").agg(F.count(F.lit(1)).alias("n")).join(known, "pair")
+    n = F.col("n") if "n" in met.columns else F.lit(1)
+    return met.groupBy("block", "code").agg(F.sum(n).alias("n_links"), F.sum(n * F.col("best")).alias("n_best"), F.sum(n * F.col("count")).alias("count_sum"))
+
+
+def bound(x, f):
+    """f(x) with x computed once, however often f's own lambdas use it."""
+    return F.transform(F.array(x), f)[0]
+
+
+def ids_between(tokens_: str, before, last):
+    return F.array_join(F.transform(F.slice(tokens_, before + 2, last - before), lambda t: id_of(t).cast("string")), ",")
+
+
+def group_texts():
+    """Every group of a block as text: its tokens after the cut before it, up to its own."""
+    def text(cut, i):
+        earlier = F.when(i > 0, F.get("cuts", i - 1))
+        before = lambda place: F.coalesce(place(earlier), F.lit(-1))
+        return F.concat(ids_between("a", before(a_place), a_place(cut)), F.lit("|"), ids_between("b", before(b_place), b_place(cut)))
+
+    return F.transform("cuts", text)
 
 
 def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", paths: tuple[str, str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups: each row's tokens, groups and links, and its groups as
     text: a1,a2|b1;a3|b2,b3."""
     spark = docs.sparkSession
-    found = stored(blocks(docs, id_col, text_col, *(paths or public_vocabularies()), block_bytes), "blocks")
-    segments = aligned(spark, found)
-    rated = counted(spark, segments)
-    in_order = F.array_sort(F.collect_list(F.struct("code", "groups", "n_links", "n_best", "count_sum")))
-    by_block = found.select("block", "docs").join(rated.groupBy("block").agg(in_order.alias("s")), "block", "left")
-    flat = by_block.select("docs", *[F.col(f"s.{x}").alias(x) for x in ("groups", "n_links", "n_best", "count_sum")])
-    total = lambda d, x: F.aggregate(d["codes"], F.lit(0).cast("long"), lambda s, c: s + F.get(x, c))
-    text = lambda d: F.array_join(F.transform(d["codes"], lambda c: F.get("groups", c)), ";")
-    rows = F.transform("docs", lambda d: F.struct(
+    found = bucketed(blocks(docs, id_col, text_col, *(paths or public_vocabularies()), block_bytes), "blocks")
+    with joined_in_place(spark):
+        met = bucketed(cuts(found), "cuts")
+    whole = found.join(met, "block", "left")
+    segments = rated(spark, pairs_of_links(whole))
+    so_far = W.partitionBy("block").orderBy("code").rowsBetween(W.unboundedPreceding, W.currentRow)  # the running count of cuts
+    counted = segments.withColumn("first", F.sum("n_links").over(so_far) - F.col("n_links"))
+    in_order = F.array_sort(F.collect_list(F.struct("code", "first", "n_links", "n_best", "count_sum")))
+    measured = counted.groupBy("block").agg(in_order.alias("s"))
+    by_block = whole.join(measured, "block", "left")
+    of = lambda c, x: F.coalesce(F.get("s", c)[x], F.lit(0))
+    total = lambda d, x: F.aggregate(d["codes"], F.lit(0).cast("long"), lambda s, c: s + of(c, x))
+    segment_texts = lambda texts: F.transform("s", lambda s: F.array_join(F.slice(texts, (s["first"] + 1).cast("int"), s["n_links"].cast("int")), ";"))
+    rows = lambda groups: F.transform("docs", lambda d: F.struct(
         d["doc_id"].alias("doc_id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), total(d, "n_links").alias("n_links"), total(d, "n_best").alias("n_best"),
-        total(d, "count_sum").alias("count_sum"), text(d).alias("groups")))
-    out = flat.select(F.explode(rows).alias("r")).select("r.*")
+        total(d, "count_sum").alias("count_sum"), F.array_join(F.transform(d["codes"], lambda c: F.get(groups, c)), ";").alias("groups")))
+    out = by_block.select(F.explode(bound(bound(group_texts(), segment_texts), rows)).alias("r")).select("r.*")
     # a cut ends a group and is a link of the two tokens before it
     return out.select("doc_id", "n_a", "n_b", F.col("n_links").alias("n_groups"), "n_links", "n_best", "count_sum", "groups")
