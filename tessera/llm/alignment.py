@@ -35,7 +35,7 @@ WIDTH = 256
 #: A pair of ids is held as a's id * IDS + b's id.
 IDS = 1 << 20
 #: Bytes of the texts of a block, and how many pairs of ids may be sent to each executor at once; more are shuffled.
-BLOCK_BYTES, SENT_PAIRS = 1 << 24, 500_000
+BLOCK_BYTES, SENT_PAIRS = 1 << 22, 500_000
 
 def public_vocabularies() -> tuple[str, str]:
     import public_tokenizers
