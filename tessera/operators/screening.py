@@ -314,10 +314,11 @@ SYLLABLES = "ba ce di fo gu ha je ki lo mu na pe qui ro su ta ve wi xo zu".split
 
 
 def evaluation_set(names: DataFrame, counts: dict[str, int] = EVALUATED, seed: int = 42) -> DataFrame:
-    """query_id, label, true_entity, raw, year: as many rows of each label as counts say; fewer names give fewer rows.
+    """query_id, label, true_entity, raw, year, true_name: as many rows of each label as counts say; fewer names give fewer rows.
 
-    names (name_id, entity_id, raw, year), one an entity, in an order by seed: true matches are respelled and half of
-    them keep their year, hard negatives have a year that conflicts, clean names are made of syllables.
+    names (name_id, entity_id, raw, year, and last_year where several entities bear a name), in an order by seed: true
+    matches are respelled and half of them keep their year, hard negatives have a year that conflicts with every bearer
+    of the name, clean names are made of syllables.
     """
     draw = lambda k, *c: F.xxhash64(*c, F.lit(seed + k))
     first, second = counts["true_match"], counts["hard_negative"]
@@ -325,14 +326,16 @@ def evaluation_set(names: DataFrame, counts: dict[str, int] = EVALUATED, seed: i
     place = F.row_number().over(W.orderBy(*order))  # over the limit's rows, a fixed number
     picked = names.orderBy(*order).limit(first + second).withColumn("place", place)
     hit = F.col("place") <= first
-    year = F.when(hit, F.when(draw(5, "name_id") % 2 == 0, F.col("year"))).otherwise(F.col("year") + 15 + F.pmod(draw(6, "name_id"), F.lit(26)).cast("int"))
+    last = F.col("last_year" if "last_year" in names.columns else "year")
+    year = F.when(hit, F.when(draw(5, "name_id") % 2 == 0, F.col("year"))).otherwise(last + 15 + F.pmod(draw(6, "name_id"), F.lit(26)).cast("int"))
     real = picked.select(
         F.col("place").cast("long").alias("query_id"), F.when(hit, "true_match").otherwise("hard_negative").alias("label"), F.when(hit, F.col("entity_id")).alias("true_entity"),
-        F.when(hit, perturbed(F.col("raw"), F.col("name_id"), seed)).otherwise(F.col("raw")).alias("raw"), year.cast("int").alias("year"))
+        F.when(hit, perturbed(F.col("raw"), F.col("name_id"), seed)).otherwise(F.col("raw")).alias("raw"), year.cast("int").alias("year"), F.when(hit, F.col("raw")).alias("true_name"))
     syllable = lambda k: F.get(F.array(*map(F.lit, SYLLABLES)), F.pmod(draw(10 + k, "id"), F.lit(len(SYLLABLES))).cast("int"))
     word = lambda k: F.concat(*[syllable(4 * k + i) for i in range(4)])
     clean = names.sparkSession.range(counts["clean"]).select(
-        (F.col("id") + first + second + 1).alias("query_id"), F.lit("clean").alias("label"), F.lit(None).cast("long").alias("true_entity"), F.concat_ws(" ", word(0), word(1)).alias("raw"), F.lit(None).cast("int").alias("year"))
+        (F.col("id") + first + second + 1).alias("query_id"), F.lit("clean").alias("label"), F.lit(None).cast("long").alias("true_entity"), F.concat_ws(" ", word(0), word(1)).alias("raw"), F.lit(None).cast("int").alias("year"),
+        F.lit(None).cast("string").alias("true_name"))
     return real.unionByName(clean)
 
 
