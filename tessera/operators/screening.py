@@ -12,6 +12,8 @@ from pyspark.sql import Window as W
 
 from tessera.functions import fuzzy, text
 
+from . import neighbours
+
 LIMIT, TRIGRAM_THRESHOLD, VECTOR_DISTANCE, SHORT_NAME, IDF_FLOOR = 50, 0.35, 0.35, 2, 2.0
 UNKNOWN_BLOCK_IDF, UNKNOWN_WEIGHT_IDF = 99.0, 1.0
 # Weights of the name score and of its adjustments.
@@ -106,49 +108,14 @@ def by_trigrams(queries: DataFrame, corpus: DataFrame, limit: int = LIMIT, thres
     return top(scored.where(F.col("similarity") >= threshold), [F.desc("similarity"), F.asc("name_id")], limit)
 
 
-QUERY_BLOCK, CORPUS_BLOCK = 4096, 8192
-
-
-def blocked(df: DataFrame, key: str, rows: int, block: str) -> tuple[DataFrame, int]:
-    """df dealt over blocks of about `rows`, and the number of blocks."""
-    n = max(1, -(-df.count() // rows))
-    return df.withColumn(block, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")), n
-
-
 def by_vectors(queries: DataFrame, corpus: DataFrame, limit: int = LIMIT, max_distance: float = VECTOR_DISTANCE) -> DataFrame:
     """query_id, name_id, distance: the nearest `limit`, of which those nearer than max_distance stay.
 
-    Queries and corpus meet block by block, one matrix product for each pair of blocks over Arrow's own buffers; a pair
-    keeps the nearest `limit` of each query before anything is ranked over blocks. Nothing is gathered on the driver.
-    Vectors that are null or empty meet nothing; all others are of one length.
+    Exact, over a metric partition of the corpus (neighbours.py). Vectors that are null or empty meet nothing; all others
+    are of one length.
     """
-    import numpy as np
-    import pyarrow as pa
-
-    some = F.size("embedding") > 0
-    q, n_q = blocked(queries.where(some).select("query_id", "embedding"), "query_id", QUERY_BLOCK, "qb")
-    c, n_c = blocked(corpus.where(F.col("is_active") & some).select("name_id", "embedding"), "name_id", CORPUS_BLOCK, "cb")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    both = q.select("qb", every(n_c).alias("cb"), F.lit(True).alias("asked"), F.col("query_id").alias("id"), "embedding").unionByName(
-        c.select(every(n_q).alias("qb"), "cb", F.lit(False).alias("asked"), F.col("name_id").alias("id"), "embedding"))
-    names = ["query_id", "name_id", "distance"]
-    none = pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names)
-
-    def unit(table: pa.Table) -> np.ndarray:
-        x = table["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(table.num_rows, -1)
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-
-    def nearest(table: pa.Table) -> pa.Table:
-        asked, held = table.filter(table["asked"]), table.filter(pa.compute.invert(table["asked"]))
-        if not asked.num_rows or not held.num_rows:
-            return none
-        ids, d = held["id"].to_numpy(), 1 - unit(asked) @ unit(held).T
-        k = min(limit, d.shape[1])
-        edge = np.minimum(np.partition(d, k - 1, axis=1)[:, k - 1], max_distance)  # what lies beyond can't stay
-        i, j = np.nonzero(d <= edge[:, None])
-        return pa.table([pa.array(asked["id"].to_numpy()[i]), pa.array(ids[j]), pa.array(d[i, j])], names)
-
-    found = both.groupBy("qb", "cb").applyInArrow(nearest, "query_id long, name_id long, distance double")
+    cells = neighbours.Cells(corpus.where("is_active"))
+    found, _, _ = neighbours.candidates(queries, cells, limit, max_distance)
     return top(found, [F.asc("distance"), F.asc("name_id")], limit).where(F.col("distance") < max_distance)
 
 
