@@ -10,6 +10,7 @@ from tessera.operators import changes as C
 from tessera.operators import decisions as D
 from tessera.operators import history as H
 from tessera.session import table
+from tessera.sources import ledger as L
 
 from .registry import query
 
@@ -100,3 +101,23 @@ def country_pairs(spark, d):
     pairs = spark.createDataFrame([(k, known[k][1], known[k if k < 18 else k + 1][2]) for k in range(25)], "n_nationkey long, code string, name string")
     nations = table(spark, d, "nation").select(F.col("n_nationkey").cast("long"))
     return nations.join(pairs, "n_nationkey").select("n_nationkey", papers.same_country(F.col("code"), F.col("name"), known).alias("same"))
+
+
+SQL_DAY = "CAST(sum(CAST(('0x' || substr(md5(event_id || '|' || {kind}), 1, 12)) AS BIGINT)) AS VARCHAR)"
+
+
+@query("ledger_states", f"""
+WITH old AS (SELECT strftime(ts, '%Y-%m-%d') AS source, {SQL_DAY.format(kind='event_type')} AS digest FROM events WHERE day(ts) % 7 <> 3 GROUP BY 1),
+new AS (SELECT strftime(ts, '%Y-%m-%d') AS source, {SQL_DAY.format(kind="CASE WHEN event_id % 97 = 0 AND day(ts) % 2 = 0 THEN 'altered' ELSE event_type END")} AS digest FROM events WHERE day(ts) % 7 <> 5 GROUP BY 1)
+SELECT 'load' AS stage, source, CASE WHEN n.digest IS NULL THEN 'gone' WHEN o.digest IS NULL THEN 'new' WHEN n.digest = o.digest THEN 'unchanged' ELSE 'changed' END AS state
+FROM old o FULL JOIN new n USING (source)""")
+def ledger_states(spark, d):
+    """Days of events as a stage's sources, before and after a change: what a run would have to read again."""
+    e = table(spark, d, "events").withColumn("source", F.date_format("ts", DAY))
+    day, altered = F.dayofmonth("ts"), F.when((F.col("event_id") % 97 == 0) & (F.dayofmonth("ts") % 2 == 0), "altered").otherwise(F.col("event_type"))
+
+    def digests(events, kind):
+        return events.groupBy("source").agg(F.sum(L.row_digest(F.col("event_id"), kind)).cast("string").alias("digest")).withColumn("stage", F.lit("load"))
+
+    before = digests(e.where(day % 7 != 3), F.col("event_type")).withColumns({c: F.lit(None).cast("string") for c in ("validator", "output_digest", "output")}).withColumn("run", F.lit(1))
+    return L.states(before, digests(e.where(day % 7 != 5), altered))

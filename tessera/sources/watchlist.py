@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,17 +105,36 @@ POINTERS = "_versions"
 
 
 def publish(df: DataFrame, root: str, version: str) -> str:
-    """Writes a new version folder, then appends a pointer to it: readers see the old or the new version whole, as nothing is overwritten.
+    """Writes a new version folder, then a numbered pointer to it: readers see the old or the new version whole, as nothing is overwritten.
 
-    A version is written once; publishing it again is an error.
+    A version is written once; publishing it again is an error. Of writers at once each gets a number of its own: a
+    pointer is created only where none is, and who comes too late takes the next number. The file system must create
+    without overwriting as one step, as HDFS does.
     """
     path, spark = f"{root}/{version}", df.sparkSession
     df.write.mode("error").parquet(path)
     last = latest(spark, root)
-    spark.createDataFrame([(1 + (last["n"] if last else 0), path)], "n long, path string").coalesce(1).write.mode("append").json(f"{root}/{POINTERS}")
+    number = 1 + (last["n"] if last else 0)
+    while not pointed(spark, root, number, path):
+        number += 1
     return path
 
 
+def pointed(spark: SparkSession, root: str, number: int, path: str) -> bool:
+    """Creates the pointer of that number, unless there is one."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{POINTERS}/{number:012d}.json")
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        out = files.create(place, False)
+    except Py4JJavaError as e:
+        if files.exists(place):
+            return False
+        raise e
+    out.write(bytearray(json.dumps({"n": number, "path": path}).encode()))
+    out.close()
+    return True
+
+
 def latest(spark: SparkSession, root: str):
     """The pointer of the largest number, or none."""
     place = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{POINTERS}")
