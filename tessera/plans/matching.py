@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import fuzzy, text
 from tessera.operators import decisions as D
+from tessera.operators import rescreen as R
 from tessera.operators import screening as S
 from tessera.session import table
 from tessera.storage import written
@@ -159,8 +160,8 @@ def phonetic_codes(spark, d):
     return words.select("word", F.soundex("word").alias("soundex"), fuzzy.nysiis_code("word").alias("nysiis"), fuzzy.metaphone_code("word").alias("metaphone"))
 
 
-@query("candidate_union", f"""
-WITH {SQL_NAMES}, {SQL_SIMILAR},
+#: The fifty best names of each asked one by trigrams and by tokens, united with the methods that found them.
+SQL_UNITED = """
 tri AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, name_id) AS place FROM alike),
 tok AS (SELECT name_id, unnest(list_distinct(tokens)) AS token FROM names),
 stats AS (SELECT token, ln((SELECT count(*) FROM names) / CAST(count(*) AS DOUBLE)) AS idf FROM (SELECT unnest(tokens) AS token FROM names) GROUP BY 1),
@@ -170,7 +171,10 @@ b AS (SELECT DISTINCT query_id, t.name_id FROM q JOIN tok t USING (token) WHERE
 w AS (SELECT b.query_id, b.name_id, round(sum(q.idf), 9) AS weight FROM b JOIN q ON q.query_id = b.query_id JOIN tok t ON t.name_id = b.name_id AND t.token = q.token GROUP BY 1, 2),
 best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, name_id) AS place FROM w),
 u AS (SELECT query_id, name_id, 'trigram' AS m FROM tri WHERE place <= 50 UNION ALL SELECT query_id, name_id, 'token' FROM best WHERE place <= 50)
-SELECT query_id, name_id, array_to_string(list_sort(list(m)), ',') AS methods FROM u GROUP BY 1, 2""")
+SELECT query_id, name_id, array_to_string(list_sort(list(m)), ',') AS methods FROM u GROUP BY 1, 2"""
+
+
+@query("candidate_union", f"WITH {SQL_NAMES}, {SQL_SIMILAR}, {SQL_UNITED}")
 def candidate_union(spark, d):
     """The engine's token and trigram retrievers, fifty names each, united with the methods that found a name."""
     names = written(watch_names(spark, d), "names")
@@ -179,6 +183,26 @@ def candidate_union(spark, d):
     return out.select("query_id", "name_id", F.array_join("methods", ",").alias("methods"))
 
 
+#: A later state of the watchlist: some documents' names gone, some with another word, some new; the earlier one lacks the new ones.
+LEFT, ALTERED, CAME = (f"{{}} % 40 = {k}" for k in (7, 9, 11))
+SQL_LATER = SQL_NAMES.replace("FROM texts WHERE len(w)", f"FROM texts WHERE NOT ({LEFT.format('doc_id')}) AND len(w)").replace(
+    f"array_to_string(w[1:{NAME_WORDS}], ' ') AS raw", f"array_to_string(w[1:{NAME_WORDS}], ' ') || CASE WHEN {ALTERED.format('doc_id')} THEN ' revised' ELSE '' END AS raw")
+
+
+@query("rescreen_delta", f"WITH {SQL_LATER}, {SQL_SIMILAR}, {SQL_UNITED}")
+def rescreen_delta(spark, d):
+    """Best lists of an earlier watchlist, renewed by what changed alone: those of a whole screening of the later one."""
+    names = written(watch_names(spark, d), "names")
+    is_ = lambda rule: F.expr(rule.format("entity_id"))
+    spelled = names.where(~is_(LEFT)).select("name_id", "entity_id", "is_active", F.when(is_(ALTERED), F.concat("raw", F.lit(" revised"))).otherwise(F.col("raw")).alias("raw"))
+    before, after = names.where(~is_(CAME)), written(text.with_name(spelled, F.col("raw")).where("normalized <> ''"), "later-names")
+    changed = names.where(is_(LEFT) | is_(ALTERED) | is_(CAME)).select("name_id")
+    asked, stats = asked_names(after), written(S.token_stats(after), "later-stats")
+    state = written(R.best_lists(asked, before, stats, ("token", "trigram")), "lists")
+    lists, _ = R.renewed(state, asked, after, changed, stats, ("token", "trigram"))
+    return R.candidates(lists).select("query_id", "name_id", F.array_join("methods", ",").alias("methods"))
+
+
 def name_pairs(spark, d):
     """Pairs of an asked name and a name that trigrams bring together, with both spellings."""
     names = written(watch_names(spark, d), "names")
