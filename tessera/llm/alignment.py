@@ -36,6 +36,8 @@ WIDTH = 256
 IDS = 1 << 20
 #: Bytes of the texts of a block, and how many pairs of ids may be sent to each executor at once; more are shuffled.
 BLOCK_BYTES, SENT_PAIRS = 1 << 22, 500_000
+#: A worker's table of segments, with both sides' tokens, starts anew beyond so many characters.
+TABLE_CHARS = 3 << 23
 
 def public_vocabularies() -> tuple[str, str]:
     import public_tokenizers
@@ -132,7 +134,7 @@ class Encoder:
         one_thread()
         self.sides = Side(ByteLevel(path_a)), Side(Pieces(path_b))
         self.clear()
-        self.table = Table(self.learn, self.clear)
+        self.table = Table(self.learn, self.clear, TABLE_CHARS)
 
     def clear(self) -> None:
         self.whole = np.zeros(0, bool)
