@@ -311,7 +311,9 @@ def bound(x, f):
 
 
 def ids_between(tokens_: str, before, last):
-    return F.array_join(F.transform(F.slice(tokens_, before + 2, last - before), lambda t: id_of(t).cast("string")), ",")
+    """Decimal ids of the tokens after one place up to another; most groups have one token, which needs no list."""
+    several = F.array_join(F.transform(F.slice(tokens_, before + 2, last - before), lambda t: id_of(t).cast("string")), ",")
+    return F.when(last - before == 1, id_of(F.get(tokens_, last)).cast("string")).otherwise(several)
 
 
 def group_texts():
