@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -100,6 +100,30 @@ def paged(df: DataFrame, filters: Sequence[Column | None], order: Sequence[Colum
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def seek(df: DataFrame, order: Sequence[tuple[str, bool]], last: Mapping[str, object] | None, limit: int) -> DataFrame:
+    """The page of a queue after the row `last` (none: the first page); order has (column, descending), the last of which makes it unique.
+
+    A range on the first column reaches the scan, so that a later page reads less, not more, and rows that came meanwhile
+    shift nothing. Nulls stand last in either direction.
+    """
+    column = lambda c, down: (F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_last())
+    if last is not None:
+        further, same = F.lit(False), F.lit(True)
+        for c, down in order:
+            v = last[c]
+            if v is not None:  # after a null in this column comes nothing but another null
+                beyond = (F.col(c) < F.lit(v)) if down else (F.col(c) > F.lit(v))
+                further = further | (same & (beyond | F.col(c).isNull()))
+            same = same & F.col(c).eqNullSafe(F.lit(v))
+        first, down = order[0]
+        if last[first] is None:
+            df = df.where(F.col(first).isNull())
+        else:
+            df = df.where((F.col(first) <= F.lit(last[first]) if down else F.col(first) >= F.lit(last[first])) | F.col(first).isNull())
+        df = df.where(further)
+    return df.orderBy(*[column(*o) for o in order]).limit(limit)
+
+
 def least_loaded(people: DataFrame, load: DataFrame, key: str, group: str) -> DataFrame:
     """Of each group the person with the fewest open cases, the smallest key among equals."""
     n = load.groupBy(key).agg(F.count(F.lit(1)).alias("open_cases"))

@@ -86,6 +86,17 @@ def case_queue_page(spark, d):
     return page.select("o_orderkey", "o_custkey", "o_totalprice")
 
 
+@query("case_queue_seek", """
+SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' ORDER BY o_totalprice DESC, o_orderkey OFFSET 100 LIMIT 50""")
+def case_queue_seek(spark, d):
+    """The third page of the queue, each page sought after the last row of the one before it; the limit is what a page is."""
+    queue, order = table(spark, d, "orders").where("o_orderstatus = 'O'").select("o_orderkey", "o_custkey", "o_totalprice"), [("o_totalprice", True), ("o_orderkey", False)]
+    last = None
+    for _ in range(2):
+        last = (A.seek(queue, order, last, 50).tail(1) or [last])[0]
+    return A.seek(queue, order, last.asDict() if last else None, 50)
+
+
 @query("latest_per_key", "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
 def latest_per_key(spark, d):
     e = table(spark, d, "events").select("user_id", "ts", "event_id", "event_type")
