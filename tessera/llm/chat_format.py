@@ -11,8 +11,10 @@ behind one, keeps its turn as place, a null level and the error "cycle".
 Defined cases: a null conversation, turn or role links with nothing; null text is null in the JSON; identifiers
 hold within their conversation; those that several calls claim are linked to each of them, have all their
 dependencies, and are marked "ambiguous"; results without a call and calls without a
-result are "unlinked"; arguments that are no JSON object are "malformed"; repeated rows are formatted each; an empty
-table gives an empty result; other columns are ignored.
+result are "unlinked"; arguments that are no JSON object, or repeat a key below their first level, are "malformed", those
+that repeat one on it a "repeated key", and either stay as text; words beside calls are the first call's content; blanks
+before a JSON message don't matter; repeated rows are formatted each; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +32,10 @@ KEPT_ROUNDS = 16
 #: Of each tool: its parameters as (name, JSON type, required).
 Schemas = dict[str, Sequence[tuple[str, str, bool]]]
 REPLY: Schemas = {"reply": (("n_chars", "BIGINT", True), ("text", "STRING", True))}
-CALLS = "struct<tool_calls: array<struct<id: string, name: string, arguments: string, depends_on: array<string>>>>"
+CALLS = "struct<content: string, tool_calls: array<struct<id: string, name: string, arguments: string, depends_on: array<string>>>>"
 RESULT = "struct<tool_call_id: string, content: string>"
+#: What a message that is a JSON object begins with; JSON's own blanks may stand before it.
+OBJECT = r"^[ \t\n\r]*\{"
 
 
 def canonical(**fields: Column) -> Column:
@@ -49,13 +53,15 @@ def with_raw(fields: dict[str, Column], raw: dict[str, Column]) -> Column:
 def messages(conversations: DataFrame) -> DataFrame:
     """One row per message and tool call: conv_id, turn, role, text, content, kind, id, name, arguments, depends_on."""
     text, whole = F.col("text"), F.col("conv_id").isNotNull() & F.col("turn").isNotNull() & F.col("role").isNotNull()
+    json = whole & text.rlike(OBJECT)
     base = conversations.select("conv_id", "turn", "role", "text").select(
         "*",
-        F.when(whole & (F.col("role") == "assistant") & text.startswith("{"), F.from_json(text, CALLS)["tool_calls"]).alias("calls"),
-        F.when(whole & F.col("role").isin("tool", "user") & text.startswith("{"), F.from_json(text, RESULT)).alias("answer"),
+        F.when(json & (F.col("role") == "assistant"), F.from_json(text, CALLS)).alias("said"),
+        F.when(json & F.col("role").isin("tool", "user"), F.from_json(text, RESULT)).alias("answer"),
     )
     turn_id = lambda t: F.concat_ws(":", F.col("conv_id").cast("string"), t.cast("string"))
     none = F.lit(None).cast("string")
+    calls = F.col("said")["tool_calls"]
     no_deps = F.array().cast("array<string>")
     implied = F.when(~whole, F.struct(F.lit("plain").alias("kind"), none.alias("id"), none.alias("name"), none.alias("arguments"), no_deps.alias("depends_on")))
     implied = implied.when(F.col("answer")["tool_call_id"].isNotNull(), F.struct(F.lit("result").alias("kind"), F.col("answer")["tool_call_id"].alias("id"), none.alias("name"), none.alias("arguments"), no_deps.alias("depends_on")))
@@ -63,19 +69,22 @@ def messages(conversations: DataFrame) -> DataFrame:
     implied = implied.when(F.col("role") == "user", F.struct(F.lit("call").alias("kind"), turn_id(F.col("turn")).alias("id"), F.lit("reply").alias("name"), arguments.alias("arguments"), no_deps.alias("depends_on")))
     implied = implied.when(F.col("role") == "assistant", F.struct(F.lit("result").alias("kind"), turn_id(F.col("turn") - 1).alias("id"), none.alias("name"), none.alias("arguments"), no_deps.alias("depends_on")))
     implied = implied.otherwise(F.struct(F.lit("plain").alias("kind"), none.alias("id"), none.alias("name"), none.alias("arguments"), no_deps.alias("depends_on")))
-    explicit = F.transform("calls", lambda c: F.struct(F.lit("call").alias("kind"), c["id"].alias("id"), c["name"].alias("name"), c["arguments"].alias("arguments"), F.coalesce(c["depends_on"], no_deps).alias("depends_on")))
-    many = F.size("calls") > 0
+    explicit = F.transform(calls, lambda c: F.struct(F.lit("call").alias("kind"), c["id"].alias("id"), c["name"].alias("name"), c["arguments"].alias("arguments"), F.coalesce(c["depends_on"], no_deps).alias("depends_on")))
+    many = F.size(calls) > 0
     each = F.when(many, explicit).otherwise(F.array(implied))
-    # what a message with calls says stands in their arguments, a result's in its content
-    content = F.when(many, none).otherwise(F.when(F.col("answer")["tool_call_id"].isNotNull(), F.col("answer")["content"]).otherwise(text))
-    return base.select("conv_id", "turn", "role", "text", content.alias("content"), F.explode(each).alias("m")).select("conv_id", "turn", "role", "text", "content", "m.*")
+    # what a message says beside its calls stands with the first of them, a result's words in its content
+    content = F.when(many, F.when(F.col("place") == 0, F.col("said")["content"])).otherwise(
+        F.when(F.col("answer")["tool_call_id"].isNotNull(), F.col("answer")["content"]).otherwise(text))
+    apart = base.select("conv_id", "turn", "role", "text", "said", "answer", F.posexplode(each).alias("place", "m"))
+    return apart.select("conv_id", "turn", "role", "text", content.alias("content"), "m.*")
 
 
 def argument_errors(name: Column, arguments: Column, schemas: Schemas) -> Column:
-    """Sorted errors of a call's arguments: malformed, unknown tool, and per parameter missing, unknown or wrong type."""
+    """Sorted errors of a call's arguments: malformed, repeated key, unknown tool, and per parameter missing, unknown or wrong type."""
     parsed = F.try_parse_json(arguments)
     keys = F.json_object_keys(arguments)
-    out = F.when(keys.isNull(), F.array(F.lit("malformed")))
+    repeated = F.size(F.array_distinct(keys)) < F.size(keys)
+    out = F.when(keys.isNull(), F.array(F.lit("malformed"))).when(repeated, F.array(F.lit("repeated key"))).when(parsed.isNull(), F.array(F.lit("malformed")))
     for tool, parameters in sorted(schemas.items()):
         checks = []
         for parameter, kind, required in parameters:
