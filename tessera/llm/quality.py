@@ -1,10 +1,12 @@
 """Quality classifier: random-indexing word vectors pooled per document, then a two-layer numpy network.
 
-Fit (one task, on at most `sample_rows` labelled rows, chosen by hash): every word gets a sparse ternary index
-vector from its hash; a word's vector is the sum of the index vectors of the words within two places of it, scaled
+Fit (one task, on at most `sample_rows` labelled rows, chosen by hash, from one row of each class on; the `vocabulary`
+most frequent of the words that the sample holds twice have vectors, the others their shapes): every word gets a sparse
+ternary index vector from its hash; a word's vector is the sum of the index vectors of the words within two places of it, scaled
 to unit length. Shapes of words (case, digits, trailing marks) are words of a second, fixed vocabulary. A document is
 the mean of its words' vectors, the mean of its shapes' vectors and a few counts. A tanh layer and a sigmoid output
-are trained by Adam; a temperature is then fitted on rows kept out of training, so that scores are calibrated.
+are trained by Adam; a temperature is then fitted on rows kept out of training, so that scores are calibrated. Where a
+sample is so small that either part would lack a class, all rows train and the temperature is one.
 
 Score (every row, whole text): words not seen in the fit are represented by their shape alone.
 
@@ -158,18 +160,22 @@ class Network:
                     v[i] = 0.999 * v[i] + 0.001 * g * g
                     self.p[i] = self.p[i] - lr * (m[i] / (1 - 0.9 ** step)) / (np.sqrt(v[i] / (1 - 0.999 ** step)) + 1e-8)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
-        """The temperature of least log loss on rows that training didn't see."""
-        z = self.logits(x)
-        loss = lambda t: np.mean(np.logaddexp(0, z / t) - y * z / t)
-        self.temperature = float(min(np.geomspace(0.5, 8, 61), key=loss))
+    def log_loss(self, x: np.ndarray, y: np.ndarray, temperature: float | None = None) -> float:
+        z = self.logits(x) / (temperature or self.temperature)
+        return float(np.mean(np.logaddexp(0, z) - y * z))
+
+    def calibrate(self, x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+        """Takes the temperature of least log loss on rows that training didn't see; returns that loss before and after."""
+        before = self.log_loss(x, y, 1.0)
+        self.temperature = float(min(np.geomspace(0.5, 8, 61), key=lambda t: self.log_loss(x, y, t)))
+        return before, self.log_loss(x, y)
 
 
 def fit_model(rows: list[tuple[int, str | None, int]], dim: int = DIM, vocabulary: int = VOCABULARY, hidden: int = HIDDEN) -> dict:
     """From (id, text, label) rows; their order plays no part."""
     rows = sorted(rows, key=lambda r: (r[0] is None, r[0], r[1] or ""))
     y = np.array([r[2] for r in rows], np.float64)
-    if len(set(y.tolist())) < 2 or len(rows) < 20:
+    if len(set(y.tolist())) < 2:
         return {"share": float(y.mean()) if len(y) else 0.5}
     counts: dict[str, int] = {}
     for _, text, _ in rows:
@@ -188,9 +194,11 @@ def fit_model(rows: list[tuple[int, str | None, int]], dim: int = DIM, vocabular
     x = features(codes, words, shapes).astype(np.float64)
     out = np.array([zlib.crc32(b"calibrate%d" % i) % 6 == 0 for i in range(len(rows))])
     net = Network(x.shape[1], hidden)
-    net.fit(x[~out], y[~out])
-    net.calibrate(x[out], y[out])
-    return {"words": often, "vectors": words.astype(np.float16), "shapes": shapes, "net": net}
+    parted = all(len(set(part.tolist())) == 2 for part in (y[out], y[~out]))
+    train = ~out if parted else np.ones(len(y), bool)
+    net.fit(x[train], y[train])
+    loss = net.calibrate(x[out], y[out]) if parted else None
+    return {"words": often, "vectors": words.astype(np.float16), "shapes": shapes, "net": net, "loss": loss}
 
 
 def opened(blob: bytes) -> tuple[dict, Coder]:
@@ -220,17 +228,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         .where(fold() != HELD_OUT).groupBy("doc_id").agg(F.max("y").alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     )
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    # of an id's rows one text stays before they meet, so that an id of many rows is one row of the task that fits
+    one = rows.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("y").alias("y"))
 
     def run(batches):
-        held = {}
-        for b in batches:
-            for d, t, y in zip(*(c.to_pylist() for c in b.columns)):
-                if d not in held or (t or "") > (held[d][0] or ""):
-                    held[d] = (t, y)
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit_model([(d, t, y) for d, (t, y) in held.items()]))], pa.binary())], ["model"])
-
-    found = rows.select("doc_id", "text", "y").repartition(1).mapInArrow(run, "model binary").first()
+        held = [row for b in batches for row in zip(*(c.to_pylist() for c in b.columns))]
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit_model(held))], pa.binary())], ["model"])
+
+    found = one.select("doc_id", "text", "y").repartition(1).mapInArrow(run, "model binary").first()
     return found[0] if found else pickle.dumps({"share": 0.5})
 
 
