@@ -35,7 +35,7 @@ BLOCK = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset(("script", "style"))
-SECTION = frozenset("head article main nav aside header footer form section dialog noscript button label select textarea iframe svg".split())
+SECTION = frozenset("head article main nav aside header footer form section dialog noscript template button label select textarea iframe svg".split())
 CLOSES_ITS_KIND = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 #: Whose content is text up to their own end tag.
 PLAIN = frozenset(("title", "textarea", "iframe", "xmp", "noembed", "noframes"))
@@ -46,38 +46,65 @@ TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|(?:=[^\s/>=]*+|[^\s/>=]
 NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORDS = re.compile("[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 CLOSE = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW | PLAIN}
-#: Pages share the places above this depth; it bounds what is kept between pages, not what is read.
-SHARED_DEPTH = 200
+#: Pages share the places above this depth, and no more places than this in all; both bound what is kept between pages,
+#: not what is read.
+SHARED_DEPTH, SHARED_PLACES = 200, 20_000
+
+
+class Shared:
+    """What all places of a tree know: which names weigh anything, how many places are kept, and the names in attributes."""
+
+    def __init__(self, known: frozenset[str] | None):
+        self.known, self.kept, self.names = known, 0, {}
+
+    def names_in(self, attributes: str) -> tuple[tuple[str, ...], bool]:
+        """The words of class, id and role that weigh anything, in order, and whether there are any words at all."""
+        found = self.names.get(attributes)
+        if found is None:
+            every = {w.lower() for m in NAMED.finditer(attributes) for w in WORDS.findall(m[2] or m[3] or m[4] or "")}
+            found = tuple(sorted(every if self.known is None else every & self.known)), bool(every)
+            if len(attributes) < 200:
+                if len(self.names) >= SHARED_PLACES:
+                    self.names.clear()
+                self.names[attributes] = found
+        return found
 
 
 class Place:
     """An element in the tree of paths that pages share: its tag, and the features of the path to it."""
 
-    __slots__ = ("tag", "parent", "below", "depth", "names", "added", "near", "outer", "named", "path", "features")
+    __slots__ = ("tag", "parent", "below", "depth", "names", "added", "near", "outer", "named", "path", "features", "shared")
 
-    def __init__(self, tag: str, names: tuple[str, ...], parent: Place | None, open_tags: Counter = Counter(), open_names: Counter = Counter()):
+    def __init__(self, tag: str, names: tuple[str, ...], parent: Place | None, open_tags: Counter = Counter(), open_names: Counter = Counter(),
+                 has_names: bool = False, known: frozenset[str] | None = None):
         self.tag, self.parent, self.below, self.names = tag, parent, {}, names
+        self.shared = parent.shared if parent else Shared(known)
         self.depth = parent.depth + 1 if parent else 0
         #: What the path has from this element on, and not above it.
         self.added = ([] if open_tags[tag] else [f"has={tag}"]) + [f"name={w}" for w in names if not open_names[w]]
         self.near = tag if tag in SECTION else parent.near if parent else "-"
         self.outer = (parent.near if parent else "-") if tag in SECTION else parent.outer if parent else "-"
-        self.named = names or (parent.named if parent else ())
+        self.named = names if names or has_names or not parent else parent.named
         self.path: np.ndarray | None = None
         self.features: np.ndarray | None = None
 
     def child(self, tag: str, attributes: str, open_tags: Counter, open_names: Counter) -> Place:
-        key = (tag, attributes)
+        names, has_names = self.shared.names_in(attributes) if attributes else ((), False)
+        key = (tag, names, has_names)
         found = self.below.get(key)
         if found is None:
-            if len(self.below) > 2000:
-                self.below.clear()
-            names = {w.lower() for m in NAMED.finditer(attributes) for w in WORDS.findall(m[2] or m[3] or m[4] or "")} if attributes else ()
-            found = Place(tag, tuple(sorted(names)), self, open_tags, open_names)
-            if self.depth < SHARED_DEPTH:
+            found = Place(tag, names, self, open_tags, open_names, has_names)
+            if self.depth < SHARED_DEPTH and self.shared.kept < SHARED_PLACES:
                 self.below[key] = found
+                self.shared.kept += 1
         return found
 
+    def next_page(self) -> None:
+        """To be called at the root between pages: a full tree is dropped."""
+        if self.shared.kept >= SHARED_PLACES:
+            self.below.clear()
+            self.shared.kept = 0
+
     def own(self) -> list[str]:
         """The features that are not the path's."""
         return [f"in={self.tag}", f"near={self.near}", f"near={self.near},in={self.tag}", f"near={self.near}<{self.outer}", f"near={self.near}<{self.outer},in={self.tag}", "bias"] + [f"near_name={w}" for w in self.named]
@@ -213,6 +240,10 @@ class Field:
     def ids(self, names: list[str]) -> np.ndarray:
         return np.array([i for i in map(self.known.get, names) if i is not None], np.int64)
 
+    def root(self) -> Place:
+        """The root of a tree of paths for this field: words without a weight are not told apart in it."""
+        return Place("-", (), None, known=frozenset(n.partition("=")[2] for n in self.known if n.startswith(("name=", "near_name="))))
+
     def weight(self, names: list[str]) -> np.ndarray:
         return self.w[self.ids(names)].sum(0)
 
@@ -463,6 +494,72 @@ def labelled_pages(n: int = 700, seed: int = 5) -> list[list[tuple[str, str, int
     return out
 
 
+# Names in small pages, stated as fixed values.
+TALK_NAMES = ("thread", "message", "message content", "message body", "post message", "topic", "question", "answer", "mail", "letter", "chat message")
+COLUMN_NAMES = ("", "grid", "row", "col", "column", "columns", "cell", "two columns")
+
+
+def small_pages(n: int = 160, seed: int = 6) -> list[list[tuple[str, str, int]]]:
+    """Pages of one or a few blocks, as labelled_pages() gives them: lone blocks, unknown names, threads that are the page
+    itself, headed sections, plain columns, and what is never shown."""
+    rng = np.random.default_rng(seed)
+    pick = lambda names: names[int(rng.integers(len(names)))]
+    sentence = lambda low, high: " ".join("w" * int(rng.integers(1, 11)) for _ in range(int(rng.integers(low, high)))) + pick((".", ".", "?", "!", ""))
+    few = lambda: " ".join("w" * int(rng.integers(3, 9)) for _ in range(int(rng.integers(1, 4))))
+
+    def element(tag: str, names) -> str:
+        name = pick(names)
+        return f"<{tag} {pick(('class', 'class', 'id'))}='{name.replace(' ', '-')}'>" if name else f"<{tag}>"
+
+    out = []
+    for k in range(n):
+        page, kind = [(pick(("", "", "<body>", "<html><body>")), "", 0)], k % 8
+        add = lambda before, text, y: page.append((before, text, y))
+        unknown = ("", "q", "zz", "k-w", "b9")
+        if rng.random() < 0.4:  # links on top, beside or above what follows
+            opened, closed = pick((("<div>", "</div>"), ("<p>", "</p>"), ("<table><tr><td>", "</td><td>"), ("<ul><li>", "</li></ul>")))
+            add(opened + "<a href='/x'>", "<br>".join(few() for _ in range(int(rng.integers(1, 4)))), 0)
+            add("</a>" + closed, "", 0)
+        if kind == 0:
+            add(element(pick(("div", "div", "p", "section", "pre", "blockquote")), unknown), sentence(3, 60), 1)
+        elif kind == 1:
+            add(element("div", unknown) * int(rng.integers(1, 4)), few(), 1)
+            for _ in range(int(rng.integers(1, 6))):
+                add(pick(("</div><div>", "<p>", element("div", unknown))), sentence(4, 50), 1)
+        elif kind == 2:
+            add(element("div", TALK_NAMES), sentence(4, 50), 1)
+            for _ in range(int(rng.integers(0, 5))):
+                add("</div>" + element("div", TALK_NAMES), sentence(4, 50), 1)
+        elif kind == 3:
+            add(element("div", TALK_NAMES) + element("div", TALK_NAMES) + element("div", TALK_NAMES), sentence(4, 50), 1)
+        elif kind == 4:
+            add(element("section", ("story", "", "article", "q", "content")) + f"<h{rng.integers(1, 4)}>", few(), 1)
+            for _ in range(int(rng.integers(1, 6))):
+                add("</h1><p>", sentence(6, 60), 1)
+        elif kind == 5:
+            add(element("div", COLUMN_NAMES) + element("div", COLUMN_NAMES) + "<h1>", few(), 1)
+            for _ in range(int(rng.integers(2, 6))):
+                add("</h1><p>", sentence(8, 60), 1)
+            add("</p></div>" + element("div", COLUMN_NAMES) + pick(("<h3>", "<h2>", "<div>")), few(), 0)
+            for i in range(int(rng.integers(2, 7))):
+                add("</h3></h2><ul><li><a href='/x'>" if i == 0 else "</a><li><a href='/x'>", few(), 0)
+        else:
+            add(pick(("<article>", "<main>", "<div>", "<body>")) + "<p>", sentence(6, 60), 1)
+            hidden = pick(("template", "noscript")) if kind == 6 else ""
+            add(f"<{hidden}>" + pick(("", "<p>", "<div>")) if hidden else f"</p><div role='contentinfo'{pick(('', ' id=q'))}>", sentence(1, 25), 0)
+            if hidden:
+                add(f"</{hidden}><p>", sentence(6, 60), 1)
+        # markup without a text of its own goes before the next text
+        joined, before = [], ""
+        for markup, text, y in page:
+            before += markup
+            if text:
+                joined.append((before, text, y))
+                before = ""
+        out.append(joined)
+    return out
+
+
 def read_labelled(page: list[tuple[str, str, int]], root: Place) -> tuple[list[list[str]], list[int]]:
     """The features of the page's blocks, and their labels; a block takes the label of the text it holds."""
     found = list(blocks("".join(b + t for b, t, _ in page), root))
@@ -475,13 +572,14 @@ def read_labelled(page: list[tuple[str, str, int]], root: Place) -> tuple[list[l
 @functools.lru_cache(maxsize=1)
 def trained(n: int = 900, seed: int = 5) -> Field:
     root = Place("-", (), None)
-    pages = [read_labelled(p, root) for p in labelled_pages(n, seed)]
+    pages = [read_labelled(p, root) for p in [*labelled_pages(n, seed), *small_pages()]]
     field = Field({name: i for i, name in enumerate(sorted({f for x, _ in pages for names in x for f in names}))})
     field.fit([([field.ids(names) for names in x], y) for x, y in pages])
     return field
 
 
 def main_text(page: str | None, field: Field, root: Place) -> str:
+    root.next_page()
     found = list(blocks(page or "", root))
     if not found:
         return ""
@@ -496,7 +594,7 @@ def extract(pages: DataFrame, field: Field | None = None, id_col: str = "page_id
     def run(batches):
         own = Field(weights[0])
         own.w, own.start, own.step = weights[1:]
-        root = Place("-", (), None)
+        root = own.root()
         for b in slices(batches):
             texts = [main_text(p.as_py(), own, root) for p in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])

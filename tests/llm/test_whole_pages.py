@@ -82,3 +82,37 @@ def test_viterbi_and_gradient():
             down = field.gradient(field.batch(pages))[0]
             param[at] += 1e-5
             assert abs((up - down) / 2e-5 - g[at]) < 1e-6
+
+
+S = "This is a sentence of some length about the topic, and another clause follows it."
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<div>{S}</div>", S), (f"<p>{S}", S), (f"<div class=qqq><div class=rrr>{S}</div><div class=zzz>{S}</div></div>", f"{S} {S}"),
+    (f"<div class=thread><div class=message><div class=message-content>{S}</div></div></div>", S),
+    (f"<section id=story><h2>Head line</h2><p>{S}</p><p>{S}</p></section>", f"Head line {S} {S}"),
+    (f"<body><section id=story><h2>Head line</h2><p>{S}</p><p>{S}</p></section><div role=contentinfo>Terms of use</div></body>", f"Head line {S} {S}"),
+    (f"<article><p>{S}</p><template><p>Not shown yet</p></template><noscript>Please enable JavaScript.</noscript><p>{S}</p></article>", f"{S} {S}"),
+    ("<nav><a href=/>Home</a></nav>", ""), ("<footer>Terms of use</footer>", ""),
+    (f"<article><p>{S}</p></article><div class=comments><div class=comment>{S}</div></div>", S),
+])
+def test_small_pages(page, text):
+    assert of(page) == text
+
+
+def test_own_names_keep_no_places(monkeypatch):
+    """Pages with names of their own share the places of pages without; where known names make too many, the tree starts anew."""
+    field = page_text.trained()
+    root, plain = field.root(), field.root()
+    for i in range(400):
+        page = "".join(f"<div id='e{chr(97 + i % 26)}q{chr(97 + j)}{chr(97 + i // 26)}z' class='k{i}-{j} v{i}'><p id=n{i * j}>{S}</p></div>" for j in range(20))
+        assert page_text.main_text(page, field, root) == page_text.main_text(f"<div class='qq'><p id=qq>{S}</p></div>" * 20, field, plain)
+    assert root.shared.kept <= 20 and len(root.shared.names) <= page_text.SHARED_PLACES
+    monkeypatch.setattr(page_text, "SHARED_PLACES", 30)
+    names = sorted(root.shared.known)
+    small, most = field.root(), 0
+    for i in range(100):
+        page = "".join(f"<div class='{names[(i + 7 * j) % len(names)]} {names[(i * j) % len(names)]}'><p>{S}</p></div>" for j in range(20))
+        assert page_text.main_text(page, field, small) == page_text.main_text(page, field, field.root())
+        most = max(most, small.shared.kept, len(small.shared.names))
+    assert most <= 30
