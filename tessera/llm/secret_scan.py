@@ -6,7 +6,8 @@ text can't contain; running lengths of the parts are the spans. The models are t
 log-likelihood ratio of the chains reaches `MARGIN` in all and `PER_PAIR` a pair. Where a run as a whole doesn't, each
 stretch of it that does is one, from `LEAST_STRETCH` characters on: the running sum of ratios starts anew where it
 comes to zero, and a stretch ends at its top once the sum has fallen by `MARGIN`. So ordinary words that are joined to
-a secret don't hide it. Runs under 16 characters are not scored.
+a secret don't hide it. Full stops inside a run belong to it. Runs under LEAST_STRETCH (12) characters are not scored, and runs of letters alone
+need PER_PAIR_OF_WORDS a pair below WORD_LENGTH (16).
 
 Defined cases: null text counts as empty and has no span; offsets count code points, end exclusive; equal starts are
 ordered by kind as listed in KINDS; repeated rows are scanned each; ids may be null; an empty table gives an empty
@@ -25,11 +26,14 @@ KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}"
-ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
+#: Runs of token characters; full stops stand inside them, not at an end.
+TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_.-]{12})[A-Za-z0-9+/_-]+(?:\.[A-Za-z0-9+/_-]+)*+"
+ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-."
 #: Parts of a text whose spans are put together at once; even, so that matches stay at odd places.
 CHUNK = 256
 LEAST_VALUE, MARGIN, PER_PAIR, PRIOR, LEAST_STRETCH = 6, 12.0, 0.45, 0.5, 12
+#: Below so many characters, runs of letters alone, which most ordinary words are, need this ratio a pair.
+WORD_LENGTH, PER_PAIR_OF_WORDS = 16, 1.6
 #: Words of the ordinary sample, joined by rule to identifiers: common ones of programs and of four languages, taken from no corpus.
 WORDS = (
     "user name account number order item price total value count index list first last next token key type state time date start end open close read write file path "
@@ -51,7 +55,8 @@ def labelled_samples(spark: SparkSession, n: int = 8000) -> DataFrame:
     b64 = F.translate(F.base64(F.unhex(digest)), "=", "")
     forms = [
         F.substring(digest, 1, 40), F.upper(F.substring(digest, 3, 40)), b64, F.upper(F.translate(b64, "+/", "XQ")), F.lower(F.translate(b64, "+/", "xq")),
-        F.concat(F.translate(b64, "+/", "-_"), F.substring(b64, 3, 20)),
+        F.concat(F.translate(b64, "+/", "-_"), F.substring(b64, 3, 20)), F.concat_ws(".", F.substring(b64, 1, 14), F.substring(b64, 15, 14)),
+        F.concat_ws(".", F.translate(F.substring(b64, 1, 18), "+/", "-_"), F.translate(F.substring(b64, 19, 18), "+/", "-_"), F.substring(digest, 1, 16)),
     ]
     random = F.element_at(F.array(*forms), (i % len(forms) + 1).cast("int"))
     words = F.array(*map(F.lit, WORDS))
@@ -67,6 +72,8 @@ def labelled_samples(spark: SparkSession, n: int = 8000) -> DataFrame:
         F.concat(digits(1, 9), digits(2, 9)), F.concat(day, F.lit("T"), digits(8, 2), F.lit("-"), digits(3, 2), F.lit("-"), digits(4, 2)), F.repeat(mark, (20 + i % 30).cast("int")),
         F.concat_ws("-", F.concat(word(1), digits(2, 2)), F.concat(F.lit("x"), digits(3, 2)), word(4), F.concat(word(5), digits(6, 4)), word(7)),
         F.concat_ws("/", F.lit(""), F.initcap(word(1)), F.concat(F.lit("_"), word(2)), F.concat(word(3), digits(4, 2)), word(5)), F.repeat(F.substring(word(1), 1, 1), (20 + i % 30).cast("int")),
+        F.concat_ws(".", word(1), word(2), F.concat(word(3), F.initcap(word(4)))), F.concat_ws(".", F.concat_ws("_", word(1), word(2)), word(3)),
+        F.concat_ws(".", digits(1, 2), digits(2, 1), digits(3, 4)), F.concat(word(1), F.lit("."), F.initcap(word(2)), F.lit("-"), digits(4, 1), F.lit("."), digits(5, 2)),
     ]
     ordinary = F.element_at(F.array(*plain), (i % len(plain) + 1).cast("int"))
     base = spark.range(n, numPartitions=1)
@@ -100,7 +107,8 @@ def secret_stretches(text: Column, model: list[float], margin: float, per_pair:
     """array<struct<from, to>> of a run: the whole run, if it is a secret, else its stretches that are."""
     k = len(ALPHABET) + 1
     table = F.array(*map(F.lit, model))
-    passes = lambda r, pairs: (r >= margin) & (r >= per_pair * pairs)
+    word = (F.length(text) < WORD_LENGTH) & ~text.rlike("[^A-Za-z]")
+    passes = lambda r, pairs: (r >= margin) & (r >= per_pair * pairs) & ((r >= PER_PAIR_OF_WORDS * pairs) | ~word)
 
     def closed(a: Column) -> Column:
         good = passes(a["top"], a["end"] - a["start"]) & (a["end"] - a["start"] + 1 >= LEAST_STRETCH)

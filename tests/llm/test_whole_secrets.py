@@ -50,3 +50,21 @@ def test_many_matches_in_one_text(spark):
     spans = [(m.start(), m.end()) for m in re.finditer(secret_scan.ASSIGN, text) if len(m[2]) >= 6]
     r = secret_scan.scan_with_own_model(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert r.n_assign == len(spans) and r.base_sha256 == hashlib.sha256(",".join(f"assign:{a}:{b}" for a, b in spans).encode()).hexdigest()
+
+
+def test_short_runs_and_full_stops(spark):
+    """Random strings of 12 to 15 characters, halves joined by a full stop, and ordinary words of the same forms; none is a sample."""
+    rng = random.Random(23)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    made = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    forms = {f"alone{n}": [made(n) for _ in range(100)] for n in (12, 13, 14, 15)} | {"halves": [f"{made(14)}.{made(14)}" for _ in range(100)]}
+    forms["thirds"] = [f"{made(20)}.{made(30)}.{made(24)}" for _ in range(100)]
+    ordinary = ("www.example.org", "index.html.gz", "sentence.Another", "org.acme.shop.OrderRepositoryImpl", "1.2.3-SNAPSHOT", "10.0.0.255:8080", "readme.final.v2.txt", "Straßenbahnen", "strengthening",
+                "Rhythmically", "psychophysics", "self-contained", "twenty-first", "and/or/neither", "knowledgeable", "Weltanschauung", "quelquefois.Puis", "1,000.000.000", "a.b.c.d.e.f.g", "............", "e.g.something")
+    rows = [(k, f"see {t}. Then") for k, ts in forms.items() for t in ts] + [("ordinary", f"see {t}. Then") for t in ordinary]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s.startswith("markov")] for r in secret_scan.scan_with_own_model(docs).collect()}
+    share = {k: sum(bool(got[i]) for i, (name, _) in enumerate(rows) if name == k) / len(ts) for k, ts in forms.items()}
+    assert all(v >= 0.9 for v in share.values()), share
+    assert not [t for i, (name, t) in enumerate(rows) if name == "ordinary" and got[i]]
+    assert all(s[1] <= len(t) - 6 for i, (_, t) in enumerate(rows) for s in got[i])  # the full stop that ends a sentence is outside
