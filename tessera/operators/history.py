@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tessera.storage import written
+
 # The application's states and where each may lead.
 EDGES = {
     "DRAFT": ("SUBMITTED",), "SUBMITTED": ("DOCS_PROCESSING", "RFI_REQUESTED"), "DOCS_PROCESSING": ("DOCS_VERIFIED", "DOCS_FAILED"), "DOCS_VERIFIED": ("SCREENING",),
@@ -28,12 +30,41 @@ def bad_transitions(events: DataFrame, key: str, order: list[str], state: str, e
     return steps.join(edges.select(F.col("before"), F.col("after").alias(state)), ["before", state], "left_anti")
 
 
-def chain_faults(log: DataFrame, tenant: str, order: str, payload: Column) -> DataFrame:
-    """Per tenant (a null tenant is its own) the first id whose prev_hash or hash doesn't hold."""
-    before = F.coalesce(F.lag("hash").over(W.partitionBy(tenant).orderBy(order)), F.lit(GENESIS))
-    broken = ~F.col("prev_hash").eqNullSafe(before) | ~F.col("hash").eqNullSafe(F.sha2(F.concat("prev_hash", payload), 256))
-    checked = log.select(tenant, order, broken.alias("broken"))
-    return checked.groupBy(tenant).agg(F.count(F.lit(1)).alias("rows"), F.min(F.when(F.col("broken"), F.col(order))).alias("first_broken"))
+def chain_links(log: DataFrame, tenant: str, order: str, payload: Column, ranges: int | None = None) -> DataFrame:
+    """Each row with its range of the log and whether its own hash holds: a large tenant's chain is many ranges, each a task's."""
+    own = F.col("hash").eqNullSafe(F.sha2(F.concat("prev_hash", payload), 256))
+    rows = log.select(tenant, order, "prev_hash", "hash", own.alias("own"))
+    by = [F.col(tenant), F.col(order)]
+    dealt = rows.repartitionByRange(*by) if ranges is None else rows.repartitionByRange(ranges, *by)
+    return written(dealt.withColumn("range", F.spark_partition_id()), "chain")  # written, so that a range is the same wherever it is read
+
+
+def chain_heads(log: DataFrame, tenant: str, order: str) -> DataFrame:
+    """The last place and hash of each tenant's chain, from which a later verification goes on."""
+    return log.groupBy(tenant).agg(F.max(order).alias("upto"), F.max_by("hash", order).alias("head"))
+
+
+def chain_faults(log: DataFrame, tenant: str, order: str, payload: Column, since: DataFrame | None = None, ranges: int | None = None) -> DataFrame:
+    """Per tenant (a null tenant is its own) the first id whose prev_hash or hash doesn't hold.
+
+    Ranges of the log are verified side by side; the last hash of each is handed to the tenant's next one. With since,
+    chain_heads() of what was verified before, only later rows are looked at, and counted.
+    """
+    if since is not None:
+        known = since.select(F.col(tenant).alias("__tenant"), "upto", "head")
+        log = log.join(known, F.col(tenant).eqNullSafe(F.col("__tenant")), "left").where(F.col("upto").isNull() | (F.col(order) > F.col("upto"))).drop("__tenant", "upto", "head")
+    links = chain_links(log, tenant, order, payload, ranges)
+    ends = links.groupBy(tenant, "range").agg(F.max_by("hash", order).alias("last"))
+    seams = ends.select(F.col(tenant).alias("__tenant"), F.col("range").alias("__range"), F.lag("last").over(W.partitionBy(tenant).orderBy("range")).alias("handed"))
+    begun = F.coalesce("handed", F.lit(GENESIS))
+    if since is not None:
+        seams = seams.join(known.withColumnRenamed("__tenant", "__known"), F.col("__tenant").eqNullSafe(F.col("__known")), "left")
+        begun = F.coalesce("handed", "head", F.lit(GENESIS))
+    seams = seams.select("__tenant", "__range", begun.alias("handed"))
+    before = F.lag("hash").over(W.partitionBy("range", tenant).orderBy(order))
+    met = links.withColumn("before", before).join(seams, (F.col("range") == F.col("__range")) & F.col(tenant).eqNullSafe(F.col("__tenant")))
+    broken = ~F.col("own") | ~F.col("prev_hash").eqNullSafe(F.coalesce("before", "handed"))
+    return met.groupBy(tenant).agg(F.count(F.lit(1)).alias("rows"), F.min(F.when(broken, F.col(order))).alias("first_broken"))
 
 
 def append_chained(spark: SparkSession, log: DataFrame, tenant: str, order: str, payload: str) -> DataFrame:
