@@ -38,6 +38,16 @@ def hmac_sha256(key: bytes, c: Column) -> Column:
     return F.sha2(F.concat(pad(0x5C), F.unhex(inner)), 256)
 
 
+def sql_functions() -> list[str]:
+    """hmac_sha256(key, value) for SQL; both are strings, the digest is lower-case hex."""
+    pad = lambda x: f"unhex(array_join(transform(sequence(1, 127, 2), i -> lpad(hex(CAST(conv(substr(k, i, 2), 16, 10) AS INT) ^ {x}), 2, '0')), ''))"
+    block = "rpad(hex(if(octet_length(key) > 64, unhex(sha2(encode(key, 'UTF-8'), 256)), encode(key, 'UTF-8'))), 128, '0')"
+    return [f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURNS STRING RETURN {body}" for head, body in (
+        ("tessera_hmac_of(k STRING, value STRING)", f"sha2(concat({pad(0x5C)}, unhex(sha2(concat({pad(0x36)}, encode(value, 'UTF-8')), 256))), 256)"),
+        ("hmac_sha256(key STRING, value STRING)", f"tessera_hmac_of({block}, value)"),
+    )]
+
+
 def casefolded(c: Column) -> Column:
     """Full case folding by the full mappings to upper and to lower case; dotless i, which has no folding, is kept aside."""
     raised = F.translate(F.upper(F.translate(c, "ıẞ", "\ue000ß")), "\ue001", "")  # stands between, or the optimizer drops upper

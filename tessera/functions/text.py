@@ -57,8 +57,32 @@ def by_names(low: int, high: int, script: str) -> dict[str, str]:
     return out
 
 
+# The parts of a Hangul syllable, first consonants, vowels and last consonants in Unicode's order; "-" stands for nothing.
+HANGUL_FIRST = "g kk n d tt r m b pp s ss - j jj ch k t p h".split()
+HANGUL_VOWEL = "a ae ya yae eo e yeo ye o wa wae oe yo u wo we wi yu eu ui i".split()
+HANGUL_LAST = "- g kk gs n nj nh d l lg lm lb ls lt lp lh m b bs s ss ng j ch k t p h".split()
+
+
+SYLLABLES = ("가", "힣")
+
+
+def hangul(ch: Column) -> Column:
+    """A Hangul syllable romanised, by the arithmetic of its code point."""
+    at, ends = F.ascii(ch) - ord(SYLLABLES[0]), len(HANGUL_LAST)
+    part = lambda side, place: F.element_at(F.array(*[F.lit("" if p == "-" else p) for p in side]), place.cast("int") + 1)
+    first, vowel = F.floor(at / (ends * len(HANGUL_VOWEL))), F.floor(at / ends) % len(HANGUL_VOWEL)
+    return F.concat(part(HANGUL_FIRST, first), part(HANGUL_VOWEL, vowel), part(HANGUL_LAST, at % ends))
+
+
+def hangul_sql(ch: str) -> str:
+    """A Hangul syllable romanised, by the arithmetic of its code point."""
+    places = (f"div {28 * len(HANGUL_VOWEL)}", f"% {28 * len(HANGUL_VOWEL)} div 28", "% 28")
+    part = lambda side, place: f"element_at(array({', '.join(quoted('' if p == '-' else p) for p in side)}), CAST((ascii({ch}) - {0xAC00}) {place} AS INT) + 1)"
+    return f"concat({', '.join(map(part, (HANGUL_FIRST, HANGUL_VOWEL, HANGUL_LAST), places))})"
+
+
 def letter_table() -> dict[str, str]:
-    """Every letter that is romanised on its own; Hangul and Han have no letters and stay as they are."""
+    """Every letter that is romanised on its own; Han characters stay as they are, Hangul syllables need no table."""
     out = {**ARABIC, **HEBREW, **GEORGIAN}
     for upper in (GREEK, CYRILLIC, {k.upper(): v.capitalize() for k, v in ARMENIAN.items()}):
         out |= upper | {k.lower(): v.lower() for k, v in upper.items()}
@@ -97,7 +121,7 @@ def to_ascii(c: Column) -> Column:
     beyond = "[^\\x00-\\x7f]"
     latin = strip_accents(c)
     table = F.from_json(F.lit(json.dumps(letter_table())), "map<string,string>")  # one constant, not two thousand
-    letters = F.array_join(F.transform(F.split(latin, ""), lambda ch: F.when(ch.rlike(beyond), F.coalesce(F.try_element_at(table, ch), ch)).otherwise(ch)), "")
+    letters = F.array_join(F.transform(F.split(latin, ""), lambda ch: F.when(ch.rlike(beyond), F.when(ch.between(*SYLLABLES), hangul(ch)).otherwise(F.coalesce(F.try_element_at(table, ch), ch))).otherwise(ch)), "")
     # a sign that replaces the A before it
     joined = F.regexp_replace(letters, "a?\b", "")
     rest = F.regexp_replace(joined, "[^\\x00-\\x7f\\p{L}\\p{N}]", "")
@@ -145,6 +169,39 @@ def trigram_similarity(a: Column, b: Column) -> Column:
     return F.when(every > 0, both / every).otherwise(0.0)
 
 
+def quoted(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_functions() -> list[str]:
+    """normalized() and trigram_similarity() as SQL functions, from the same tables; each is inlined, so it stays in the JVM."""
+    source, target = latin_table()
+    latin = f"regexp_replace(translate(name, {quoted(source)}, {quoted(target)}), '[\\\\u0300-\\\\u036f]', '')"
+    for letter, pair in DIGRAPHS.items():
+        latin = f"replace({latin}, {quoted(letter)}, {quoted(pair)})"
+    table = lambda t: f"from_json({quoted(json.dumps(t))}, 'map<string,string>')"
+    forms = {**{f: LEGAL_TOKEN for f in LEGAL_FORMS}, **SPELLINGS}
+    beyond = quoted("[^\\x00-\\x7f]")
+    letters = f"transform(split(name, ''), ch -> if(ch RLIKE {beyond}, if(ch BETWEEN '{SYLLABLES[0]}' AND '{SYLLABLES[1]}', {hangul_sql('ch')}, coalesce(try_element_at({table(letter_table())}, ch), ch)), ch))"
+    joined = f"regexp_replace(array_join({letters}, ''), {quoted('a?' + chr(8))}, '')"
+    upper = "replace(upper(lower(coalesce(name, ''))), '.', '')"
+    plain = f"trim(regexp_replace(regexp_replace({upper}, {quoted('[^\\w\\s\\p{L}\\p{N}]')}, ' '), {quoted('\\s+')}, ' '))"
+    honorifics = ", ".join(map(quoted, HONORIFICS))
+    words = f"filter(split(lower(coalesce(name, '')), '[^a-z0-9]+'), w -> w <> '')"
+    grams = f"array_distinct(flatten(transform(transform({words}, w -> concat('  ', w, ' ')), p -> transform(sequence(1, length(p) - 2), i -> substr(p, i, 3)))))"
+    return [f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}" for head, body in (
+        ("tessera_latin(name STRING) RETURNS STRING", latin),
+        ("tessera_letters(name STRING) RETURNS STRING", f"if(name RLIKE {beyond}, regexp_replace({joined}, {quoted('[^\\x00-\\x7f\\p{L}\\p{N}]')}, ''), name)"),
+        ("tessera_cleaned(name STRING) RETURNS STRING", plain),
+        ("tessera_tokens(name STRING) RETURNS ARRAY<STRING>", f"transform(filter(split(name, ' '), t -> t <> '' AND t NOT IN ({honorifics})), t -> coalesce(try_element_at({table(forms)}, t), t))"),
+        ("normalize_name(name STRING) RETURNS STRING", "array_join(tessera_tokens(tessera_cleaned(tessera_letters(tessera_latin(name)))), ' ')"),
+        ("tessera_trigrams(name STRING) RETURNS ARRAY<STRING>", grams),
+        ("tessera_overlap(both INT, a INT, b INT) RETURNS DOUBLE", "if(a + b > both, both / (a + b - both), 0D)"),
+        ("trigram_similarity(a STRING, b STRING) RETURNS DOUBLE",
+         "tessera_overlap(size(array_intersect(tessera_trigrams(a), tessera_trigrams(b))), size(tessera_trigrams(a)), size(tessera_trigrams(b)))"),
+    )]
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
