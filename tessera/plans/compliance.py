@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions import papers, secrecy, text
+from tessera.functions import fuzzy, papers, secrecy, text
+from tessera.operators import analytics as A
 from tessera.operators import cases, tenancy
 from tessera.operators import changes as C
 from tessera.operators import decisions as D
@@ -13,6 +14,7 @@ from tessera.session import table
 from .registry import query
 
 KEY = b"index-key"
+DAY_TEXT = "yyyy-MM-dd"
 
 
 def countries(spark):
@@ -177,12 +179,55 @@ def mask_fields(spark, d):
     return secrecy.masked(table(spark, d, "customer").select("c_custkey", F.col("c_name").alias("full_name"), F.col("c_nationkey").alias("phone"), "c_mktsegment"))
 
 
-@query("blind_index")
+SQL_PADS = [bytes(b ^ x for b in KEY.ljust(64, b"\0")).hex() for x in (0x5C, 0x36)]
+SQL_MAC = f"sha256(from_hex('{SQL_PADS[0]}') || from_hex(sha256(from_hex('{SQL_PADS[1]}') || encode({{}}))))"
+
+
+@query("blind_index", f"SELECT c_custkey, {SQL_MAC.format('lower(trim(c_name))')} AS blind FROM customer")
 def blind_index(spark, d):
-    """HMAC has no twin in SQL; it is tested against the standard library."""
     return table(spark, d, "customer").select("c_custkey", secrecy.blind_index(KEY, F.col("c_name")).alias("blind"))
 
 
+SQL_GRAMS = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, len(w) + 2), lambda i: substr('  ' || w || ' ', CAST(i AS INTEGER), 3)))))"
+# codes of the market segments, which are all the words that the phonetic functions meet here
+SEGMENT_CODES = {"AUTOMOBILE": ("ATANABAL", "ATMBL"), "BUILDING": ("BALDANG", "BLTNK"), "FURNITURE": ("FARNATAR", "FRNTR"), "HOUSEHOLD": ("HASAHALD", "HSHLT"), "MACHINERY": ("MCANARY", "MXNR")}
+SQL_CODE = lambda i: "CASE c_mktsegment " + " ".join(f"WHEN '{w}' THEN '{c[i]}'" for w, c in SEGMENT_CODES.items()) + " END"
+
+
+@query("sql_functions", f"""
+WITH c AS (SELECT *, 'Customer ' || c_custkey AS other FROM customer), g AS (SELECT *, {SQL_GRAMS.format('c_name')} AS x, {SQL_GRAMS.format('other')} AS y FROM c)
+SELECT c_custkey, replace(upper(c_name), '#', ' ') AS normalized, {SQL_CODE(0)} AS nysiis_code, {SQL_CODE(1)} AS metaphone_code, round(200.0 * length(c_name) / (2 * length(c_name) + 1), 6) AS indel,
+  100.0 AS sorted_words, 100.0 AS word_sets, round(100 * jaro_winkler_similarity(c_name, c_name || 'x'), 6) AS winkler, round(len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))), 6) AS grams,
+  '{{"a":"' || c_name || '","b":' || c_nationkey || '}}' AS canonical, {SQL_MAC.format('c_name')} AS mac FROM g""")
+def sql_functions(spark, d):
+    """The library's ten functions called by name from SQL."""
+    fuzzy.register(spark)
+    rows = table(spark, d, "customer").selectExpr("*", "concat('Customer ', c_custkey) AS other")
+    return rows.selectExpr(
+        "c_custkey", "normalize_name(c_name) AS normalized", "nysiis(c_mktsegment) AS nysiis_code", "metaphone(c_mktsegment) AS metaphone_code", "round(indel_ratio(c_name, concat(c_name, 'x')), 6) AS indel",
+        "token_sort_ratio(concat(c_name, ' ', c_mktsegment), concat(c_mktsegment, ' ', c_name)) AS sorted_words", "token_set_ratio(c_name, concat(c_name, ' ', c_mktsegment)) AS word_sets",
+        "round(jaro_winkler(c_name, concat(c_name, 'x')), 6) AS winkler", "round(trigram_similarity(c_name, other), 6) AS grams",
+        "canonical_json(to_json(named_struct('b', c_nationkey, 'a', c_name))) AS canonical", f"hmac_sha256('{KEY.decode()}', c_name) AS mac")
+
+
+@query("minimal_payloads", """
+WITH h AS (SELECT o_custkey, o_orderkey, o_orderpriority AS name, floor(o_totalprice) / 8 AS score, row_number() OVER (PARTITION BY o_custkey ORDER BY floor(o_totalprice) DESC, o_orderkey) AS place FROM orders),
+t AS (SELECT o_custkey, string_agg(name || ' ' || printf('%.1f', round(score, 1)), ';' ORDER BY place) AS hits, min(o_orderkey) FILTER (place = 1) AS best FROM h WHERE place <= 3 GROUP BY 1)
+SELECT c_custkey, 'C' || c_custkey AS alias, c_mktsegment AS tier, CASE WHEN c_custkey % 3 <> 0 THEN CAST(strftime(o_orderdate, '%Y') AS INTEGER) END AS birth_year, substr(text, 1, 160) AS remarks, coalesce(hits, '') AS hits
+FROM customer LEFT JOIN t ON o_custkey = c_custkey LEFT JOIN orders o ON o.o_orderkey = best LEFT JOIN documents ON doc_id = best""")
+def minimal_payloads(spark, d):
+    """What may leave for an outside model: the three best hits of each customer, the remarks that the best one has, a year for a birth date."""
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.col("o_orderpriority").alias("name"), F.floor("o_totalprice").alias("total"), F.date_format("o_orderdate", DAY_TEXT).alias("day"))
+    best = A.top_per_group(o, ["o_custkey"], [F.desc("total"), F.asc("o_orderkey")], 3)
+    hit = F.struct("rank", "name", (F.col("total") / 8).alias("score"), "o_orderkey", "day")
+    hits = best.groupBy("o_custkey").agg(F.array_sort(F.collect_list(hit)).alias("hits")).withColumn("best", F.col("hits")[0]["o_orderkey"])
+    remarks = table(spark, d, "documents").select(F.col("doc_id").alias("best"), F.col("text").alias("remarks"))
+    rows = table(spark, d, "customer").join(hits, F.col("c_custkey") == F.col("o_custkey"), "left").join(remarks, "best", "left")
+    birth = F.when(F.col("c_custkey") % 3 != 0, F.col("hits")[0]["day"]).otherwise("not a date")
+    sent = rows.select("c_custkey", secrecy.minimal_payload(F.col("hits"), F.concat(F.lit("C"), "c_custkey"), F.col("c_mktsegment"), birth, F.col("remarks")).alias("p")).select("c_custkey", "p.*")
+    return sent.withColumn("hits", F.coalesce(F.array_join(F.transform("hits", lambda h: F.concat(h["name"], F.lit(" "), F.format_string("%.1f", h["score"]))), ";"), F.lit("")))
+
+
 @query("template_summaries", "SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN 'Case ' || c_custkey || ', tier review. Top match: ' || c_name || ' (score ' || CAST(c_nationkey AS VARCHAR) || ').' ELSE 'Case ' || c_custkey || ', tier review. No screening hits recorded.' END AS summary FROM customer")
 def template_summaries(spark, d):
     has = F.col("c_acctbal") >= 0
