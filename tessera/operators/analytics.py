@@ -89,8 +89,9 @@ def interpolated_quantile(buckets: DataFrame, q: float) -> DataFrame:
 
 
 def freshness(df: DataFrame, ts: str, as_of: Column) -> DataFrame:
-    """Seconds from the last row to as_of."""
-    return df.agg((F.unix_timestamp(as_of) - F.unix_timestamp(F.max(ts))).alias("seconds"))
+    """Seconds from the last row to as_of, to the nearest."""
+    epoch = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6
+    return df.agg(F.rint(epoch(as_of) - epoch(F.max(ts))).cast("long").alias("seconds"))
 
 
 def paged(df: DataFrame, filters: Sequence[Column | None], order: Sequence[Column], offset: int, limit: int) -> DataFrame:
