@@ -109,7 +109,7 @@ def bucketed_usage(calls: DataFrame, provider: str, ts: str, tokens: Column, eve
 
 
 def breaker_openings(calls: DataFrame, provider: str, order: list[str], ts: str, failed: Column) -> DataFrame:
-    """Runs of failures that no success and no gap of over a minute parts; a run of five opens the breaker.
+    """Runs of failures that no success and no gap of over a minute parts, in seconds to the nearest; a run of five opens the breaker.
 
     Batch form over history; the streaming form keeps the counter as state.
     """
@@ -117,7 +117,8 @@ def breaker_openings(calls: DataFrame, provider: str, order: list[str], ts: str,
     success_runs = F.sum((~F.col("__f")).cast("int")).over(w)
     failures = calls.withColumn("__f", failed).withColumn("__s", success_runs).where("__f")
     by_run = W.partitionBy(provider, "__s").orderBy(*order)
-    gap = F.unix_timestamp(ts) - F.unix_timestamp(F.lag(ts).over(by_run))
+    second = lambda c: F.rint(F.unix_micros(c.cast("timestamp")) / 1e6)
+    gap = second(F.col(ts)) - second(F.lag(ts).over(by_run))
     new = failures.withColumn("__new", F.coalesce((gap > BREAK_SECONDS).cast("int"), F.lit(1))).withColumn("__g", F.sum("__new").over(by_run))
     return new.groupBy(provider, "__s", "__g").agg(F.count(F.lit(1)).alias("failures"), F.min(ts).alias("since")).drop("__s", "__g").withColumn("opened", F.col("failures") >= BREAK_AFTER)
 

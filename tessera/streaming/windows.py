@@ -40,7 +40,7 @@ def breaker(stream: DataFrame, key: str, ts: str, ok: str) -> DataFrame:
         for pdf in frames:
             rows = []
             for at, fine in sorted(zip(pdf[ts], pdf[ok]), key=lambda r: r[0]):
-                now = at.timestamp()
+                now = round(at.timestamp())
                 count = 0 if now - last > BREAK_SECONDS else count
                 count, last = (0, now) if fine else (count + 1, now)
                 rows.append((k[0], at, count, count >= BREAK_AFTER))
