@@ -200,9 +200,9 @@ SELECT c_custkey, replace(upper(c_name), '#', ' ') AS normalized, {SQL_CODE(0)}
   100.0 AS sorted_words, 100.0 AS word_sets, round(100 * jaro_winkler_similarity(c_name, c_name || 'x'), 6) AS winkler, round(len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))), 6) AS grams,
   '{{"a":"' || c_name || '","b":' || c_nationkey || '}}' AS canonical, {SQL_MAC.format('c_name')} AS mac FROM g""")
 def sql_functions(spark, d):
-    """The library's ten functions called by name from SQL."""
+    """The library's ten functions called by name from SQL; their work is far more than a row's bytes, so a file's rows are dealt to all cores."""
     fuzzy.register(spark)
-    rows = table(spark, d, "customer").selectExpr("*", "concat('Customer ', c_custkey) AS other")
+    rows = table(spark, d, "customer").repartition(2 * spark.sparkContext.defaultParallelism).selectExpr("*", "concat('Customer ', c_custkey) AS other")
     return rows.selectExpr(
         "c_custkey", "normalize_name(c_name) AS normalized", "nysiis(c_mktsegment) AS nysiis_code", "metaphone(c_mktsegment) AS metaphone_code", "round(indel_ratio(c_name, concat(c_name, 'x')), 6) AS indel",
         "token_sort_ratio(concat(c_name, ' ', c_mktsegment), concat(c_mktsegment, ' ', c_name)) AS sorted_words", "token_set_ratio(c_name, concat(c_name, ' ', c_mktsegment)) AS word_sets",

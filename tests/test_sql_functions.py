@@ -36,3 +36,10 @@ def test_hangul(spark):
     got = spark.createDataFrame([(k,) for k in want], "a string").select("a", text.normalized(F.col("a"))["normalized"].alias("n")).collect()
     assert {r.a: r.n for r in got} == want
     assert spark.createDataFrame([("김민수", "김민소")], "a string, b string").select(text.trigram_similarity(text.to_ascii(F.col("a")), text.to_ascii(F.col("b")))).first()[0] > 0.4
+
+
+def test_one_file_is_dealt_to_all_cores(spark, tiny):
+    """Before, the customers' one file was one task."""
+    from tessera.plans import catalog
+
+    assert catalog.queries()["sql_functions"](spark, tiny).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
