@@ -61,3 +61,34 @@ def test_nothing_to_find(spark, world):
     _, _, queries, corpus = world
     assert S.by_vectors(queries, corpus.limit(0)).count() == 0 and S.by_vectors(queries.limit(0), corpus).count() == 0
     assert S.by_vectors(queries, corpus.where("name_id = 90000")).count() == 0
+
+
+@pytest.mark.parametrize("limit, most", [(50, 0.35), (3, 3.0)])
+def test_blocks_find_the_nearest_of_all_pairs(world, limit, most, monkeypatch):
+    """Vectors without clusters meet in blocks; equal ones are told apart by id, where rounding by place did it before."""
+    from tessera.operators import blocks
+
+    asked, held, queries, corpus = world
+    for module, name, rows in ((blocks, "CORPUS_BLOCK", 2500), (blocks, "QUERY_BLOCK", 20), (neighbours, "TILE_ROWS", 700), (neighbours, "TILE_QUERIES", 6), (neighbours, "HELD_PAIRS", 300)):
+        monkeypatch.setattr(module, name, rows)
+    got = {}
+    for r in S.by_vectors(queries, corpus, limit, most, clustered=False).orderBy("query_id", "place").collect():
+        got.setdefault(r.query_id, []).append((r.distance, r.name_id))
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    d = 1 - unit(asked.astype(float)) @ unit(held.astype(float)).T
+    for i, ids in enumerate(plain(asked, held, limit, most)):
+        assert [j for _, j in got.get(i, [])] == ids
+        assert np.allclose([x for x, _ in got.get(i, [])], d[i, ids], rtol=0, atol=1e-12)
+    assert set(got) <= set(range(len(asked)))
+
+
+def test_blocks_with_nothing_to_find(world):
+    _, _, queries, corpus = world
+    assert S.by_vectors(queries, corpus.limit(0), clustered=False).count() == 0 and S.by_vectors(queries.limit(0), corpus, clustered=False).count() == 0
+
+
+def test_unclustered_names_are_not_dealt_into_cells(world, monkeypatch):
+    """Every query met nearly every cell: a row for each, from one task."""
+    _, _, queries, corpus = world
+    monkeypatch.setattr(neighbours, "Cells", None)
+    S.by_vectors(queries, corpus, clustered=False)
