@@ -68,10 +68,20 @@ def absent(new: DataFrame, old: DataFrame, keys: Sequence[str]) -> DataFrame:
     return new.join(old, list(keys), "left_anti")
 
 
+#: Child rows of a task, about.
+CHILD_ROWS = 1 << 20
+
+
 def reloaded_children(old: DataFrame, new: DataFrame, entries: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Child rows after a load: those of the keys in entries are replaced by new's, all others stay as they were."""
-    loaded = entries.select(*keys).distinct()
-    return old.join(loaded, list(keys), "left_anti").unionByName(new.join(loaded, list(keys), "left_semi"))
+    """Child rows after a load: those of the keys in entries are replaced by new's, all others stay as they were.
+
+    The keys grow with the table, so they are sent to no task whole: both sides are sorted, which spills, in tasks whose
+    number grows with the rows."""
+    keys = list(keys)
+    width = max(int(old.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), -(-old.count() // CHILD_ROWS))
+    every = old.withColumn("__new", F.lit(False)).unionByName(new.withColumn("__new", F.lit(True))).repartition(width, *keys)
+    loaded = entries.select(*keys).repartition(width, *keys).distinct().withColumn("__loaded", F.lit(True))
+    return every.join(loaded.hint("merge"), keys, "left").where(F.col("__new") == F.coalesce("__loaded", F.lit(False))).select(*old.columns)
 
 
 def not_appended(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
