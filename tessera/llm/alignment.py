@@ -2,11 +2,11 @@
 
 Texts are dealt over blocks of about BLOCK_BYTES, and a block's equal segments (segments.py), across which no token of
 either side reaches, are aligned once: a block's distinct segments on end are the text that is aligned. An Arrow function
-gives it as two lists of ids and byte lengths. What follows is Spark's, over a table bucketed by block, so that nothing of
-a block is shuffled: the lists are exploded by position, a window adds up lengths to ends, an equi-join on block and end
-gives the links, which are the cuts between groups, and their running counts number the groups of each segment. Each pair
-of ids is counted over the corpus and joined back. A document is its segments in order, which lie with it in its block's
-row. Nothing but blocks, of a bounded size, and counts of pairs of ids is ever gathered.
+gives it as two lists of tokens and of the bytes they end at. Spark explodes the ends over a table bucketed by block, so
+that nothing of a block is shuffled; an equi-join on block and end gives the links, which are the cuts between groups. A
+block's pairs of ids, each once with the number of its links, are counted over the corpus and joined back to it. A document
+is its segments in order, which lie with it in its block's row: an Arrow function adds up its segments' links and writes
+its groups, whole arrays at once. Nothing but blocks, of a bounded size, and counts of pairs of ids is ever gathered.
 
 Defined cases: null and empty texts, and texts whose tokens' bytes don't give the text again, have no tokens and give
 zeros; the strings of special tokens in a text are plain text; repeated rows are rows of their own; null ids are kept;
@@ -17,15 +17,16 @@ from __future__ import annotations
 
 import contextlib
 import functools
+import re
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .common import on_disk, shared_dir, shuffle_width, stored
 from .segments import BATCH_BYTES, Table, balanced, one_thread, segment_counts
@@ -35,9 +36,30 @@ WIDTH = 256
 #: A pair of ids is held as a's id * IDS + b's id.
 IDS = 1 << 20
 #: Bytes of the texts of a block, and how many pairs of ids may be sent to each executor at once; more are shuffled.
-BLOCK_BYTES, SENT_PAIRS = 1 << 22, 500_000
+BLOCK_BYTES, SENT_PAIRS = 5 << 19, 500_000
+#: Buckets for each of the session's shuffle partitions, so that a task holds few blocks; segments whose groups are written at once.
+SPREAD, SEGMENTS = 4, 1 << 16
 #: A worker's table of segments, with both sides' tokens, starts anew beyond so many characters.
 TABLE_CHARS = 3 << 23
+#: Such segments on end have a boundary between each two; so many are encoded as one text.
+INNER, TOGETHER = re.compile(r" [!-~À-ɏ](?:.*[!-~À-ɏ])?", re.DOTALL), 256
+
+
+def runs_of(segments: list[str]) -> Iterator[list[str]]:
+    """The segments in order, in lists that may be encoded as one text."""
+    run = []
+    for s in segments:
+        inner = INNER.fullmatch(s)
+        if run and (not inner or len(run) == TOGETHER):
+            yield run
+            run = []
+        if inner:
+            run.append(s)
+        else:
+            yield [s]
+    if run:
+        yield run
+
 
 def public_vocabularies() -> tuple[str, str]:
     import public_tokenizers
@@ -104,27 +126,46 @@ class Side:
         found = np.array(ids, np.int64)
         return (found * WIDTH + self.length[found]).astype(np.int32)
 
-    def learn(self, segments: list[str]) -> list[bool]:
+    def told(self, runs: list[list[str]]) -> Iterator[tuple[np.ndarray, list[int], bool]]:
+        """Tokens of some segments, how many each of them has, and whether the tokens' bytes give the segments again."""
+        texts = ["".join(run) for run in runs]
+        for ids, run, text in zip(self.tokenizer.encode(texts), runs, texts):
+            found, whole = self.packed(ids), self.joined(ids) == text.encode()
+            if len(run) == 1:
+                yield found, [len(ids)], whole
+                continue
+            ends, upto = np.cumsum(found & (WIDTH - 1)), np.cumsum([len(x.encode()) for x in run])
+            after = np.searchsorted(ends, upto) + 1
+            if whole and np.array_equal(ends[after - 1], upto):
+                yield found, np.diff(after, prepend=0).tolist(), True
+            else:
+                yield from self.told([[x] for x in run])
+
+    def learn(self, segments: list[str]) -> np.ndarray:
         """Takes the segments in; says which of them their tokens' bytes give again."""
-        every = self.tokenizer.encode(segments)
-        flat = self.packed([i for ids in every for i in ids])
+        every, count, whole = [np.zeros(0, np.int32)], [], []
+        for found, counts, same in self.told(list(runs_of(segments))):
+            every.append(found)
+            count += counts
+            whole += [same] * len(counts)
+        flat, count = np.concatenate(every), np.array(count, np.int64)
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while self.n + len(every) > len(self.count):
+        while self.n + len(count) > len(self.count):
             self.begin, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.count))
         self.flat[self.used:self.used + len(flat)] = flat
-        count = np.array([len(ids) for ids in every], np.int64)
-        self.count[self.n:self.n + len(every)] = count
-        self.begin[self.n:self.n + len(every)] = self.used + np.cumsum(count) - count
-        self.used, self.n = self.used + len(flat), self.n + len(every)
-        return [self.joined(ids) == s.encode() for ids, s in zip(every, segments)]
+        self.count[self.n:self.n + len(count)] = count
+        self.begin[self.n:self.n + len(count)] = self.used + np.cumsum(count) - count
+        self.used, self.n = self.used + len(flat), self.n + len(count)
+        return np.array(whole, bool)
 
     def joined(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokenizer.bytes.__getitem__, ids))
 
-    def lists(self, numbers: np.ndarray) -> list[np.ndarray]:
-        """The tokens of numbered segments."""
-        return [self.flat[at:at + n] for at, n in zip(self.begin[numbers].tolist(), self.count[numbers].tolist())]
+    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of numbered segments on end, and how many each has."""
+        n = self.count[numbers]
+        return self.flat[np.repeat(self.begin[numbers] - np.cumsum(n) + n, n) + np.arange(n.sum())], n
 
 
 class Encoder:
@@ -143,7 +184,7 @@ class Encoder:
 
     def learn(self, segments: list[str]) -> None:
         a, b = (side.learn(segments) for side in self.sides)
-        self.whole = np.concatenate([self.whole, np.array(a, bool) & np.array(b, bool)])
+        self.whole = np.concatenate([self.whole, a & b])
 
     def alone(self, text: str) -> list[np.ndarray] | None:
         """Both sides' tokens of a text of which some segment's bytes differ, or none if the whole text's bytes differ, too."""
@@ -159,7 +200,7 @@ def encoder_of(path_a: str, path_b: str) -> Encoder:
     return Encoder(path_a, path_b)
 
 
-BLOCK = "block long, docs array<struct<doc_id: bigint, n_a: bigint, n_b: bigint, codes: array<int>>>, times array<bigint>, a array<bigint>, b array<int>"
+BLOCK = "block long, docs array<struct<doc_id: bigint, n_a: bigint, n_b: bigint, codes: array<int>>>, times array<bigint>, a array<bigint>, b array<int>, a_ends array<bigint>, b_ends array<bigint>"
 
 
 def as_lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -188,28 +229,38 @@ class Block:
         document = np.repeat(np.arange(len(of_text)), of_text)
         odd = np.unique(document[~self.encoder.whole[numbers]])
         plain = ~np.isin(document, odd)
-        found, codes = np.unique(numbers[plain], return_inverse=True)
-        times = np.bincount(codes, minlength=len(found)).tolist()
+        times = np.bincount(numbers[plain], minlength=len(self.encoder.whole))
+        found = np.flatnonzero(times)
+        place = np.zeros(len(times), np.int32)
+        place[found] = np.arange(len(found))
+        times = times[found].tolist()
         of_text[odd] = 0
-        a, b = (side.lists(found) for side in self.encoder.sides)
-        lists = np.split(codes.astype(np.int32), np.cumsum(of_text)[:-1])
+        both = [side.of(found) for side in self.encoder.sides]
+        tokens, counts = [[t] for t, _ in both], [[n] for _, n in both]
+        lists = np.split(place[numbers[plain]], np.cumsum(of_text)[:-1])
+        del numbers, document, plain, place
         for d in odd.tolist():
-            both = self.encoder.alone(self.texts[d])
-            if both:
-                lists[d] = np.array([len(a)], np.int32)
-                a, b, times = [*a, both[0]], [*b, both[1]], [*times, 1]
-        sizes = [np.array([*map(len, x), 0], np.int64) for x in (a, b)]
+            alone = self.encoder.alone(self.texts[d])
+            if alone:
+                lists[d] = np.array([len(times)], np.int32)
+                times.append(1)
+                for k in (0, 1):
+                    tokens[k].append(alone[k])
+                    counts[k].append(np.array([len(alone[k])], np.int64))
+        flat, sizes = map(np.concatenate, tokens), [np.concatenate(n) for n in counts]
+        a, b = flat
         n_a, n_b = (pa.array([int(n[c].sum()) for c in lists], pa.int64()) for n in sizes)
         docs = pa.StructArray.from_arrays([pa.concat_arrays(self.ids), n_a, n_b, as_lists(lists)], ["doc_id", "n_a", "n_b", "codes"])
-        flat_a, flat_b = (np.concatenate([np.zeros(0, np.int32), *x]) for x in (a, b))
-        with_code = np.repeat(np.arange(len(a)), sizes[0][:-1]) << 32 | flat_a
+        with_code = np.repeat(np.arange(len(times)), sizes[0]) << 32 | a
         one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-        columns = [one(docs), one(pa.array(times, pa.int64())), one(pa.array(with_code)), one(pa.array(flat_b))]
-        return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), *columns], ["block", "docs", "times", "a", "b"])
+        ends = [pa.array(np.cumsum(x & (WIDTH - 1), dtype=np.int64)) for x in (a, b)]
+        columns = map(one, [docs, pa.array(times, pa.int64()), pa.array(with_code), pa.array(b), *ends])
+        return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), *columns], ["block", "docs", "times", "a", "b", "a_ends", "b_ends"])
 
 
 def blocks(docs: DataFrame, id_col: str, text_col: str, path_a: str, path_b: str, block_bytes: int) -> DataFrame:
-    """block, docs, times, a, b: a row for each block; a token of a begins with its segment's number, times has how often each segment stands there."""
+    """A row for each block: a token of a begins with its segment's number, times has how often each segment stands there, a_ends
+    and b_ends have the byte that each token ends at."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         encoder, name, block = encoder_of(path_a, path_b), TaskContext.get().partitionId() << 33, None
@@ -244,17 +295,15 @@ def bucketed(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     table = f"tessera_{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{table}"
-    df.write.bucketBy(shuffle_width(spark), "block").option("path", path).option("compression", "zstd").saveAsTable(table)
+    df.write.bucketBy(SPREAD * shuffle_width(spark), "block").option("path", path).option("compression", "zstd").saveAsTable(table)
     place, files = on_disk(spark, path)
     files.deleteOnExit(place)
     return spark.table(table)
 
 
 def tokens(found: DataFrame, side: str) -> DataFrame:
-    """block, end, place of every token: posexplode, and a window that adds up the lengths."""
-    each = found.select("block", F.posexplode(side).alias(f"{side}_place", "token"))
-    so_far = W.partitionBy("block").orderBy(f"{side}_place").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return each.select("block", F.sum(F.col("token").bitwiseAND(WIDTH - 1)).over(so_far).alias("end"), f"{side}_place")
+    """block, end, place of every token."""
+    return found.select("block", F.posexplode(f"{side}_ends").alias(f"{side}_place", "end"))
 
 
 def links(found: DataFrame) -> DataFrame:
@@ -271,59 +320,94 @@ def cuts(found: DataFrame) -> DataFrame:
     return links(found).groupBy("block").agg(F.sort_array(F.collect_list(both)).alias("cuts"))
 
 
-def a_place(cut):
-    return F.shiftright(cut, 32).cast("int")
+class Met:
+    """A block's tokens and its cuts, in order: segment, a's token and b's of each link."""
+
+    def __init__(self, row: pa.RecordBatch):
+        column = lambda name: row.column(name).flatten()  # noqa: E731  of one row; a missing list is an empty one
+        numbers = lambda name: column(name).to_numpy(zero_copy_only=False)
+        a, self.b, cut, self.times = (numbers(name) for name in ("a", "b", "cuts", "times"))
+        self.docs, self.a, self.b = column("docs"), a.astype(np.int32) >> 8, self.b >> 8
+        self.at_a, self.at_b = (cut >> 32).astype(np.int32), cut.astype(np.int32)
+        self.code = (a[self.at_a] >> 32).astype(np.int32)
+        self.pair = self.a[self.at_a] * np.int64(IDS) + self.b[self.at_b]
 
 
-def b_place(cut):
-    return cut.bitwiseAND(HALF).cast("int")
+def each_block(batches) -> Iterator[tuple[int, Met, pa.RecordBatch]]:
+    encoder_of.cache_clear()  # texts are read no more
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1)
+            yield row.column("block")[0].as_py(), Met(row), row
+        pa.default_memory_pool().release_unused()
 
 
-def id_of(token):
-    return F.shiftright(token.bitwiseAND(HALF), 8)
+def pairs_of_blocks(whole: DataFrame) -> DataFrame:
+    """block, pair, times: each pair of ids that a block links, and how often it does in all its texts."""
 
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for block, met, _ in each_block(batches):
+            pair, which = np.unique(met.pair, return_inverse=True)
+            times = np.zeros(len(pair), np.int64)
+            np.add.at(times, which, met.times[met.code])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pair), block, np.int64)), pa.array(pair), pa.array(times)], ["block", "pair", "times"])
 
-def pairs_of_links(whole: DataFrame) -> DataFrame:
-    """block, code, times, pair: a row for each link of each distinct segment."""
-    code = lambda c: F.shiftright(F.get("a", a_place(c)), 32).cast("int")
-    link = lambda c: F.struct(  # noqa: E731  all of a link's values here: beside an exploded one, whole arrays would be copied
-        code(c).alias("code"), (id_of(F.get("a", a_place(c))) * IDS + F.shiftright(F.get("b", b_place(c)), 8)).alias("pair"), F.get("times", code(c)).alias("times"))
-    return whole.select("block", F.explode(F.transform("cuts", link)).alias("l")).select("block", "l.code", "l.pair", "l.times")
+    return whole.mapInArrow(run, "block long, pair long, times long")
 
 
 def rated(spark: SparkSession, each: DataFrame) -> DataFrame:
-    """block, code, n_links, n_best, count_sum: each segment's links by the corpus-wide counts of their pairs."""
+    """block, rates: each block's pairs in order, with their corpus-wide counts and whether it is the highest of their b's."""
     pairs = each.groupBy("pair").agg(F.sum("times").alias("count"))
     b = F.col("pair") % IDS
     most = pairs.groupBy(b.alias("b")).agg(F.max("count").alias("most"))
-    known = stored(pairs.join(most, b == F.col("b")).select("pair", "count", (F.col("count") == F.col("most")).cast("long").alias("best")), "id-pairs")
-    if known.count() <= SENT_PAIRS:
-        met = each.join(F.broadcast(known), "pair")
-    else:  # a segment's equal pairs are added up before they move
-        met = each.groupBy("block", "code", "pair").agg(F.count(F.lit(1)).alias("n")).join(known, "pair")
-    n = F.col("n") if "n" in met.columns else F.lit(1)
-    return met.groupBy("block", "code").agg(F.sum(n).alias("n_links"), F.sum(n * F.col("best")).alias("n_best"), F.sum(n * F.col("count")).alias("count_sum"))
+    known = stored(pairs.join(most, b == F.col("b")).select("pair", "count", (F.col("count") == F.col("most")).alias("best")), "id-pairs")
+    sent = F.broadcast(known) if known.count() <= SENT_PAIRS else known
+    return each.join(sent, "pair").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("pair", "count", "best"))).alias("rates"))
+
 
+def sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Of runs of values, which end before these places."""
+    return np.diff(np.concatenate([np.zeros(1, np.int64), np.cumsum(values, dtype=np.int64)])[np.concatenate([[0], ends])])
 
-def bound(x, f):
-    """f(x) with x computed once, however often f's own lambdas use it."""
-    return F.transform(F.array(x), f)[0]
 
+def joined_texts(texts: pa.Array, ends: np.ndarray, by: str) -> pa.Array:
+    """Runs of texts, which end before these places, each as one."""
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int64()), texts), pa.scalar(by, pa.large_string()))
 
-def ids_between(tokens_: str, before, last):
-    """Decimal ids of the tokens after one place up to another; most groups have one token, which needs no list."""
-    several = F.array_join(F.transform(F.slice(tokens_, before + 2, last - before), lambda t: id_of(t).cast("string")), ",")
-    return F.when(last - before == 1, id_of(F.get(tokens_, last)).cast("string")).otherwise(several)
 
+def decimals(ids: np.ndarray) -> pa.Array:
+    return pc.cast(pa.array(ids), pa.large_string())
 
-def group_texts():
-    """Every group of a block as text: its tokens after the cut before it, up to its own."""
-    def text(cut, i):
-        earlier = F.when(i > 0, F.get("cuts", i - 1))
-        before = lambda place: F.coalesce(place(earlier), F.lit(-1))
-        return F.concat(ids_between("a", before(a_place), a_place(cut)), F.lit("|"), ids_between("b", before(b_place), b_place(cut)))
 
-    return F.transform("cuts", text)
+DOCUMENT = "doc_id long, n_a long, n_b long, n_links long, n_best long, count_sum long, groups string"
+
+
+def documents(whole: DataFrame) -> DataFrame:
+    """Each document's sums over its segments' links, and its groups as text."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for _, met, row in each_block(batches):
+            rates = row.column("rates").flatten()
+            pair, count, best = (pc.struct_field(rates, i).to_numpy(zero_copy_only=False) for i in range(3))
+            of_link = np.searchsorted(pair, met.pair)
+            last = np.searchsorted(met.code, np.arange(len(met.times), dtype=np.int32), side="right")  # a segment's links end before it
+            measured = [sums(x[of_link], last) for x in (np.ones(len(pair), np.int64), best, count)]
+            del of_link, met.pair, met.code
+            groups = pc.binary_join_element_wise(joined_texts(decimals(met.a), met.at_a + 1, ","), joined_texts(decimals(met.b), met.at_b + 1, ","), pa.scalar("|", pa.large_string()))
+            segments = joined_texts(groups, last, ";")
+            doc_id, n_a, n_b, codes = (pc.struct_field(met.docs, i) for i in range(4))
+            flat, upto = codes.flatten(), np.cumsum(pc.list_value_length(codes).to_numpy(zero_copy_only=False), dtype=np.int64)
+            at = 0
+            while at < len(upto):  # some documents at a time, since their texts repeat the segments'
+                first = upto[at - 1] if at else 0
+                end = max(at + 1, int(np.searchsorted(upto, first + SEGMENTS, side="right")))
+                some, ends = flat.slice(first, upto[end - 1] - first), upto[at:end] - first
+                of_doc = [pa.array(sums(x[some.to_numpy()], ends)) for x in measured]
+                texts = joined_texts(segments.take(some), ends, ";").cast(pa.string())
+                yield pa.RecordBatch.from_arrays([*(x.slice(at, end - at) for x in (doc_id, n_a, n_b)), *of_doc, texts], ["doc_id", "n_a", "n_b", "n_links", "n_best", "count_sum", "groups"])
+                at = end
+
+    return whole.mapInArrow(run, DOCUMENT)
 
 
 def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", paths: tuple[str, str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -333,19 +417,8 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", paths
     found = bucketed(blocks(docs, id_col, text_col, *(paths or public_vocabularies()), block_bytes), "blocks")
     with joined_in_place(spark):
         met = bucketed(cuts(found), "cuts")
-    whole = found.join(met, "block", "left")
-    segments = rated(spark, pairs_of_links(whole))
-    so_far = W.partitionBy("block").orderBy("code").rowsBetween(W.unboundedPreceding, W.currentRow)  # the running count of cuts
-    counted = segments.withColumn("first", F.sum("n_links").over(so_far) - F.col("n_links"))
-    in_order = F.array_sort(F.collect_list(F.struct("code", "first", "n_links", "n_best", "count_sum")))
-    measured = counted.groupBy("block").agg(in_order.alias("s"))
-    by_block = whole.join(measured, "block", "left")
-    of = lambda c, x: F.coalesce(F.get("s", c)[x], F.lit(0))
-    total = lambda d, x: F.aggregate(d["codes"], F.lit(0).cast("long"), lambda s, c: s + of(c, x))
-    segment_texts = lambda texts: F.transform("s", lambda s: F.array_join(F.slice(texts, (s["first"] + 1).cast("int"), s["n_links"].cast("int")), ";"))
-    rows = lambda groups: F.transform("docs", lambda d: F.struct(
-        d["doc_id"].alias("doc_id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), total(d, "n_links").alias("n_links"), total(d, "n_best").alias("n_best"),
-        total(d, "count_sum").alias("count_sum"), F.array_join(F.transform(d["codes"], lambda c: F.get(groups, c)), ";").alias("groups")))
-    out = by_block.select(F.explode(bound(bound(group_texts(), segment_texts), rows)).alias("r")).select("r.*")
+    whole = found.join(met, "block", "left").select("block", "docs", "times", "a", "b", "cuts")
+    each = bucketed(pairs_of_blocks(whole), "block_pairs")
+    out = documents(whole.join(rated(spark, each), "block", "left"))
     # a cut ends a group and is a link of the two tokens before it
     return out.select("doc_id", "n_a", "n_b", F.col("n_links").alias("n_groups"), "n_links", "n_best", "count_sum", "groups")

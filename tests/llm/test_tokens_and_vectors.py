@@ -150,6 +150,43 @@ def test_a_text_whose_segment_differs():
     assert sorted(row["times"]) == [1, 1, 2] and [x >> 32 for x in row["a"]] == [0, 1, 2, 2]
 
 
+def test_segments_are_encoded_many_at_once():
+    """Op13: one text for each segment took a third of the job's CPU; segments whose bytes differ are still told apart."""
+    words = [f" w{i}x{i % 7}." for i in range(600)]
+    some = ["first", *words[:300], " \n", " ﬁ x", " aﬁ", " éè", " é", *words[300:], " a", " b c", "  ", " <s>", " 日本"]
+    for tokenizer in loaded()[1:]:
+        given = []
+
+        class Counting:
+            bytes = tokenizer.bytes
+
+            def encode(self, texts):
+                given.extend(texts)
+                return tokenizer.encode(texts)
+
+        together, alone = alignment.Side(Counting()), alignment.Side(tokenizer)
+        known = [s for s in some if tokenizer.encode([s])[0] and alone.joined(tokenizer.encode([s])[0]) == s.encode()]
+        whole = together.learn(known)
+        assert whole.all() and len(known) > 600 and len(given) < 20
+        assert together.learn(some).tolist() == [s in known for s in some]
+        for numbers, of in ((range(len(known)), known), (range(len(known), together.n), some)):
+            tokens, counts = together.of(np.array(numbers))
+            want = [tokenizer.encode([s])[0] for s in of]
+            assert counts.tolist() == [len(x) for x in want] and (tokens >> 8).tolist() == [i for x in want for i in x]
+
+
+def test_a_block_gives_each_pair_once(spark):
+    """Op13: a row for each link of each segment went to the count of pairs, and back."""
+    docs = spark.createDataFrame([(i, "one two one. two one, " * 50 + str(i % 3)) for i in range(40)], "doc_id long, text string").coalesce(1)
+    found = alignment.bucketed(alignment.blocks(docs, "doc_id", "text", *alignment.public_vocabularies(), 10_000), "blocks")
+    with alignment.joined_in_place(spark):
+        whole = found.join(alignment.cuts(found), "block", "left")
+    rows = alignment.pairs_of_blocks(whole).collect()
+    assert len({r.block for r in rows}) > 1 and len({(r.block, r.pair) for r in rows}) == len(rows) < 100
+    assert sum(r.times for r in rows) == sum(r.n_links for r in alignment.align(docs).collect()) > 8000
+    assert "Window" not in alignment.cuts(found)._jdf.queryExecution().toString()
+
+
 # whitening
 
 
