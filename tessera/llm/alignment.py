@@ -16,6 +16,7 @@ an empty table gives an empty result; other columns are ignored. A text longer t
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import functools
 import re
 import uuid
@@ -37,8 +38,8 @@ WIDTH = 256
 IDS = 1 << 20
 #: Bytes of the texts of a block, and how many pairs of ids may be sent to each executor at once; more are shuffled.
 BLOCK_BYTES, SENT_PAIRS = 5 << 19, 500_000
-#: Buckets for each of the session's shuffle partitions, so that a task holds few blocks; segments whose groups are written at once.
-SPREAD, SEGMENTS = 4, 1 << 16
+#: Buckets for each of the session's shuffle partitions, so that a task holds few blocks; links, and segments of documents, that are written at once.
+SPREAD, SEGMENTS = 8, 1 << 16
 #: A worker's table of segments, with both sides' tokens, starts anew beyond so many characters.
 TABLE_CHARS = 3 << 23
 #: Such segments on end have a boundary between each two; so many are encoded as one text.
@@ -200,6 +201,13 @@ def encoder_of(path_a: str, path_b: str) -> Encoder:
     return Encoder(path_a, path_b)
 
 
+def give_back() -> None:
+    """A block's memory goes back to the machine; else a worker keeps what its largest block took, beside its executor's heap."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 BLOCK = "block long, docs array<struct<doc_id: bigint, n_a: bigint, n_b: bigint, codes: array<int>>>, times array<bigint>, a array<bigint>, b array<int>, a_ends array<bigint>, b_ends array<bigint>"
 
 
@@ -271,6 +279,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, path_a: str, path_b: str
                 if block.bytes >= block_bytes:
                     yield block.row(name)
                     name, block = name + 1, None
+                    give_back()
         if block:
             yield block.row(name)
 
@@ -339,7 +348,7 @@ def each_block(batches) -> Iterator[tuple[int, Met, pa.RecordBatch]]:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1)
             yield row.column("block")[0].as_py(), Met(row), row
-        pa.default_memory_pool().release_unused()
+            give_back()
 
 
 def pairs_of_blocks(whole: DataFrame) -> DataFrame:
@@ -379,6 +388,22 @@ def decimals(ids: np.ndarray) -> pa.Array:
     return pc.cast(pa.array(ids), pa.large_string())
 
 
+def segment_texts(met: Met, last: np.ndarray) -> Iterator[pa.Array]:
+    """The groups of every segment, some segments at a time: links end before `last`, and the tokens of a link are those after the one before it."""
+    def side(ids: np.ndarray, at: np.ndarray, first: int, end: int) -> pa.Array:
+        begin = at[first - 1] + 1 if first else 0
+        return joined_texts(decimals(ids[begin:at[end - 1] + 1]), at[first:end] + 1 - begin, ",")
+
+    done = 0
+    while done < len(last):
+        first = int(last[done - 1]) if done else 0
+        upto = max(done + 1, int(np.searchsorted(last, first + SEGMENTS, side="right")))
+        end = int(last[upto - 1])
+        groups = pc.binary_join_element_wise(side(met.a, met.at_a, first, end), side(met.b, met.at_b, first, end), pa.scalar("|", pa.large_string()))
+        yield joined_texts(groups, last[done:upto] - first, ";")
+        done = upto
+
+
 DOCUMENT = "doc_id long, n_a long, n_b long, n_links long, n_best long, count_sum long, groups string"
 
 
@@ -393,8 +418,7 @@ def documents(whole: DataFrame) -> DataFrame:
             last = np.searchsorted(met.code, np.arange(len(met.times), dtype=np.int32), side="right")  # a segment's links end before it
             measured = [sums(x[of_link], last) for x in (np.ones(len(pair), np.int64), best, count)]
             del of_link, met.pair, met.code
-            groups = pc.binary_join_element_wise(joined_texts(decimals(met.a), met.at_a + 1, ","), joined_texts(decimals(met.b), met.at_b + 1, ","), pa.scalar("|", pa.large_string()))
-            segments = joined_texts(groups, last, ";")
+            segments = pa.concat_arrays([pa.array([], pa.large_string()), *segment_texts(met, last)])
             doc_id, n_a, n_b, codes = (pc.struct_field(met.docs, i) for i in range(4))
             flat, upto = codes.flatten(), np.cumsum(pc.list_value_length(codes).to_numpy(zero_copy_only=False), dtype=np.int64)
             at = 0
