@@ -151,7 +151,7 @@ def test_a_text_whose_segment_differs():
 
 
 def test_segments_are_encoded_many_at_once():
-    """Op13: one text for each segment took a third of the job's CPU; segments whose bytes differ are still told apart."""
+    """Op13: each segment went to the tokenizers as a text of its own; segments whose bytes differ are still told apart."""
     words = [f" w{i}x{i % 7}." for i in range(600)]
     some = ["first", *words[:300], " \n", " ﬁ x", " aﬁ", " éè", " é", *words[300:], " a", " b c", "  ", " <s>", " 日本"]
     for tokenizer in loaded()[1:]:
